@@ -1,0 +1,34 @@
+"""Evaluation: accuracy by bucket, score averages, metric summaries, reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bucket_accuracy(results: DataFrame, bucket: str, decision: str, expected: str) -> DataFrame:
+    """bucket, total, correct; a row without a decision (an error) counts as wrong."""
+    right = F.coalesce(F.col(decision) == F.col(expected), F.lit(False))
+    return results.groupBy(bucket).agg(F.count("*").alias("total"), F.count_if(right).alias("correct"))
+
+
+def score_summary(scores: DataFrame, score: str, *by: str) -> DataFrame:
+    """Average, number, least, largest and sum of the scores that are there; no rows means no scored cases."""
+    s = F.col(score)
+    return scores.filter(s.isNotNull()).groupBy(*by).agg(F.avg(s).alias("avg_score"), F.count(s).alias("n"), F.min(s).alias("min_score"), F.max(s).alias("max_score"), F.sum(s).alias("sum_score"))
+
+
+def judged(results: DataFrame) -> DataFrame:
+    """Cases for the two scorers: match with an expectation, and explanations with findings, both without an error."""
+    fine = F.col("error").isNull()
+    return results.withColumn("judge_match", fine & F.col("match").isNotNull() & F.col("expected_entity_match").isNotNull()).withColumn("judge_grounding", fine & F.col("explanation").isNotNull() & (F.coalesce("findings", F.lit("")) != ""))
+
+
+def metrics(events: DataFrame, value: str, *tags: str) -> DataFrame:
+    v = F.col(value)
+    return events.groupBy(*tags).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile_approx(v, [0.5, 0.95, 0.99]).alias("percentiles"), F.sum(v).alias("sum"), F.count(v).alias("n"))
+
+
+def report(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """Each row as one line of fixed-width columns."""
+    return rows.select(F.rtrim(F.concat_ws(" ", *(F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("-")), w, " ") for c, w in widths.items()))).alias("line"))
