@@ -16,7 +16,7 @@ class Rows:
         lengths = np.array([len(x) for x in indices], np.int64)
         self.n = len(indices)
         self.index = np.concatenate(indices) if indices else np.zeros(0, np.int32)
-        self.value = None if values is None else np.concatenate(values).astype(np.float32)
+        self.value = None if not values else np.concatenate(values).astype(np.float32)
         self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if indices else np.zeros(0, np.int64)
         self.lengths = lengths
 

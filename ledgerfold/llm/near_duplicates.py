@@ -60,8 +60,11 @@ def node_of(found: np.ndarray) -> int:
 class Order:
     """The global order: class of each hash, and the key (class, hash) that sorts n-grams."""
 
-    def __init__(self, range_bits: int, cell_bits: int, cells: np.ndarray):
+    def __init__(self, range_bits: int, cell_bits: int, cells: np.ndarray, complete: bool):
         self.range_bits, self.cell_bits, self.cells = range_bits, cell_bits, cells
+        #: The least key that another document may share: class 0 is of one document alone, if the table
+        #: holds all n-grams of two documents or more; else class 0 says nothing.
+        self.shared = np.uint64(1 << 57 if complete else 0)
 
     def cell(self, short: np.ndarray) -> np.ndarray:
         return ((short * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.cell_bits)).astype(np.int64)
@@ -148,12 +151,13 @@ def order_of(packed: DataFrame, range_bits: int, cell_bits: int = CELL_BITS) ->
             break
         least, total = k, total + sizes[k][0]
     bits = min(cell_bits, max(16, (8 * total).bit_length()))
-    order = Order(range_bits, bits, np.zeros(1 << bits, np.uint8))
+    rare = sum(m for k, (_, m) in sizes.items() if k < least)
+    order = Order(range_bits, bits, np.zeros(1 << bits, np.uint8), not rare)
     for row in counted.filter(F.col("class") >= least).toLocalIterator():
         short = (np.uint64(row["range"]) << np.uint64(32)) | _unpacked(row["data"], row["n"]).astype(np.uint64)
         at = order.cell(short)
         order.cells[at] = np.maximum(order.cells[at], row["class"])
-    kept = [(k, sizes[k][1]) for k in sorted(sizes) if k >= least]
+    kept = [(0, rare)] * bool(rare) + [(k, sizes[k][1]) for k in sorted(sizes) if k >= least]
     mass, cuts, done = sum(m for _, m in kept), [], 0
     for k, m in kept:
         while len(cuts) < FRAGMENTS - 1 and done + m >= (len(cuts) + 1) * mass / FRAGMENTS:
@@ -190,7 +194,7 @@ def postings(documents: DataFrame, n: int, order, numerator: int, denominator: i
                 if length < size:
                     keys = np.partition(keys, length - 1)[:length]
                 keys.sort()
-                place = np.searchsorted(keys, np.uint64(1 << 57))  # the first of class 1
+                place = np.searchsorted(keys, held.shared)
                 keys = keys[place:]
                 for column, x in zip(out, (keys.view(np.int64), np.full(len(keys), node), np.full(len(keys), size), np.arange(place, place + len(keys))), strict=True):
                     column.append(x)
@@ -256,7 +260,7 @@ def verified(pairs: DataFrame, documents: DataFrame, n: int, order, cuts: list[i
                     if not all(filled[at[0]] for at in _bloom_places(np.array([node]), bits)) or not _fresh(seen, node):
                         continue
                     keys = np.sort(held.keys(found))
-                    keys = keys[np.searchsorted(keys, np.uint64(1 << 57)) :]  # the others occur in one document alone
+                    keys = keys[np.searchsorted(keys, held.shared) :]
                     at = [0, *np.searchsorted(keys, cut), len(keys)]
                     for f, (begin, end) in enumerate(zip(at, at[1:], strict=False)):
                         if end > begin:
