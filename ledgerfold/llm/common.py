@@ -15,6 +15,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch that goes to a Python worker: texts may be long.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
+#: Rows of a table of sizes that may be broadcast; beyond, it is joined by a shuffle.
+FEW = 10_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,7 +56,10 @@ def lowest_hashes(df: DataFrame, key: str, per: str, most: int) -> DataFrame:
     """About `most` rows of each value of `per` (all, where there are no more): those whose key hashes
     below the share that gives so many. Repeatable, without a sort, and no task holds a whole class.
     The number is binomial, so it exceeds `most` by a few times its root at most."""
-    sizes = df.groupBy(per).agg(F.count("*").alias("_size"))
+    sizes = df.filter(F.col(per).isNotNull()).groupBy(per).agg(F.count("*").alias("_size"))
+    few = sizes.limit(FEW + 1).collect()
+    if len(few) <= FEW:  # the rows themselves are then not dealt by value, where a common value is one task
+        sizes = F.broadcast(df.sparkSession.createDataFrame(few, sizes.schema))
     place = F.xxhash64(F.col(key), F.lit(17)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     return df.join(sizes, per).filter(place * F.col("_size") < most).drop("_size")
 
