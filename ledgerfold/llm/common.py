@@ -16,7 +16,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 #: Rows of a table of sizes that may be broadcast; beyond, it is joined by a shuffle.
-FEW = 10_000
+FEW = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,11 @@ def lowest_hashes(df: DataFrame, key: str, per: str, most: int) -> DataFrame:
     The number is binomial, so it exceeds `most` by a few times its root at most."""
     sizes = df.filter(F.col(per).isNotNull()).groupBy(per).agg(F.count("*").alias("_size"))
     few = sizes.limit(FEW + 1).collect()
+    if not few:
+        return df.filter(F.lit(False))
     if len(few) <= FEW:  # the rows themselves are then not dealt by value, where a common value is one task
-        sizes = F.broadcast(df.sparkSession.createDataFrame(few, sizes.schema))
+        known = [F.struct(F.lit(r[per]).cast(sizes.schema[per].dataType).alias(per), F.lit(r["_size"]).cast("long").alias("_size")) for r in few]
+        sizes = F.broadcast(df.sparkSession.range(1).select(F.inline(F.array(*known))))
     place = F.xxhash64(F.col(key), F.lit(17)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     return df.join(sizes, per).filter(place * F.col("_size") < most).drop("_size")
 
