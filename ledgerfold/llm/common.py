@@ -47,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the disk of finished jobs: Spark removes shuffle files once the driver has collected their plans,
+    which a driver with room in its heap does rarely."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_remainder(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batches, input_bytes, power_of_two, small_batches, table, written
+from .common import as_batches, input_bytes, power_of_two, release, small_batches, table, written
 from .components import connected_components
 
 #: n-grams of the contract and the least similarity, as a fraction.
@@ -177,13 +177,13 @@ def _fresh(seen: OrderedDict, node: int, most: int = 100_000) -> bool:
 
 
 def postings(documents: DataFrame, n: int, order, numerator: int, denominator: int) -> DataFrame:
-    """Prefix n-grams that may occur in another document: key, node, n, place (n-grams of the node before it)."""
-    names = ["key", "node", "n", "place"]
+    """A row per text: node, n, keys (those n-grams of its prefix that may occur in another document, rarest
+    first) and place (n-grams of the node before them). Texts without such n-grams have no row."""
 
     def run(batches):
         held, seen = order.value, OrderedDict()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            rows, lists = [], []
             for text in batch["text"].to_pylist():
                 found = shingles(text, n)
                 size = len(found)
@@ -194,14 +194,22 @@ def postings(documents: DataFrame, n: int, order, numerator: int, denominator: i
                 if length < size:
                     keys = np.partition(keys, length - 1)[:length]
                 keys.sort()
-                place = np.searchsorted(keys, held.shared)
-                keys = keys[place:]
-                for column, x in zip(out, (keys.view(np.int64), np.full(len(keys), node), np.full(len(keys), size), np.arange(place, place + len(keys))), strict=True):
-                    column.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=names)
+                place = int(np.searchsorted(keys, held.shared))
+                if place < len(keys):
+                    rows.append((node, size, place))
+                    lists.append(keys[place:].view(np.int64))
+            if rows:
+                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], names=["node", "n", "place", "keys"])
 
-    return documents.select("text").mapInArrow(run, "key long, node long, n long, place long")
+    return documents.select("text").mapInArrow(run, "node long, n long, place long, keys array<long>")
+
+
+def by_key(nodes: DataFrame) -> DataFrame:
+    """A row per n-gram of each node: key, node, n, place (n-grams of the node before it), and the label, if there is one."""
+    own = ["node", "n", "place"] + ["label"] * ("label" in nodes.columns)
+    return nodes.select(F.posexplode("keys").alias("at", "key"), *own).withColumn("place", F.col("place") + F.col("at")).drop("at")
 
 
 def _may_link(a: str, b: str, numerator: int, denominator: int):
@@ -298,18 +306,23 @@ def near_duplicates(documents: DataFrame, n: int = WORDS, numerator: int = NUMER
     both = written(described(documents, n, range_bits), "shingles")
     order, cuts = order_of(both.filter("kind = 1"), range_bits, cell_bits)
     shared = spark.sparkContext.broadcast(order)
-    found = written(postings(documents, n, shared, numerator, denominator), "postings")
+    # nodes are made distinct, and later labelled, before their n-grams become rows
+    nodes = written(postings(documents, n, shared, numerator, denominator).dropDuplicates(["node"]), "postings")
+    found = by_key(nodes)
 
     hubs = found.groupBy("key").agg(F.min(F.struct("place", "n", "node")).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", "hub.*")
     starred = found.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.node") != F.col("h.node")) & _may_link("m", "h", numerator, denominator))
     stars = written(_pairs(starred, "m", "h"), "pairs")
+    release(spark)
     links = written(verified(stars, documents, n, shared, cuts, numerator, denominator), "links")
+    release(spark)
 
     # pairs that the stars left apart
     labels = connected_components(links)
-    labelled = written(found.join(labels, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label")).distinct(), "labelled")
+    labelled = by_key(written(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled"))
     apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     mixed = written(labelled.join(apart, "key", "left_semi"), "mixed")
+    release(spark)
     crossed = mixed.alias("m").join(mixed.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.label") < F.col("h.label")) & _may_link("m", "h", numerator, denominator))
     rest = written(_pairs(crossed, "m", "h").join(stars, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
