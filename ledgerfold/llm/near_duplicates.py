@@ -207,9 +207,8 @@ def postings(documents: DataFrame, n: int, order, numerator: int, denominator: i
 
 
 def by_key(nodes: DataFrame) -> DataFrame:
-    """A row per n-gram of each node: key, node, n, place (n-grams of the node before it), and the label, if there is one."""
-    own = ["node", "n", "place"] + ["label"] * ("label" in nodes.columns)
-    return nodes.select(F.posexplode("keys").alias("at", "key"), *own).withColumn("place", F.col("place") + F.col("at")).drop("at")
+    """A row per n-gram of each node: key, node, n, place (n-grams of the node before it)."""
+    return nodes.select(F.posexplode("keys").alias("at", "key"), "node", "n", "place").withColumn("place", F.col("place") + F.col("at")).drop("at")
 
 
 def _may_link(a: str, b: str, numerator: int, denominator: int):
@@ -306,9 +305,12 @@ def near_duplicates(documents: DataFrame, n: int = WORDS, numerator: int = NUMER
     both = written(described(documents, n, range_bits), "shingles")
     order, cuts = order_of(both.filter("kind = 1"), range_bits, cell_bits)
     shared = spark.sparkContext.broadcast(order)
-    # nodes are made distinct, and later labelled, before their n-grams become rows
+    # nodes are made distinct before their n-grams become rows; most n-grams then are of one node alone, and go
     nodes = written(postings(documents, n, shared, numerator, denominator).dropDuplicates(["node"]), "postings")
-    found = by_key(nodes)
+    each = by_key(nodes)
+    common = each.groupBy("key").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("key")
+    found = written(each.join(common, "key", "left_semi"), "common-postings")
+    release(spark)
 
     hubs = found.groupBy("key").agg(F.min(F.struct("place", "n", "node")).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", "hub.*")
     starred = found.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.node") != F.col("h.node")) & _may_link("m", "h", numerator, denominator))
@@ -319,7 +321,7 @@ def near_duplicates(documents: DataFrame, n: int = WORDS, numerator: int = NUMER
 
     # pairs that the stars left apart
     labels = connected_components(links)
-    labelled = by_key(written(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled"))
+    labelled = written(found.join(labels, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label")), "labelled")
     apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     mixed = written(labelled.join(apart, "key", "left_semi"), "mixed")
     release(spark)
