@@ -28,7 +28,7 @@ from .components import connected_components
 #: n-grams of the contract and the least similarity, as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Fragments of the order; n-grams that a task sorts at once; bytes of input for a range of hashes.
-FRAGMENTS, SORTED_AT_ONCE, RANGE_BYTES = 8, 4_000_000, 8 << 20
+FRAGMENTS, SORTED_AT_ONCE, RANGE_BYTES = 8, 1_000_000, 8 << 20
 #: The table of the order has so many cells at most (bits), a byte each: 32 MB. A Bloom filter has so many bits at most: 16 MB.
 CELL_BITS, BLOOM_BITS = 25, 27
 
