@@ -1,6 +1,7 @@
 """License scans by sentence rules.
 
-A text is cut into sentences; each is normalised and looked up among known licence sentences. The
+A text is cut into sentences; each is normalised and the known licence sentences are searched in it,
+wherever they stand and however long it is: a text without full stops or newlines is one sentence. The
 identifiers of a text, in order, are then matched against ordered licence rules; what a rule takes
 is gone for the rules after it.
 """
@@ -8,6 +9,7 @@ is gone for the rules after it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Words that a sentence must hold to be looked at.
-TRIGGER = re.compile(r"licen[cs]|copyright|warrant|permission|redistribut|all rights reserved|public domain|spdx|\b(?:cc0|gpl|agpl|lgpl|mpl|bsd|mit)\b|creative commons", re.I)
-BOUNDARY = re.compile(r"(?<=[.!?;])\s+|\s*\n\s*(?:\n|[*#/;-]+\s)\s*|\n")
-MARKS = re.compile(r"^[\s*#/;<>!|-]+|[\s*#/|>-]+$|[\"'`“”‘’]")
+TRIGGER = re.compile(r"licen[cs]|copyright|warrant|permission|redistribut|all rights reserved|public domain|spdx|\b(?:cc0|gpl|agpl|lgpl|mpl|bsd|mit)\b|creative commons", re.I | re.A)
+BOUNDARY = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])\s*|\s*\n\s*(?:\n|[*#/;-]+\s)\s*|\n")
+LEADING, TRAILING, QUOTES = re.compile(r"[\s*#/;<>!|-]+"), "*#/|>-", str.maketrans("", "", "\"'`“”‘’")
 
 _THE, _VER = r"(?:the )?", r"(?:,? ?\(?(?:version|v\.?|ver\.?)? ?%s(?:\.0)?\)?)"
 #: Known sentences, as patterns of a whole normalised sentence, in the order they are tried.
@@ -51,7 +53,24 @@ SENTENCES: list[tuple[str, str]] = [
     ("AllRights", r"(?:.*\b)?all rights reserved\.?"),
     ("Copyright", r"(?:copyright|\(c\)|©).*\d{4}.*|copyright .*"),
 ]
-KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
+
+
+def _inside(name: str, pattern: str) -> tuple[str, re.Pattern, str]:
+    """Name, a pattern to search within a sentence, and a text that every match ends with ('' if there is none):
+    up to its last place, a search with a gap ends at the nearest one, so that it reads the sentence once.
+    Words end at ASCII letters only: other scripts are written on without a space."""
+    ends = {"AsIs": " as is", "BSDNoEndorse": " may be used to endorse"}
+    if name == "MITNotice":  # what stands before the words is not needed to find them
+        pattern = pattern.replace("(?:the above copyright notice and this permission notice .*)?", "")
+    for start in (".*", r"(?:.*\W)?", r"(?:.*\b)?"):
+        pattern = pattern.removeprefix(start)
+    pattern = re.sub(r"\.\*(?=$|\|)", "", pattern).replace(".*", ".*?")
+    return name, re.compile(rf"(?<!\w)(?:{pattern})", re.A), ends.get(name, "")
+
+
+KNOWN = [_inside(name, pattern) for name, pattern in SENTENCES if name != "Copyright"]
+#: Begins a sentence, and says the least: only where nothing else is known in it.
+COPYRIGHT = re.compile(dict(SENTENCES)["Copyright"])
 
 #: Licence, then the sentence identifiers that make it, in order: other sentences may stand between.
 RULES: list[tuple[str, tuple[str, ...]]] = [
@@ -82,12 +101,38 @@ _CC = {"attribution": "by", "noncommercial": "nc", "noderivs": "nd", "noderivati
 
 
 def normalised(sentence: str) -> str:
-    """Lower case, without comment marks and quotes, white space made one space."""
-    return " ".join(MARKS.sub("", sentence).lower().split())
+    """Without comment marks and quotes, white space made one space."""
+    start = m.end() if (m := LEADING.match(sentence)) else 0
+    end = len(sentence)
+    while end > start and (sentence[end - 1].isspace() or sentence[end - 1] in TRAILING):
+        end -= 1
+    return " ".join(sentence[start:end].translate(QUOTES).split())
+
+
+def known(sentence: str) -> list[str]:
+    """Identifiers of the known sentences in a normalised one, in order. Where two overlap, the one tried first counts."""
+    plain = sentence.lower()
+    taken: list[tuple[int, int, str]] = []
+    for name, pattern, ends in KNOWN:
+        until = plain.rfind(ends) + len(ends) if ends in plain else 0
+        for m in pattern.finditer(plain, 0, until if ends else len(plain)):
+            at = bisect_left(taken, (m.start(),))
+            if at and taken[at - 1][1] > m.start() or at < len(taken) and taken[at][0] < m.end():
+                continue
+            found = name
+            if name == "CCRef":
+                kind = "-".join(_CC.get(x, x) for x in m["name"].split("-"))
+                found = f"CC:CC-{kind.upper()}" + (f"-{m['version']}" if m["version"] else "")
+            elif name == "SPDX":  # as it is spelt, where lower case has kept the places
+                found = "SPDX:" + (sentence[m.start("name") : m.end("name")] if len(sentence) == len(plain) else m["name"])
+            taken.insert(at, (m.start(), m.end(), found))
+    if not taken and COPYRIGHT.fullmatch(plain):
+        return ["Copyright"]
+    return [found for _, _, found in taken]
 
 
 def identify(text: str | None) -> list[tuple[str, int, int]]:
-    """Identifier and span of every licence sentence; UNKNOWN where a sentence speaks of a licence but isn't known."""
+    """Identifiers and span of every licence sentence; UNKNOWN where a sentence speaks of a licence but isn't known."""
     out = []
     if not text or not TRIGGER.search(text):
         return out
@@ -95,20 +140,12 @@ def identify(text: str | None) -> list[tuple[str, int, int]]:
     for m in [*BOUNDARY.finditer(text), None]:
         end = m.start() if m else len(text)
         sentence = text[at:end]
-        if len(sentence) <= 2000 and TRIGGER.search(sentence) or len(sentence) > 2000 and re.search(r"spdx-license", sentence, re.I):
+        if TRIGGER.search(sentence):
             plain = normalised(sentence)
-            for name, pattern in KNOWN:
-                if found := pattern.fullmatch(plain):
-                    if name == "SPDX":
-                        name = "SPDX:" + re.search(r"spdx-license-identifier:\s*([\w.+-]+)", sentence, re.I)[1]
-                    elif name == "CCRef":
-                        kind = "-".join(_CC.get(x, x) for x in found["name"].split("-"))
-                        name = f"CC:CC-{kind.upper()}" + (f"-{found['version']}" if found["version"] else "")
-                    out.append((name, at, end))
-                    break
-            else:
-                if re.search(r"licen[cs]ed? |licen[cs]e\b", plain):
-                    out.append(("UNKNOWN", at, end))
+            names = known(plain)
+            if not names and re.search(r"licen[cs]ed? |licen[cs]e\b", plain, re.I):
+                names = ["UNKNOWN"]
+            out += [(name, at, end) for name in names]
         at = m.end() if m else end
     return out
 

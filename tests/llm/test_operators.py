@@ -175,6 +175,23 @@ def test_licences():
     assert licences.identify(None) == [] and licences.identify("See the license terms.")[0][0] == "UNKNOWN"
 
 
+def test_licences_of_long_sentences():
+    """Length decides nothing: texts without stops or newlines are one sentence, and may name several licences."""
+    prose, table = "漢字" * 1500, "cell | " * 900
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, "
+    cases = {
+        f"{prose}licensed under the Apache License, Version 2.0{prose}": ["Apache-2.0"],
+        f"{prose}。Licensed under CC BY-SA 4.0。{prose}": ["CC-BY-SA-4.0"],
+        f"{table}{mit}{table}the above copyright notice and this permission notice shall be included in all copies{table}": ["MIT"],
+        f"{table}released under the MIT license, or the GNU GPL v3 {table}, all rights reserved": ["MIT", "GPL-3.0", "AllRightsReserved"],
+        f'{table}SPDX-License-Identifier: "Apache-2.0" {table}': ["Apache-2.0"],
+    }
+    for t, want in cases.items():
+        assert licences.licences([x[0] for x in licences.identify(t)]) == want, t.replace(prose, "").replace(table, "")
+    assert [x[0] for x in licences.identify(f"{table} a license of its own {table}")] == ["UNKNOWN"]
+    assert len(licences.identify("licence " + "the software is provided by " * 9000 + "-" * 200000)) == 1  # read once, not once a start
+
+
 def junk(i):
     r = random.Random(i)
     return " ".join((r.choice(WORDS).upper() + "!!") for _ in range(60)) if i % 2 else " ".join(r.choice(WORDS) + "%%%" for _ in range(60))
