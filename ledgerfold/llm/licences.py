@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-#: Words that a sentence must hold to be looked at.
-TRIGGER = re.compile(r"licen[cs]|copyright|warrant|permission|redistribut|all rights reserved|public domain|spdx|\b(?:cc0|gpl|agpl|lgpl|mpl|bsd|mit)\b|creative commons", re.I | re.A)
+#: What a sentence must hold to be looked at: of every known sentence, a word that all its forms have. Quotes and
+#: white space between words are still as they stand in the text.
+TRIGGER = re.compile(
+    r"licen[cs]|copyright|\(c\)|©|warrant|permission|redistribut|reserved|domain|unencumbered|spdx|provided|endorse|substantial|creative"
+    r"|\b(?:cc0|[al]?gpl|mpl|bsd|mit\b|cc[\s\"'`“”‘’-]+(?:by|attribution))",
+    re.I | re.A,
+)
 BOUNDARY = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])\s*|\s*\n\s*(?:\n|[*#/;-]+\s)\s*|\n")
 LEADING, TRAILING, QUOTES = re.compile(r"[\s*#/;<>!|-]+"), "*#/|>-", str.maketrans("", "", "\"'`“”‘’")
 
@@ -46,7 +51,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("BSDRef3", r".*\bunder (?:the )?(?:terms of )?(?:the )?(?:3-clause bsd|bsd 3-clause|new bsd|modified bsd)(?: license)?.*"),
     ("BSDRef2", r".*\bunder (?:the )?(?:terms of )?(?:the )?(?:2-clause bsd|bsd 2-clause|simplified bsd)(?: license)?.*"),
     ("BSDRef", r".*\bunder (?:the )?(?:terms of )?(?:the|a) bsd(?:-style)? license.*"),
-    ("MPLRef2", r".*\b(?:mozilla public license|mpl),? (?:version |v\. ?)?2(?:\.0)?.*"),
+    ("MPLRef2", r".*\b(?:mozilla public license|mpl),? ?(?:version |v\.? ?)?2(?:\.0)?.*"),
     ("CCRef", r".*\b(?:cc|creative commons)[ -](?P<name>by(?:-nc)?(?:-nd|-sa)?|attribution(?:-noncommercial)?(?:-noderivs|-noderivatives|-sharealike)?)[ ,]*(?:licen[cs]e )?(?:v(?:ersion)? ?)?(?P<version>[1-4]\.\d)?.*"),
     ("CC0Ref", r".*\b(?:cc0|creative commons zero)\b.*"),
     ("PublicDomain", r".*\b(?:released|placed|dedicated) (?:in)?to the public domain.*|this is free and unencumbered software released into the public domain.*"),

@@ -192,6 +192,23 @@ def test_licences_of_long_sentences():
     assert len(licences.identify("licence " + "the software is provided by " * 9000 + "-" * 200000)) == 1  # read once, not once a start
 
 
+def test_licence_trigger_passes_known_sentences():
+    examples = {
+        "SPDX": "SPDX-License-Identifier: MIT", "ApacheRef2": "Released under the Apache License 2.0", "AGPLRef3": "AGPLv3 or later", "LGPLRef3": "covered by LGPL3", "LGPLRef21": "distributed under the LGPLv2.1.",
+        "GPLRef3Plus": "GPLv3 or any later version", "GPLRef2Plus": "GPL2, or (at your option) any later version", "GPLRef3": "Released under GPLv3.", "GPLRef2": "Released under GPLv2.", "MITRef": "Provided under MIT",
+        "MITGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "MITNotice": "shall be included in all copies or substantial portions of the Software", "AsIs": "The software is provided 'as is'",
+        "ISCGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "BSDGrant": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "BSDSource": "Redistributions of source code must retain it", "BSDBinary": "Redistributions in binary form must reproduce it", "BSDNoEndorse": "Neither the name of Acme may be used to endorse products", "BSDRef3": "under the 3-clause BSD", "BSDRef2": "under simplified BSD",
+        "BSDRef": "under a BSD-style license", "MPLRef2": "MPL2 covers it", "CCRef": "Text available under CC BY-SA 4.0.", "CC0Ref": "It is CC0", "PublicDomain": "This is free and unencumbered software released into the public domain", "AllRights": "All  rights reserved", "Copyright": "(c) 2020 Acme",
+    }
+    assert list(examples) == [name for name, _ in licences.SENTENCES]
+    for name, t in examples.items():
+        assert [x[0].partition(":")[0].replace("CC", "CCRef") if x[0].startswith("CC:") else x[0].partition(":")[0] for x in licences.identify(t)] == [name], t
+    assert licences.identify("© 2020 Acme")[0][0] == "Copyright"
+    want = {"Released under GPLv3.": "GPL-3.0", "distributed under the LGPLv2.1.": "LGPL-2.1", "AGPLv3 or later": "AGPL-3.0", "Text available under CC BY-SA 4.0.": "CC-BY-SA-4.0"}
+    assert {t: licences.licences([x[0] for x in licences.identify(t)])[0] for t in want} == want
+
+
 def junk(i):
     r = random.Random(i)
     return " ".join((r.choice(WORDS).upper() + "!!") for _ in range(60)) if i % 2 else " ".join(r.choice(WORDS) + "%%%" for _ in range(60))
