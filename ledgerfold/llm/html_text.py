@@ -3,7 +3,8 @@
 Every DOM node gets a density: its characters per tag, adjusted by how many of them stand in links.
 The density sum of a node adds up its children's. The body's density, and the least one on the path
 from the body to the node of the largest sum, are the thresholds: below the latter nothing is
-content, and the subtree with the largest density sum is the article.
+content, and of every node that reaches it the subtree with the largest density sum belongs to the
+article, which may thus stand in several boxes.
 """
 
 from __future__ import annotations
@@ -179,32 +180,54 @@ def extract(html: str | None) -> str:
     if not nodes:
         return ""
     best = max(nodes, key=lambda x: x.total)  # ties: the first in page order
-    # of nested nodes with nearly the same content, the outermost inside the thresholds: headings and
-    # paragraphs beside the densest block belong to the article
     threshold, up = best.density, best
-    while up is not None and up is not root:
+    while up is not root:
         threshold = min(threshold, up.density)
         up = up.parent
-    up = best
-    while up.parent is not None and up.parent is not root and up.tag not in ("article", "main") and up.parent is not body:
-        if any(x.tag in ("article", "main") for x in _above(up, body)) or up.parent.chars <= 1.1 * up.chars:
-            up = up.parent
-        else:
-            break
-    if up.tag == "body":
-        up = body
-    return blocks(up, threshold)
-
-
-def _above(node: Node, body: Node) -> list[Node]:
-    out, up = [], node.parent
-    while up is not None and up is not body:
-        out.append(up)
-        up = up.parent
+    peaks: dict[Node, Node] = {}
+    for node in reversed(nodes):
+        peaks[node] = node
+        for x in node.children:
+            if x in peaks and peaks[x].total > peaks[node].total:
+                peaks[node] = peaks[x]
+    chosen = {peaks[x] for x in nodes if x.density >= threshold}
+    if _article(best):  # the page says where its articles are: those with content, whole
+        chosen = {x for x in map(_article, chosen) if x}
+    else:
+        chosen = _widened(nodes, chosen, body)
+    out, inside = [], set()
+    for node in nodes:  # parents first: the outermost of nested ones
+        if node.parent in inside:
+            inside.add(node)
+        elif node in chosen:
+            inside.add(node)
+            out.append(blocks(node))
+    return " ".join(x for x in out if x)
+
+
+def _article(node: Node) -> Node | None:
+    """The outermost article or main around a node, or itself."""
+    found = None
+    while node is not None:
+        if node.tag in ("article", "main"):
+            found = node
+        node = node.parent
+    return found
+
+
+def _widened(nodes: list[Node], chosen: set[Node], body: Node) -> set[Node]:
+    """chosen with the boxes that hold little else: headings and paragraphs beside the densest blocks belong
+    to the article. The body only around several."""
+    out, covered = set(chosen), {}
+    for node in reversed(nodes):
+        parts = [covered[x] for x in node.children if covered.get(x)]
+        if node not in out and parts and (node is not body or len(parts) > 1) and node.chars <= 1.1 * sum(parts):
+            out.add(node)
+        covered[node] = node.chars if node in out else sum(parts)
     return out
 
 
-def blocks(top: Node, threshold: float) -> str:
+def blocks(top: Node) -> str:
     out, line = [], []
 
     def close() -> None:

@@ -167,6 +167,17 @@ def test_html():
     assert html_text.extract("<article>" + "<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_article_in_several_boxes():
+    part = lambda k: " ".join(f"<p>{k}{i} {'word ' * 100}</p>" for i in range(5))
+    read = lambda html: [x for x in html_text.extract(html).split() if x != "word"]
+    both = [f"{k}{i}" for k in "ab" for i in range(5)]
+    links = "<ul>" + "<li><a href=/>some other page</a>" * 9 + "</ul>"
+    assert read(f"<div id=content><div class=part>{part('a')}</div>{links}<div class=part>{part('b')}</div></div>") == both
+    assert read(f"<div>{part('a')}</div><div>{part('b')}</div><div>short line</div>{links}") == [*both, "short", "line"]
+    assert read(f"<div id=content><h2>Title</h2><div>{part('a')}</div><div>{part('b')}</div></div><div><b>x</b><i>y</i></div>") == ["Title", *both]
+    assert read(f"<article>{part('a')}</article><article>{part('b')}</article><div>{part('c')}</div>") == both
+
+
 def test_licences():
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that:\n\n* Redistributions of source code must retain the above copyright notice.\n\n* Redistributions in binary form must reproduce the above copyright notice."
     cases = {bsd: ["BSD-2-Clause"], "Licensed under the Apache License, Version 2.0.\nText": ["Apache-2.0"], "// SPDX-License-Identifier: MIT": ["MIT"], "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"], "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"], "GNU General Public License, version 2 or later version": ["GPL-2.0"], "": [], "no such words": []}
