@@ -34,15 +34,19 @@ BESIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|nav|navbar|navigation|menus?|breadcrumbs?|footer|header|masthead|side-?bar|aside|widgets?|related|recommend\w*|comments?|comment-?list|respond|replies|reply|disqus|share|sharing|social|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modal|overlay|newsletter|subscri\w*|sign-?up|login|paywall|pagination|pager|copyright|legal|disclaimer|toolbar|skip-?links?|search\w*|form|complementary|contentinfo|tags?|byline)(?=$|[\s_-])",
     re.I,
 )
+#: Names of an article that is not the page's.
+OTHER = re.compile(r"^(?:comments?|reply|replies|respond|related|recommend\w*|promo\w*|sponsor\w*|widgets?)(?=$|[_-])", re.I)
+#: From here on, a name says that something is or isn't beside the article, not that this is it.
+WITH = re.compile(r"(?:^|[_-])(?:has|with|without|no|not)[_-].*", re.I | re.S)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "aside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "aside", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool = False):
-        self.tag, self.parent, self.aside = tag, parent, aside
+    def __init__(self, tag: str, parent: Node | None, aside: bool = False, named: str = ""):
+        self.tag, self.parent, self.aside, self.named = tag, parent, aside, named
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -87,7 +91,7 @@ def parse(html: str) -> Node:
             node = _closed(node, *IMPLIED[name])
         if node.tag == "head" and name not in RAW and name not in VOID:
             node = node.parent or body
-        child = Node(name, node, _aside(name, attributes))
+        child = Node(name, node, _aside(name, attributes), _named(name, attributes))
         node.children.append(child)
         if name in VOID or attributes.rstrip().endswith("/") and name in ("svg", "path", "math"):
             continue
@@ -118,11 +122,45 @@ def _aside(name: str, attributes: str) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id", "role") and BESIDE.search(value):
-            return True
     return False
 
 
+def _named(name: str, attributes: str) -> str:
+    """'only' where class, id or role says nothing but that this is beside the article, 'partly' where it
+    mentions such a word among others, else ''. An article may have tags and a header: only other words count for it."""
+    found = ""
+    words_beside = OTHER if name in ("article", "main") else BESIDE
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            words = (m[2] or m[3] or m[4] or "").split()
+            spans = [(w, words_beside.search(WITH.sub("", w))) for w in words]
+            if words and all(x and x[0].strip("_-") == w for w, x in spans):
+                return "only"
+            if any(x for _, x in spans):
+                found = "partly"
+    return found
+
+
+def _set_aside(root: Node, body: Node) -> None:
+    """Elements that are beside the article by their name can't be it, unless they hold it: a main, an article where
+    none stands elsewhere, or, where the name says other things too, most of the body's characters."""
+    nodes = _walk(root)
+    if not any(x.named and x.tag not in ("article", "main") for x in nodes):
+        return
+    chars, holds, free = {}, {}, {}
+    for node in nodes:  # parents first
+        free[node] = node.parent is None or free[node.parent] and (not node.named or node.tag in ("article", "main"))
+    elsewhere = any(free[x] and not x.named and x.tag in ("article", "main") for x in nodes)
+    for node in reversed(nodes):
+        inner = [x for x in node.children if isinstance(x, Node) and not node.aside]
+        chars[node] = 0 if node.aside else sum(len("".join(x.split())) for x in node.children if isinstance(x, str)) + sum(chars[x] for x in inner)
+        holds[node] = {x.tag for x in inner if x.tag in ("article", "main") and not x.named}.union(*(holds[x] for x in inner))
+    for node in nodes:
+        if node.named and node.tag not in ("article", "main"):
+            most = node.named == "partly" and 2 * chars[node] > chars[body]
+            node.aside = node.aside or not (most or "main" in holds[node] or "article" in holds[node] and not elsewhere)
+
+
 def _walk(root: Node) -> list[Node]:
     """All nodes, parents first, but for those inside elements that can't be an article."""
     out, stack = [], [root]
@@ -176,6 +214,7 @@ def extract(html: str | None) -> str:
         return ""
     root = parse(html.replace("\x00", ""))
     body = root.children[0]
+    _set_aside(root, body)
     nodes = [x for x in densities(root, body) if x.chars and x is not root]
     if not nodes:
         return ""

@@ -178,6 +178,19 @@ def test_html_article_in_several_boxes():
     assert read(f"<article>{part('a')}</article><article>{part('b')}</article><div>{part('c')}</div>") == both
 
 
+def test_html_wrappers_named_for_what_is_beside():
+    text = "word " * 100
+    article, beside = f"<article><p>{text}</p></article>", "<div class=sidebar><p>" + "other " * 300 + "</p></div>"
+    for name in ("site has-sidebar", "with-sidebar", "no-comments", "layout--with-sidebar", "sidebar-right", "sidebar", "page search"):
+        for inner in (article, article.replace("<article", "<article class='post tag-news'"), f"<main><p>{text}</p></main>"):
+            assert html_text.extract(f"<div id=page class='{name}'>{inner}{beside}</div>") == text.strip(), name
+    for name in ("site has-sidebar", "no-comments", "content-header-wrap", "page search"):  # most of the characters, without an article
+        assert html_text.extract(f"<div class='{name}'><p>{text}</p></div><p>a few more</p>").startswith(text.strip()), name
+    other = "<div class='related-posts'><article><p>" + "other " * 90 + "</p></article></div><div id=comments class=comments-area><article class=comment-body><p>" + "other " * 90 + "</p></article></div>"
+    assert html_text.extract(f"{article}{other}") == text.strip()
+    assert html_text.extract(f"<div class=post><p>{text}</p></div><div id=comments class=comments-area><article class=comment-body>{text}{text}</article></div>") == text.strip()
+
+
 def test_licences():
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that:\n\n* Redistributions of source code must retain the above copyright notice.\n\n* Redistributions in binary form must reproduce the above copyright notice."
     cases = {bsd: ["BSD-2-Clause"], "Licensed under the Apache License, Version 2.0.\nText": ["Apache-2.0"], "// SPDX-License-Identifier: MIT": ["MIT"], "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"], "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"], "GNU General Public License, version 2 or later version": ["GPL-2.0"], "": [], "no such words": []}
