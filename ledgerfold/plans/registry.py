@@ -64,15 +64,19 @@ def ingest_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verbatim_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items that stand word for word in a document, found by their first eight words."""
+    """Benchmark items that stand word for word in a document, found by their second to ninth words: other than
+    the first and the last, these can't touch a neighbour. Items of fewer words are sought in all documents."""
     n = 8
     bare = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(bare(F.col("text")), 1, n), " ").alias("head"))
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"), bare(text.stripped(F.col("text"))).alias("iw"))
+    keyed = items.filter(F.size("iw") >= n + 2).select("item_id", "item", F.array_join(F.slice("iw", 2, n), " ").alias("head"))
+    short = items.filter(F.size("iw") < n + 2).select("item_id", "item")
     words = table(spark, sf, "documents").select("doc_id", "text", bare(F.col("text")).alias("w"))
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
-    candidates = words.select("doc_id", F.explode(F.array_distinct(windows)).alias("head")).join(items, "head").select("doc_id", "item_id", "item").distinct()
-    found = candidates.join(words.select("doc_id", "text"), "doc_id").filter(text.verbatim(F.col("item"), F.col("text")))
-    return found.select("doc_id", "item_id")
+    candidates = words.select("doc_id", F.explode(F.array_distinct(windows)).alias("head")).join(keyed, "head").select("doc_id", "item_id", "item").distinct()
+    stands = text.verbatim(F.col("item"), F.col("text"))
+    found = candidates.join(words.select("doc_id", "text"), "doc_id").filter(stands)
+    return found.select("doc_id", "item_id").union(words.select("doc_id", "text").join(short, stands).select("doc_id", "item_id"))
 
 
 def format_check(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,10 +4,12 @@ import base64
 import json
 from datetime import datetime
 
+import duckdb
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import payload, text
 from ledgerfold.operators import evaluate, flow, reads, state
+from ledgerfold.plans import registry
 from ledgerfold.sources import fixtures, intake
 from ledgerfold.streaming import live
 
@@ -129,3 +131,18 @@ def test_live_paths(spark, tmp_path):
     current = live.current_status(read().withColumn("id", F.col("raw").cast("string")), "id", ["seq"], "status")
     live.publish(current, lambda df, _: seen.extend(tuple(r) for r in df.collect()), str(tmp_path / "c2"), "a").awaitTermination()
     assert seen[-1] == ("a", "y") and all(k == "a" for k, _ in seen)
+
+
+def test_verbatim_check_at_neighbours_and_short_items(spark, tmp_path):
+    """Against the query's SQL: items after a quote or a bracket, of few words, and within words."""
+    long, ten = " ".join(f"w{i}" for i in range(20)), " ".join(f"t{i}" for i in range(10))
+    items = [(1, long), (2, f" {ten}\n".rstrip("\n")), (3, "one two three four"), (4, "lone"), (5, " ".join(f"n{i}" for i in range(9))), (6, ""), (7, None), (8, "absent words that nobody wrote")]
+    docs = [(1, f'before "{long}" after'), (2, f"before ({ten})after and more words to make it long"), (3, f"pre-{long}s"), (4, "it says:one two three fourteen times over and over and over again"), (5, "a" + "lone" + "ly " + "word " * 30), (6, "x" + items[4][1] + "y " + "word " * 30), (7, None), (8, ""), (9, long.replace(" w9 ", "  w9 ")), (10, ten)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(db.execute(registry.ORACLE["verbatim_check"]).fetchall())
+    assert want == [(1, 1), (2, 2), (3, 1), (4, 3), (5, 4), (6, 5), (10, 2)]
+    assert sorted(tuple(r) for r in registry.QUERIES["verbatim_check"](spark, str(tmp_path)).collect()) == want
