@@ -32,14 +32,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the least doc_id (of rows that repeat it, one).
+    """One document of each group: that of the least doc_id; one without an id only where none has an id.
 
-    Groups are linked by five-word shingles with a similarity of 0.8 or more. Rows without an id stay.
+    Groups are linked by five-word shingles with a similarity of 0.8 or more. Rows are told apart by id and
+    text: of those that repeat both, one stays, and an id with two texts is two documents.
     """
-    groups = near_duplicates.near_duplicates(docs.select("doc_id", "text"), WORDS, NUMERATOR, DENOMINATOR)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
+    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    groups = near_duplicates.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), WORDS, NUMERATOR, DENOMINATOR)
+    members = groups.select(F.col("doc_id").alias("__row"), "component_id").join(keyed.select("__row", "doc_id").distinct(), "__row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "__row")).alias("first"))
+    return keyed.join(first.select("first.__row"), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerfold.llm import html_text, language, licences, mixing, near_duplicates, neighbours, packing, quality, quality_rules, toxicity
 from ledgerfold.llm.components import connected_components
 
@@ -71,6 +72,16 @@ def test_near_duplicates_empty(spark):
     assert near_duplicates.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """An id with two texts is two documents, and copies without an id are copies."""
+    a, b, c, d, e = (t for _, t in texts(5, 11))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (None, a), (7, e), (None, e), (4, None), (4, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = corpus_pipeline.duplicates_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (None, d), (7, e), (4, None), (4, "")], key=str)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(50, 51), (60, 50), (7, 3)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
