@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -32,25 +33,70 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; it goes when the driver ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/checkpoints"  # only local runs come here, where all processes share the machine
-    return f"{base.rstrip('/')}/ledgerfold/{name}-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"  # one process, one machine
+    top = _path(spark, f"{base.rstrip('/')}/ledgerfold/{spark.sparkContext.applicationId}")
+    top.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(top)
+    return f"{top.toString()}/{name}-{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor.
+
+    The job's shuffle files go as soon as it has ended. Scratch.write also lets the table itself go early.
+    """
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = scratch_path(spark, name), spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+class Scratch:
+    """The written tables of one run of an operator: each goes after its last reader, all that are left at the end."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(written(df, name))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = _path(t.sparkSession, t._scratch)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            self.tables = [x for x in self.tables if x is not t]
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.tables)
 
 
-def release(spark: SparkSession) -> None:
-    """Frees the disk of finished jobs: Spark removes shuffle files once the driver has collected their plans,
-    which a driver with room in its heap does rarely."""
-    spark.sparkContext._jvm.System.gc()
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, with as many underscores before each as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def crc_remainder(column: str, divisor: int) -> Column:
@@ -74,8 +120,12 @@ def lowest_hashes(df: DataFrame, key: str, per: str, most: int) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes that the optimizer expects below df: file sizes, for a scan."""
-    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that the optimizer expects below df (file sizes, for a scan); where it knows nothing, those of its texts, counted."""
+    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if expected >= 1 << 60:  # the optimizer's default for a source without statistics
+        wide = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+        expected = sum(x or 0 for x in df.agg(F.count("*"), *wide).first())
+    return max(1, expected)
 
 
 def power_of_two(x: float) -> int:

@@ -1,12 +1,13 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
 1. One pass hashes every text's word n-grams and counts, over all documents, in how many each occurs.
-   The counts give the global order (rare first), held in a table of a fixed size: a cell has the
-   class (power of two) of the commonest n-gram that falls into it.
-2. Texts with the same n-grams are one node. A node's prefix, the rarest part of its n-grams that two
-   linked nodes must share something of, gives candidates. First each n-gram's nodes are paired with
-   the one that has fewest rarer n-grams, so a large group of near copies gives one pair for each
-   member, not all pairs; nodes that are still apart are then paired in full.
+   The counts give the global order: n-grams of few documents first, by hash, then the commoner ones by
+   class (power of two), which a table of a fixed size holds.
+2. Texts with the same n-grams are one node. Of two linked nodes, the prefixes (the first part of each in
+   the order) share an n-gram. Prefixes are dealt by ranges of n-grams, and those that one node alone has
+   go. Then each n-gram's nodes are paired with the one that has fewest n-grams before it, so a large group
+   of near copies gives one pair for each member, not all pairs; nodes that are still apart are then paired
+   in full. Sizes, places and the parity bits of whole n-gram sets, all of them exact bounds, rule out most pairs.
 3. The order is cut into fragments. Each fragment's n-grams are counted for a pair separately, and the
    partial overlaps are summed per pair: an exact Jaccard similarity.
 4. Links make components.
@@ -22,15 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batches, input_bytes, power_of_two, release, small_batches, table, written
+from .common import Scratch, as_batches, input_bytes, power_of_two, small_batches, table, written
 from .components import connected_components
 
 #: n-grams of the contract and the least similarity, as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
-#: Fragments of the order; n-grams that a task sorts at once; bytes of input for a range of hashes.
-FRAGMENTS, SORTED_AT_ONCE, RANGE_BYTES = 8, 1_000_000, 8 << 20
-#: The table of the order has so many cells at most (bits), a byte each: 32 MB. A Bloom filter has so many bits at most: 16 MB.
-CELL_BITS, BLOOM_BITS = 25, 27
+#: Fragments of the order; n-grams, and n-grams of prefixes, that a task sorts at once; bytes of input for a range of hashes.
+FRAGMENTS, SORTED_AT_ONCE, POSTED_AT_ONCE, RANGE_BYTES = 8, 1_000_000, 500_000, 8 << 20
+#: The least class in the table of the order: n-grams of more than 4 documents. The table has so many cells at most
+#: (bits), a byte each: 32 MB; if more n-grams are that common, the least class rises. A Bloom filter has so many
+#: bits at most: 16 MB. Results don't depend on these sizes.
+LEAST_CLASS, CELL_BITS, BLOOM_BITS = 3, 25, 27
+#: 64-bit words of the parity bits of an n-gram set.
+PARITY = 8
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -60,57 +66,75 @@ def node_of(found: np.ndarray) -> int:
 class Order:
     """The global order: class of each hash, and the key (class, hash) that sorts n-grams."""
 
-    def __init__(self, range_bits: int, cell_bits: int, cells: np.ndarray, complete: bool):
+    def __init__(self, range_bits: int, cell_bits: int, cells: np.ndarray):
         self.range_bits, self.cell_bits, self.cells = range_bits, cell_bits, cells
-        #: The least key that another document may share: class 0 is of one document alone, if the table
-        #: holds all n-grams of two documents or more; else class 0 says nothing.
-        self.shared = np.uint64(1 << 57 if complete else 0)
 
     def cell(self, short: np.ndarray) -> np.ndarray:
-        return ((short * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.cell_bits)).astype(np.int64)
+        return ((short * _ODD) >> np.uint64(64 - self.cell_bits)).astype(np.int64)
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         kind = self.cells[self.cell(hashes >> np.uint64(32 - self.range_bits))].astype(np.uint64)
         return (kind << np.uint64(57)) | (hashes >> np.uint64(7))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as differences, byte plane by byte plane, compressed."""
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers, byte plane by byte plane, compressed."""
     import zstandard
 
-    gaps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
-    return zstandard.ZstdCompressor(level=1).compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
+def _numbers(data: bytes, n: int, kind) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=4 * n), np.uint8)
-    return np.cumsum(planes.reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+    wide = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=wide * n), np.uint8)
+    return planes.reshape(wide, -1).T.copy().view(kind).ravel()
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted numbers as differences."""
+    return _planes(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def _unpacked(data: bytes, n: int, kind=np.uint32) -> np.ndarray:
+    return np.cumsum(_numbers(data, n, kind), dtype=kind)
+
+
+def parity(found: np.ndarray) -> list[int]:
+    """For each of 64 * PARITY cells whether an odd number of n-grams falls into it. Two sets differ by as many n-grams at least as cells."""
+    odd = np.bincount((found * _ODD >> np.uint64(64 - (64 * PARITY - 1).bit_length())).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool)).view("<i8").tolist()
 
 
 def described(documents: DataFrame, n: int, range_bits: int) -> DataFrame:
-    """One pass: kind 0, a row per document (doc_id, n_shingles, node; node null without n-grams); kind 1, packed hashes (range, data, n_shingles of them)."""
+    """One pass: kind 0, a row per document (doc_id, n_shingles, node, text_hash, parity; the node null without n-grams);
+    kind 1, packed hashes (range, n_shingles of them, data, and times: how often each occurs)."""
     small_batches(documents.sparkSession)
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("range", pa.int32()), ("data", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("text_hash", pa.int64()), ("parity", pa.list_(pa.int64())), ("range", pa.int32()), ("data", pa.binary()), ("times", pa.binary())])
+    empty = dict.fromkeys(schema.names)
 
     def run(batches):
         held, size = [], 0
 
         def flush():
-            everything = np.sort(np.concatenate(held))
+            everything, times = np.unique(np.concatenate(held), return_counts=True)
+            times = times.astype(np.uint32)
             ranges = (everything >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(everything), np.int64)
             low = (everything >> np.uint64(32 - range_bits)).astype(np.uint32)
             cuts = np.flatnonzero(np.diff(ranges)) + 1
             for begin, end in zip([0, *cuts], [*cuts, len(low)], strict=True):
-                yield {"kind": 1, "doc_id": None, "n_shingles": int(end - begin), "node": None, "range": int(ranges[begin]), "data": _packed(low[begin:end])}
+                yield empty | {"kind": 1, "n_shingles": int(end - begin), "range": int(ranges[begin]), "data": _packed(low[begin:end]), "times": _planes(times[begin:end])}
 
         def rows():
             nonlocal size
             for batch in batches:
-                for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                for doc, text, text_hash in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["text_hash"].to_pylist(), strict=True):
                     found = shingles(text, n)
-                    yield {"kind": 0, "doc_id": doc, "n_shingles": len(found), "node": node_of(found) if len(found) else None, "range": None, "data": None}
+                    if not len(found):
+                        yield empty | {"kind": 0, "doc_id": doc, "n_shingles": 0}
+                        continue
+                    yield empty | {"kind": 0, "doc_id": doc, "n_shingles": len(found), "node": node_of(found), "text_hash": text_hash, "parity": parity(found)}
                     held.append(found)
                     size += len(found)
                     if size >= SORTED_AT_ONCE:
@@ -122,45 +146,49 @@ def described(documents: DataFrame, n: int, range_bits: int) -> DataFrame:
 
         yield from as_batches(rows(), schema)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n_shingles long, node long, range int, data binary")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return texts.mapInArrow(run, "kind int, doc_id long, n_shingles long, node long, text_hash long, parity array<long>, range int, data binary, times binary")
 
 
-def order_of(packed: DataFrame, range_bits: int, cell_bits: int = CELL_BITS) -> tuple[Order, list[int]]:
-    """The order from packed hashes (range, n_shingles, data), and the keys that cut it into FRAGMENTS of equal mass.
+def order_of(packed: DataFrame, range_bits: int, scratch: Scratch, cell_bits: int = CELL_BITS) -> tuple[Order, list[int]]:
+    """The order from packed hashes (range, n_shingles, data, times), and the keys that cut it into FRAGMENTS of equal mass.
 
-    Exact document counts of each range of hashes are made where it lies; what comes to the driver is
-    at most a quarter of the cells: if more n-grams occur twice or more, only the commoner ones.
+    Exact document counts of each range of hashes are made where it lies; a task has sent each hash once, with
+    its count. What comes to the driver is the n-grams of LEAST_CLASS or more, at most a quarter of the cells.
     """
 
     def count(key, found):
-        low = np.sort(np.concatenate([_unpacked(d, n) for d, n in zip(found["data"].to_pylist(), found["n_shingles"].to_pylist(), strict=True)]))
+        sizes = found["n_shingles"].to_pylist()
+        low = np.concatenate([_unpacked(d, n) for d, n in zip(found["data"].to_pylist(), sizes, strict=True)])
+        times = np.concatenate([_numbers(d, n, np.uint32) for d, n in zip(found["times"].to_pylist(), sizes, strict=True)])
+        order = np.argsort(low, kind="stable")
+        low, times = low[order], times[order].astype(np.int64)
         starts = np.flatnonzero(np.diff(low, prepend=low[0] ^ np.uint32(1)))
-        times = np.diff(starts, append=len(low))
-        kinds = np.where(times > 1, np.ceil(np.log2(times)), 0).astype(np.int64)
-        rows = []
-        for k in np.unique(kinds[kinds > 0]):
-            values = low[starts[kinds == k]]
-            rows.append({"range": key[0].as_py(), "class": int(k), "n": len(values), "mass": int(times[kinds == k].sum()), "data": _packed(values)})
+        low, times = low[starts], np.add.reduceat(times, starts)
+        kinds = np.ceil(np.log2(times)).astype(np.int64)
+        rows = [{"range": key[0].as_py(), "class": 0, "n": 0, "mass": int(times[kinds < LEAST_CLASS].sum()), "data": b""}]
+        for k in np.unique(kinds[kinds >= LEAST_CLASS]):
+            rows.append({"range": key[0].as_py(), "class": int(k), "n": int((kinds == k).sum()), "mass": int(times[kinds == k].sum()), "data": _packed(low[kinds == k])})
         return pa.Table.from_pylist(rows, schema=pa.schema([("range", pa.int32()), ("class", pa.int32()), ("n", pa.int64()), ("mass", pa.int64()), ("data", pa.binary())]))
 
-    counted = written(packed.select("range", "n_shingles", "data").groupBy("range").applyInArrow(count, "range int, class int, n long, mass long, data binary"), "ngram-counts")
+    counted = scratch.write(packed.select("range", "n_shingles", "data", "times").groupBy("range").applyInArrow(count, "range int, class int, n long, mass long, data binary"), "ngram-counts")
     sizes = {r["class"]: (r["n"], r["mass"]) for r in counted.groupBy("class").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).collect()}
     least, total = 64, 0
     for k in sorted(sizes, reverse=True):
-        if total + sizes[k][0] > 1 << (cell_bits - 2):
+        if not k or total + sizes[k][0] > 1 << (cell_bits - 2):
             break
         least, total = k, total + sizes[k][0]
     bits = min(cell_bits, max(16, (8 * total).bit_length()))
-    rare = sum(m for k, (_, m) in sizes.items() if k < least)
-    order = Order(range_bits, bits, np.zeros(1 << bits, np.uint8), not rare)
+    order = Order(range_bits, bits, np.zeros(1 << bits, np.uint8))
     for row in counted.filter(F.col("class") >= least).toLocalIterator():
         short = (np.uint64(row["range"]) << np.uint64(32)) | _unpacked(row["data"], row["n"]).astype(np.uint64)
         at = order.cell(short)
         order.cells[at] = np.maximum(order.cells[at], row["class"])
-    kept = [(0, rare)] * bool(rare) + [(k, sizes[k][1]) for k in sorted(sizes) if k >= least]
+    scratch.drop(counted)
+    kept = [(0, sum(m for k, (_, m) in sizes.items() if k < least))] + [(k, sizes[k][1]) for k in sorted(sizes) if k >= least]
     mass, cuts, done = sum(m for _, m in kept), [], 0
     for k, m in kept:
-        while len(cuts) < FRAGMENTS - 1 and done + m >= (len(cuts) + 1) * mass / FRAGMENTS:
+        while m and len(cuts) < FRAGMENTS - 1 and done + m >= (len(cuts) + 1) * mass / FRAGMENTS:
             cuts.append((k << 57) | min((1 << 57) - 1, int(((len(cuts) + 1) * mass / FRAGMENTS - done) / m * (1 << 57))))
         done += m
     return order, cuts
@@ -176,46 +204,103 @@ def _fresh(seen: OrderedDict, node: int, most: int = 100_000) -> bool:
     return True
 
 
-def postings(documents: DataFrame, n: int, order, numerator: int, denominator: int) -> DataFrame:
-    """A row per text: node, n, keys (those n-grams of its prefix that may occur in another document, rarest
-    first) and place (n-grams of the node before them). Texts without such n-grams have no row."""
-
-    def run(batches):
-        held, seen = order.value, OrderedDict()
-        for batch in batches:
-            rows, lists = [], []
-            for text in batch["text"].to_pylist():
-                found = shingles(text, n)
-                size = len(found)
-                if not size or not _fresh(seen, node := node_of(found)):
-                    continue
-                length = size - -(-numerator * size // denominator) + 1
-                keys = held.keys(found)
-                if length < size:
-                    keys = np.partition(keys, length - 1)[:length]
-                keys.sort()
-                place = int(np.searchsorted(keys, held.shared))
-                if place < len(keys):
-                    rows.append((node, size, place))
-                    lists.append(keys[place:].view(np.int64))
-            if rows:
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))], names=["node", "n", "place", "keys"])
-
-    return documents.select("text").mapInArrow(run, "node long, n long, place long, keys array<long>")
+def shared_prefixes(documents: DataFrame, n: int, order, range_bits: int, numerator: int, denominator: int) -> DataFrame:
+    """key, node, n, place: a row for each n-gram of a node's prefix that another node's prefix has too.
 
+    n is the node's size, place the number of its n-grams before this one. A task keeps the n-grams of which it
+    has two nodes or more, and only names each of them once to the range that settles it; the others go there
+    whole. So no range gathers a common n-gram's nodes, and what goes through it is only spread.
+    A node that no other set can be similar enough to has no row.
+    """
+    kinds = ((np.uint64, "key"), (np.int64, "node"), (np.uint32, "n"), (np.uint32, "place"))
+    wire = pa.schema([("range", pa.int32()), ("settled", pa.bool_()), ("rows", pa.int64()), *((name, pa.binary()) for _, name in kinds)])
+    columns = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
+
+    def post(batches):
+        held, by_text, by_node = order.value, OrderedDict(), OrderedDict()
+        parts, size = [], 0
+
+        def row(where, settled, found):
+            by = np.argsort(found[0], kind="stable")
+            key, *rest = (x[by] for x in found)
+            return {"range": int(where), "settled": settled, "rows": len(key), "key": _packed(key)} | {name: _planes(x) for (_, name), x in zip(kinds[1:], rest, strict=True)}
+
+        def flush(turn):
+            found = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            by = np.lexsort((found[1], found[0]))
+            key, node = found[0][by], found[1][by]
+            new = np.ones(len(by), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            found = [x[by][new] for x in found]
+            starts = np.flatnonzero(np.diff(found[0], prepend=found[0][0] ^ np.uint64(1)))
+            counts = np.diff(starts, append=len(found[0]))
+            many = np.repeat(counts > 1, counts)
+            own = [x[many] for x in found]
+            for at in range(0, len(own[0]), 8192):
+                yield row((turn * 31 + at // 8192) % (1 << range_bits), True, [x[at : at + 8192] for x in own])
+            named = starts[counts > 1]
+            sent = [np.concatenate([x[~many], x[named] if i < 2 else np.zeros(len(named), x.dtype)]) for i, x in enumerate(found)]
+            ranges = ((sent[0] * _ODD) >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(sent[0]), np.int64)
+            by = np.argsort(ranges, kind="stable")
+            ranges, sent = ranges[by], [x[by] for x in sent]
+            cuts = np.flatnonzero(np.diff(ranges)) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(ranges)], strict=True):
+                yield row(ranges[begin], False, [x[begin:end] for x in sent])
 
-def by_key(nodes: DataFrame) -> DataFrame:
-    """A row per n-gram of each node: key, node, n, place (n-grams of the node before it)."""
-    return nodes.select(F.posexplode("keys").alias("at", "key"), "node", "n", "place").withColumn("place", F.col("place") + F.col("at")).drop("at")
+        def rows():
+            nonlocal size
+            turn = 0
+            for batch in batches:
+                for text, text_hash in zip(batch["text"].to_pylist(), batch["text_hash"].to_pylist(), strict=True):
+                    if not _fresh(by_text, text_hash):
+                        continue
+                    found = shingles(text, n)
+                    whole = len(found)
+                    if whole * denominator < (whole + 1) * numerator or not _fresh(by_node, node := node_of(found)):
+                        continue
+                    length = whole - -(-numerator * whole // denominator) + 1
+                    keys = held.keys(found)
+                    if length < whole:
+                        keys = np.partition(keys, length - 1)[:length]
+                    keys.sort()
+                    parts.append((keys, np.full(length, node, np.int64), np.full(length, whole, np.uint32), np.arange(length, dtype=np.uint32)))
+                    size += length
+                    if size >= POSTED_AT_ONCE:
+                        yield from flush(turn := turn + 1)
+                        parts.clear()
+                        size = 0
+            if size:
+                yield from flush(turn + 1)
+
+        yield from as_batches(rows(), wire)
+
+    def settle(_, found):
+        sizes = found["rows"].to_pylist()
+        read = [np.concatenate([_unpacked(d, m, kind) if name == "key" else _numbers(d, m, kind) for d, m in zip(found[name].to_pylist(), sizes, strict=True)]) for kind, name in kinds]
+        settled = np.repeat(np.array(found["settled"].to_pylist(), bool), sizes)
+        out = [x[settled] for x in read]
+        left = [x[~settled] for x in read]
+        if len(left[0]):
+            by = np.lexsort((left[1], left[0]))
+            key, node, whole, place = (x[by] for x in left)
+            starts = np.flatnonzero(np.diff(key, prepend=key[0] ^ np.uint64(1)))
+            counts = np.diff(starts, append=len(key))
+            ends = starts + counts - 1
+            shared = (node[starts] != node[ends]) | (np.minimum.reduceat(whole, starts) == 0)  # two nodes, or named
+            keep = np.repeat(shared, counts) & (whole > 0)
+            keep[1:] &= ~((key[1:] == key[:-1]) & (node[1:] == node[:-1]) & (whole[:-1] > 0))
+            out = [np.concatenate(x) for x in zip(out, (key[keep], node[keep], whole[keep], place[keep]), strict=True)]
+        return pa.Table.from_arrays([pa.array(x.view(np.int64) if x.itemsize == 8 else x.astype(np.int64)) for x in out], schema=columns)
+
+    sent = documents.select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(post, "range int, settled boolean, rows long, key binary, node binary, n binary, place binary")
+    return sent.groupBy("range").applyInArrow(settle, "key long, node long, n long, place long")
 
 
 def _may_link(a: str, b: str, numerator: int, denominator: int):
-    """Whether sizes and places allow a link whose first common n-gram this is."""
+    """Whether sizes and places allow a link of two different sets whose first common n-gram this is."""
     col = F.col
     fits = (col(f"{a}.n") * denominator >= col(f"{b}.n") * numerator) & (col(f"{b}.n") * denominator >= col(f"{a}.n") * numerator)
-    rest = F.least(col(f"{a}.n") - col(f"{a}.place"), col(f"{b}.n") - col(f"{b}.place"))
+    rest = F.least(col(f"{a}.n") - col(f"{a}.place"), col(f"{b}.n") - col(f"{b}.place"), col(f"{a}.n") - (col(f"{a}.n") == col(f"{b}.n")).cast("long"))
     return fits & (rest * (numerator + denominator) >= (col(f"{a}.n") + col(f"{b}.n")) * numerator)
 
 
@@ -224,32 +309,44 @@ def _pairs(joined: DataFrame, a: str, b: str) -> DataFrame:
     return joined.select(F.least(low, high).alias("x"), F.greatest(low, high).alias("y")).select(F.col("x.node").alias("a"), F.col("x.n").alias("n_a"), F.col("y.node").alias("b"), F.col("y.n").alias("n_b")).distinct()
 
 
-def _bloom(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of (node), a fixed size at most. When full it lets everything through."""
-    bits = min(BLOOM_BITS, max(16, (12 * nodes.count()).bit_length()))
+def _similar_parity(pairs: DataFrame, nodes: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs whose sets may link by their parity bits, with the hash of a text of each (text_a, text_b).
+
+    Linked sets differ by (1 - t) / (1 + t) of their sizes' sum at most, and in no more bits than n-grams.
+    """
+    both = pairs
+    for x in "ab":
+        both = both.join(nodes.select(F.col("node").alias(x), F.col("text_hash").alias(f"text_{x}"), F.col("parity").alias(f"parity_{x}")), x)
+    bits = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY)), F.lit(0))
+    return both.filter(bits * (numerator + denominator) <= (F.col("n_a") + F.col("n_b")) * (denominator - numerator)).select("a", "n_a", "text_a", "b", "n_b", "text_b")
+
+
+def _bloom(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of (text_hash), a fixed size at most. When full it lets everything through."""
+    bits = min(BLOOM_BITS, max(16, (12 * hashes.count()).bit_length()))
 
     def run(batches):
         own = np.zeros(1 << bits, bool)
         for batch in batches:
-            for at in _bloom_places(batch["node"].to_numpy(), bits):
+            for at in _bloom_places(batch["text_hash"].to_numpy(), bits):
                 own[at] = True
         yield pa.RecordBatch.from_pylist([{"bits": zlib.compress(np.packbits(own).tobytes(), 1)}])
 
     out = np.zeros(1 << bits, bool)
-    for row in nodes.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in hashes.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.unpackbits(np.frombuffer(zlib.decompress(row["bits"]), np.uint8)).astype(bool)
     return out
 
 
-def _bloom_places(nodes: np.ndarray, bits: int) -> list[np.ndarray]:
-    x = nodes.astype(np.int64).view(np.uint64)
+def _bloom_places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    x = hashes.astype(np.int64).view(np.uint64)
     return [((x * np.uint64(m)) >> np.uint64(64 - bits)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def verified(pairs: DataFrame, documents: DataFrame, n: int, order, cuts: list[int], numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, n_a, b, n_b) that link: overlaps are counted in each fragment and summed."""
+def verified(pairs: DataFrame, documents: DataFrame, n: int, order, cuts: list[int], numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, n_a, text_a, b, n_b, text_b) that link: overlaps are counted in each fragment and summed."""
     spark = documents.sparkSession
-    wanted = spark.sparkContext.broadcast(_bloom(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    wanted = spark.sparkContext.broadcast(_bloom(pairs.select(F.col("text_a").alias("text_hash")).union(pairs.select("text_b")).distinct()))
     cut = np.array(cuts, np.uint64)
     schema = pa.schema([("node", pa.int64()), ("fragment", pa.int32()), ("keys", pa.binary())])
 
@@ -259,15 +356,16 @@ def verified(pairs: DataFrame, documents: DataFrame, n: int, order, cuts: list[i
 
         def rows():
             for batch in batches:
-                for text in batch["text"].to_pylist():
-                    found = shingles(text, n)
-                    if not len(found):
+                if not batch.num_rows:
+                    continue
+                hashes = batch["text_hash"].to_numpy()
+                for i in np.flatnonzero(np.logical_and.reduce([filled[at] for at in _bloom_places(hashes, bits)])):
+                    if not _fresh(seen, int(hashes[i])):
                         continue
-                    node = node_of(found)
-                    if not all(filled[at[0]] for at in _bloom_places(np.array([node]), bits)) or not _fresh(seen, node):
+                    found = shingles(batch["text"][i].as_py(), n)
+                    if not len(found):
                         continue
-                    keys = np.sort(held.keys(found))
-                    keys = keys[np.searchsorted(keys, held.shared) :]
+                    keys, node = np.sort(held.keys(found)), node_of(found)
                     at = [0, *np.searchsorted(keys, cut), len(keys)]
                     for f, (begin, end) in enumerate(zip(at, at[1:], strict=False)):
                         if end > begin:
@@ -275,8 +373,8 @@ def verified(pairs: DataFrame, documents: DataFrame, n: int, order, cuts: list[i
 
         yield from as_batches(rows(), schema, rows_at_once=4096)
 
-    cutup = documents.select("text").mapInArrow(fragments, "node long, fragment int, keys binary").dropDuplicates(["node", "fragment"])
-    cutup = written(cutup, "fragments")
+    cutup = documents.select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(fragments, "node long, fragment int, keys binary").dropDuplicates(["node", "fragment"])
+    cutup = scratch.write(cutup, "fragments")
     each = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("fragment"))
     left = each.join(cutup.select(F.col("node").alias("a"), "fragment", F.col("keys").alias("keys_a")), ["a", "fragment"])
     met = left.join(cutup.select(F.col("node").alias("b"), "fragment", F.col("keys").alias("keys_b")), ["b", "fragment"]).select("a", "b", "keys_a", "keys_b")
@@ -288,7 +386,10 @@ def verified(pairs: DataFrame, documents: DataFrame, n: int, order, cuts: list[i
 
     total = met.mapInArrow(overlap, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     linked = total.join(pairs, ["a", "b"]).filter(F.col("common") * denominator >= (F.col("n_a") + F.col("n_b") - F.col("common")) * numerator)
-    return linked.select("a", "b")
+    links = scratch.write(linked.select("a", "b"), "links")
+    scratch.drop(cutup)
+    wanted.destroy()
+    return links
 
 
 def near_duplicates(documents: DataFrame, n: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, cell_bits: int = CELL_BITS) -> DataFrame:
@@ -297,44 +398,48 @@ def near_duplicates(documents: DataFrame, n: int = WORDS, numerator: int = NUMER
     Two documents link from a Jaccard similarity of numerator/denominator of their word n-grams on; fewer
     words than n are one n-gram. A text without words (null, empty, blank) links with nothing. Repeated
     rows and equal texts link; a null doc_id is linked like others and has the least id of its group.
-    An empty table gives no rows. n-grams are compared as 64-bit hashes (57 bits and the class where
-    overlaps are counted).
+    An empty table gives no rows; texts may have any length. n-grams are compared as 64-bit hashes (57 bits
+    and the class where overlaps are counted). The result is a written table; all others are deleted.
     """
     spark = documents.sparkSession
     range_bits = min(20, power_of_two(input_bytes(documents) / RANGE_BYTES).bit_length() - 1)
-    both = written(described(documents, n, range_bits), "shingles")
-    order, cuts = order_of(both.filter("kind = 1"), range_bits, cell_bits)
-    shared = spark.sparkContext.broadcast(order)
-    # nodes are made distinct before their n-grams become rows; most n-grams then are of one node alone, and go
-    nodes = written(postings(documents, n, shared, numerator, denominator).dropDuplicates(["node"]), "postings")
-    each = by_key(nodes)
-    common = each.groupBy("key").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("key")
-    found = written(each.join(common, "key", "left_semi"), "common-postings")
-    release(spark)
-
-    hubs = found.groupBy("key").agg(F.min(F.struct("place", "n", "node")).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", "hub.*")
-    starred = found.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.node") != F.col("h.node")) & _may_link("m", "h", numerator, denominator))
-    stars = written(_pairs(starred, "m", "h"), "pairs")
-    release(spark)
-    links = written(verified(stars, documents, n, shared, cuts, numerator, denominator), "links")
-    release(spark)
-
-    # pairs that the stars left apart
-    labels = connected_components(links)
-    labelled = written(found.join(labels, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label")), "labelled")
-    apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    mixed = written(labelled.join(apart, "key", "left_semi"), "mixed")
-    release(spark)
-    crossed = mixed.alias("m").join(mixed.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.label") < F.col("h.label")) & _may_link("m", "h", numerator, denominator))
-    rest = written(_pairs(crossed, "m", "h").join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = written(links.union(verified(rest, documents, n, shared, cuts, numerator, denominator)), "links")
+    with Scratch() as scratch:
+        both = scratch.write(described(documents, n, range_bits), "shingles")
+        each = scratch.write(both.filter("kind = 0").select("doc_id", "n_shingles", "node", "text_hash", "parity"), "described")
+        order, cuts = order_of(both.filter("kind = 1"), range_bits, scratch, cell_bits)
+        scratch.drop(both)
+        shared = spark.sparkContext.broadcast(order)
+        nodes = scratch.write(each.filter("node is not null").groupBy("node").agg(F.min_by("parity", "text_hash").alias("parity"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least")), "nodes")
+        found = scratch.write(shared_prefixes(documents, n, shared, range_bits, numerator, denominator), "postings")
+
+        hubs = found.groupBy("key").agg(F.min(F.struct("place", "n", "node")).alias("hub")).select("key", "hub.*")
+        starred = found.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.node") != F.col("h.node")) & _may_link("m", "h", numerator, denominator))
+        stars = scratch.write(_similar_parity(_pairs(starred, "m", "h"), nodes, numerator, denominator), "pairs")
+        links = verified(stars, documents, n, shared, cuts, numerator, denominator, scratch)
+
+        # pairs that the stars left apart
         labels = connected_components(links)
-
-    each = both.filter("kind = 0").select("doc_id", "n_shingles", "node")
-    grouped = each.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
-    least = grouped.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        scratch.tables.append(labels)
+        labelled = scratch.write(found.join(labels, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label")), "labelled")
+        scratch.drop(found)
+        apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+        mixed = scratch.write(labelled.join(apart, "key", "left_semi"), "mixed")
+        scratch.drop(labelled)
+        crossed = mixed.alias("m").join(mixed.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.label") < F.col("h.label")) & _may_link("m", "h", numerator, denominator))
+        rest = scratch.write(_similar_parity(_pairs(crossed, "m", "h"), nodes, numerator, denominator).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        scratch.drop(mixed)
+        if not rest.isEmpty():
+            more = verified(rest, documents, n, shared, cuts, numerator, denominator, scratch)
+            scratch.drop(labels)
+            labels = connected_components(links.union(more))
+            scratch.tables.append(labels)
+        shared.destroy()
+
+        # the least id of a node, then of a component: copies meet before they are dealt by component
+        lowest = scratch.write(labels.join(nodes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("component_id")), "components")
+        known = scratch.write(nodes.select("node", "least").join(labels, "node", "left").join(lowest, "label", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "known")
+        grouped = each.select("doc_id", "n_shingles", "node").join(known, "node", "left")
+        return written(grouped.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "near-duplicates")
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
