@@ -26,6 +26,11 @@ def strict_base64(text: Column) -> Column:
     return F.when(text.rlike(BASE64), F.try_to_binary(text, F.lit("base64")))
 
 
+def base64_text(raw: Column) -> Column:
+    """Padded base64 in one line (base64() may break lines, as mail does)."""
+    return F.regexp_replace(F.base64(raw), r"\s", "")
+
+
 def utf8(raw: Column) -> Column:
     """Bytes as text; malformed ones become the replacement character."""
     return F.make_valid_utf8(raw.cast("string"))

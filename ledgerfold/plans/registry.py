@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.functions import text
+from ledgerfold.functions import payload, text
 from ledgerfold.operators import evaluate, flow, reads, state
+from ledgerfold.plans import workflow
 from ledgerfold.sources import fixtures, intake
 from ledgerfold.sources.intake import table
 
@@ -52,15 +53,11 @@ def orphan_and_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 def content_hash_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
-    return documents.groupBy(F.sha2("text", 256).alias("idempotency_key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_received"))
+    return documents.groupBy(payload.content_hash(F.col("text")).alias("idempotency_key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_received"))
 
 
-def ingest_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of even ids are payloads; those of source src0 with odd ids are in the ledger already."""
-    documents = table(spark, sf, "documents")
-    ledger = documents.filter("doc_id % 2 = 1 and source = 'src0'").select(F.sha2("text", 256).alias("idempotency_key")).distinct()
-    payloads = documents.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("seq"), F.to_json(F.struct(F.base64(F.col("text").cast("binary")).alias("contract"))).alias("json"), F.col("text").cast("binary").alias("raw"))
-    return intake.ingest(payloads, ledger).select("seq", "idempotency_key", "result")
+#: Items up to which the hashes of their words are broadcast (16 bytes each); beyond, they are joined by a shuffle.
+FEW_ITEMS = 100_000
 
 
 def verbatim_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,19 +66,20 @@ def verbatim_check(spark: SparkSession, sf: str) -> DataFrame:
     n = 8
     bare = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"), bare(text.stripped(F.col("text"))).alias("iw"))
-    keyed = items.filter(F.size("iw") >= n + 2).select("item_id", "item", F.array_join(F.slice("iw", 2, n), " ").alias("head"))
+    keyed = items.filter(F.size("iw") >= n + 2).select("item_id", F.xxhash64(F.slice("iw", 2, n)).alias("head"))
     short = items.filter(F.size("iw") < n + 2).select("item_id", "item")
     words = table(spark, sf, "documents").select("doc_id", "text", bare(F.col("text")).alias("w"))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
-    candidates = words.select("doc_id", F.explode(F.array_distinct(windows)).alias("head")).join(keyed, "head").select("doc_id", "item_id", "item").distinct()
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.xxhash64(F.slice("w", i, n)))
+    few = keyed.limit(FEW_ITEMS + 1).count() <= FEW_ITEMS  # then windows that no item has go before any shuffle
+    candidates = words.select("doc_id", F.explode(windows).alias("head")).join(F.broadcast(keyed) if few else keyed, "head").select("doc_id", "item_id").distinct()
     stands = text.verbatim(F.col("item"), F.col("text"))
-    found = candidates.join(words.select("doc_id", "text"), "doc_id").filter(stands)
+    found = candidates.join(words.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id").filter(stands)
     return found.select("doc_id", "item_id").union(words.select("doc_id", "text").join(short, stands).select("doc_id", "item_id"))
 
 
 def format_check(spark: SparkSession, sf: str) -> DataFrame:
     valid = text.stripped(F.col("c_name")).rlike(r"^Customer#\p{Nd}{8}[02468]$")
-    return table(spark, sf, "customer").select("c_custkey", valid.alias("valid"), text.ein_valid(F.substring("c_name", 10, 9)).alias("ein_valid"))
+    return table(spark, sf, "customer").select("c_custkey", valid.alias("valid"), text.ein_valid(F.concat(F.substring("c_name", 15, 2), F.when(F.col("c_custkey") % 3 > 0, F.lit("-")).otherwise(F.lit(" ")), F.substring("c_name", 12, 7), F.lit("\n"))).alias("ein_valid"))
 
 
 def watchlist_screen(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,7 +155,7 @@ def golden_flow(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.bucket_accuracy(run, "bucket", "decision", "expected_decision")
 
 
-QUERIES = {f.__name__: f for f in (list_by_status, latest_run_per_parent, dashboard_read_model, reload_row, latest_missing_child, orphan_and_cascade, content_hash_dedupe, ingest_ledger, verbatim_check, format_check, watchlist_screen, token_set_match, regex_extract_fields, json_patch_fold, status_mirror, decision_and_findings, bucket_accuracy, score_summary, paused_latest_turn, guard_transitions, badge_and_actions, golden_flow)}
+QUERIES = {f.__name__: f for f in (list_by_status, latest_run_per_parent, dashboard_read_model, reload_row, latest_missing_child, orphan_and_cascade, content_hash_dedupe, verbatim_check, format_check, watchlist_screen, token_set_match, regex_extract_fields, json_patch_fold, status_mirror, decision_and_findings, bucket_accuracy, score_summary, paused_latest_turn, guard_transitions, badge_and_actions, golden_flow)} | workflow.QUERIES
 
 _LATEST = "SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
 
@@ -169,9 +167,8 @@ ORACLE = {
     "latest_missing_child": "SELECT d.doc_id, source, quality, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "orphan_and_cascade": "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') THEN 'kept' ELSE 'orphan' END AS fate FROM orders",
     "content_hash_dedupe": "SELECT sha256(text) AS idempotency_key, min(doc_id) AS doc_id, count(*) AS n_received FROM documents GROUP BY 1",
-    "ingest_ledger": "WITH h AS (SELECT doc_id AS seq, sha256(text) AS idempotency_key FROM documents WHERE doc_id % 2 = 0), g AS (SELECT DISTINCT sha256(text) AS k FROM documents WHERE doc_id % 2 = 1 AND source = 'src0') SELECT seq, idempotency_key, CASE WHEN idempotency_key IN (SELECT k FROM g) OR row_number() OVER (PARTITION BY idempotency_key ORDER BY seq) > 1 THEN 'duplicate' ELSE 'invalid_payload' END AS result FROM h",
     "verbatim_check": "SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE trim(b.text) <> '' AND contains(d.text, trim(b.text))",
-    "format_check": "SELECT c_custkey, regexp_full_match(c_name, 'Customer#[0-9]{8}[02468]') AS valid, regexp_full_match(substr(c_name, 10, 9), '[0-9]{2}-[0-9]{7}') AS ein_valid FROM customer",
+    "format_check": "SELECT c_custkey, regexp_full_match(c_name, 'Customer#[0-9]{8}[02468]') AS valid, c_custkey % 3 > 0 AND regexp_full_match(substr(c_name, 12, 7), '[0-9]{7}') AS ein_valid FROM customer",
     "watchlist_screen": "SELECT *, CASE WHEN flagged THEN 'Matched sanctions watchlist entry' END AS reason FROM (SELECT c_custkey, c_name, lower(trim(c_name)) IN ('customer#000000003', 'customer#000000077', 'customer#000000140') AS flagged FROM customer)",
     "token_set_match": r"""WITH t AS (SELECT p_partkey, p_name || ' technology' AS a, split_part(p_name, ' ', -1) || ', ' || upper(split_part(p_name, ' ', 1)) || CASE WHEN p_partkey % 3 = 0 THEN ' tech, Inc.' ELSE ' & Co.' END AS b FROM part),
 n AS (SELECT p_partkey, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(replace(replace(lower(a), '&', ' and '), ',', ' '), '[a-z0-9]+'), lambda x: x NOT IN ('inc', 'llc', 'corp', 'corporation', 'co', 'ltd', 'group')), lambda x: CASE WHEN x = 'tech' THEN 'technology' ELSE x END))) AS ta,
@@ -191,4 +188,4 @@ SELECT u.user_id, a.k, b.status FROM (SELECT DISTINCT user_id FROM events) u LEF
     "guard_transitions": "WITH c AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'needs_review' WHEN 'F' THEN 'approved' ELSE 'processing' END AS s FROM orders), d AS (SELECT event_id * 3 AS onboarding_id, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'maybe' END AS decision FROM events) SELECT onboarding_id, decision, CASE WHEN decision = 'maybe' THEN 'invalid_decision' WHEN s IS NULL THEN 'not_found' WHEN s <> 'needs_review' THEN 'not_awaiting_review' ELSE 'ok' END AS result FROM d LEFT JOIN c ON id = onboarding_id",
     "badge_and_actions": "SELECT *, CASE status WHEN 'approved' THEN 'badge-success' WHEN 'needs_review' THEN 'badge-warning' WHEN 'rejected' THEN 'badge-error' ELSE 'badge-neutral' END AS badge, status = 'needs_review' AS reviewable FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'needs_review' WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderkey % 7 = 0 THEN 'rejected' ELSE 'received' END AS status FROM orders)",
     "golden_flow": "SELECT * FROM (VALUES ('clean', CAST(10 AS BIGINT), CAST(10 AS BIGINT)), ('mismatch', 5, 5), ('formatting', 3, 3), ('malformed', 2, 2)) t(bucket, total, correct)",
-}
+} | workflow.ORACLE

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Templates and cases (bucket, contract name, W-9 name, tax id, terms, liability).
+# Fixed values, reproduced as test data that results depend on: templates and cases (bucket, contract name, W-9 name, tax id, terms, liability).
 CONTRACT = 'VENDOR SERVICES AGREEMENT\n\nThis agreement is entered into between Buyer and {} ("Vendor").\n\nPayment Terms: {}\n\nLiability: {}\n'
 W9 = "FORM W-9 -- Request for Taxpayer Identification Number\n\n1. Name of entity: {}\n2. Taxpayer Identification Number (EIN): {}\n"
 STANDARD, MUTUAL, FEES, CAPPED = "Standard indemnification clause.", "Mutual indemnification for third-party claims.", "Limited to fees paid in prior 12 months.", "Liability capped at contract value."

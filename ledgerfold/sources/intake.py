@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from ledgerfold.functions import payload
 
 STATUSES = ("received", "processing", "needs_review", "approved", "rejected")
 ONBOARDINGS = "id long, status string, idempotency_key string, document_paths map<string,string>, inserted_at timestamp, updated_at timestamp"
-RUNS = "id long, vendor_onboarding_id long, status string, thread_id string, company_name string, w9_company_name string, tax_id binary, payment_terms string, liability_clauses string, explanation string, inserted_at timestamp, updated_at timestamp"
+RUNS = "id long, onboarding_id long, status string, thread_id string, company_name string, w9_company_name string, tax_id binary, payment_terms string, liability_clauses string, explanation string, inserted_at timestamp, updated_at timestamp"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,31 +23,54 @@ def by_key(df: DataFrame, key: str, value) -> DataFrame:
     return df.filter(F.col(key) == F.lit(value))
 
 
+def looked_up(asked: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """Many point lookups: the rows of df for the asked keys, with result ok or not_found."""
+    found = df.withColumnRenamed(key, "__key").withColumn("__there", F.lit(True))
+    return asked.select(key).join(found, F.col(key) == F.col("__key"), "left").withColumn("result", F.when(F.col("__there"), "ok").otherwise("not_found")).drop("__key", "__there")
+
+
 def ingest(payloads: DataFrame, ledger: DataFrame) -> DataFrame:
     """Payloads (raw binary, seq) with their outcome: created, duplicate or invalid_payload.
 
-    A payload whose hash is in the ledger (idempotency_key) or came earlier in the batch is a
-    duplicate, and is not decoded; of equal payloads the least seq counts. Columns: seq,
-    idempotency_key, result, contract and w9 (bytes), document_paths.
+    A payload without both fields as strict base64 is invalid, however often it comes: nothing of it is stored.
+    A valid one whose hash is in the ledger (idempotency_key) or came earlier in the batch is a duplicate; of
+    equal payloads the least seq counts. Columns: seq, idempotency_key, result, and for those that are created
+    contract and w9 (bytes) and document_paths.
+    """
+    keys = ("contract", "w9")
+    decoded = payloads.select("seq", payload.content_hash(F.col("raw")).alias("idempotency_key"), *(payload.strict_base64(payload.json_text(F.col("raw"), k)).alias(k) for k in keys))
+    decoded = decoded.withColumn("__valid", F.col("contract").isNotNull() & F.col("w9").isNotNull())
+    first = decoded.filter("__valid").groupBy("idempotency_key").agg(F.min("seq").alias("__first"))
+    new = first.join(ledger.select("idempotency_key"), "idempotency_key", "left_anti")
+    result = F.when(~F.col("__valid"), "invalid_payload").when(F.col("seq") == F.col("__first"), "created").otherwise("duplicate")
+    out = decoded.join(new, "idempotency_key", "left").withColumn("result", result)
+    created = F.col("result") == "created"
+    paths = F.create_map(*(x for k in keys for x in (F.lit(k), F.concat("idempotency_key", F.lit(f"/{k}.pdf")))))
+    return out.select("seq", "idempotency_key", "result", *(F.when(created, F.col(k)).alias(k) for k in keys), F.when(created, paths).alias("document_paths"))
+
+
+def numbered(df: DataFrame, order: str, first: int = 1, column: str = "id", pieces: int | None = None) -> DataFrame:
+    """df with dense numbers from `first` in the order of a numeric column; ties are numbered in any order.
+
+    Rows are cut into pieces at quantiles, which are numbers that the driver holds, each piece is counted, and
+    rows are numbered within their piece: no task has all rows.
     """
-    hashed = payloads.select("seq", "raw", payload.content_hash(F.col("raw")).alias("idempotency_key"))
-    first = hashed.groupBy("idempotency_key").agg(F.min("seq").alias("first_seq"))
-    new = first.join(ledger.select("idempotency_key"), "idempotency_key", "left_anti").withColumn("is_new", F.lit(True))
-    marked = hashed.join(new, "idempotency_key", "left").withColumn("is_new", F.coalesce(F.col("is_new") & (F.col("seq") == F.col("first_seq")), F.lit(False)))
-    decoded = [F.when(F.col("is_new"), payload.strict_base64(payload.json_text(F.col("raw"), k))).alias(k) for k in ("contract", "w9")]
-    out = marked.select("seq", "idempotency_key", "is_new", *decoded)
-    paths = F.create_map(*(x for k in ("contract", "w9") for x in (F.lit(k), F.concat("idempotency_key", F.lit(f"/{k}.pdf")))))
-    result = F.when(~F.col("is_new"), "duplicate").when(F.col("contract").isNull() | F.col("w9").isNull(), "invalid_payload").otherwise("created")
-    return out.withColumn("result", result).withColumn("document_paths", F.when(F.col("result") == "created", paths)).drop("is_new")
+    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(order, [(i + 1) / n for i in range(n - 1)] or [0.5])).first()[0] or []
+    piece = sum((F.when(F.col(order) > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    cut = df.withColumn("__piece", piece)
+    sizes = {r["__piece"]: r["count"] for r in cut.groupBy("__piece").count().collect()}
+    before = F.lit(first - 1)
+    for p in sizes:
+        before = F.when(F.col("__piece") == p, F.lit(first - 1 + sum(k for q, k in sizes.items() if q < p))).otherwise(before)
+    within = Window.partitionBy("__piece").orderBy(order)
+    return cut.withColumn(column, (F.row_number().over(within) + before).cast("long")).drop("__piece")
 
 
 def new_onboardings(ingested: DataFrame, last_id: int, now) -> DataFrame:
     """Rows to append to the onboardings: ids follow last_id in the order of seq."""
-    created = ingested.filter("result = 'created'")
-    # dense ids need each row's number; zipWithIndex numbers partitions without gathering the rows
-    schema = created.schema.add("__n", LongType())
-    rows = created.orderBy("seq").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return created.sparkSession.createDataFrame(rows, schema).select((F.lit(last_id) + 1 + F.col("__n")).alias("id"), F.lit("received").alias("status"), "idempotency_key", "document_paths", F.lit(now).cast("timestamp").alias("inserted_at"), F.lit(now).cast("timestamp").alias("updated_at"))
+    created = numbered(ingested.filter("result = 'created'").select("seq", "idempotency_key", "document_paths"), "seq", last_id + 1)
+    return created.select("id", F.lit("received").alias("status"), "idempotency_key", "document_paths", F.lit(now).cast("timestamp").alias("inserted_at"), F.lit(now).cast("timestamp").alias("updated_at"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -58,17 +80,18 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def store_blobs(blobs: DataFrame, root: str) -> None:
-    """Writes (path, content) below root, a file system that all executors share; the same path is overwritten."""
+    """Appends (path, content) to the blob table at root, a folder of any file system that Spark writes."""
+    blobs.select("path", "content", F.current_timestamp().alias("stored_at"), F.expr("uuid()").alias("stored_as")).write.mode("append").parquet(root)
+
+
+def load_blobs(spark: SparkSession, root: str) -> DataFrame:
+    """path and content of the blobs at root: of a path that was stored again, the last content."""
+    return spark.read.parquet(root).groupBy("path").agg(F.max_by("content", F.struct("stored_at", "stored_as")).alias("content"))
 
-    def write(rows):
-        for row in rows:
-            target = os.path.join(root, row["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(f"{target}.part", "wb") as out:
-                out.write(row["content"])
-            os.replace(f"{target}.part", target)  # a repeated task leaves whole files
 
-    blobs.select("path", "content").foreachPartition(write)
+def texts(blobs: DataFrame) -> DataFrame:
+    """path and text of blobs; malformed UTF-8 is replaced, an empty blob is an empty text."""
+    return blobs.select("path", payload.utf8(F.col("content")).alias("text"))
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -76,10 +99,48 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def pending_work(onboardings: DataFrame, runs: DataFrame) -> DataFrame:
-    """The work list: received onboardings without a run. Retries are further calls."""
-    started = runs.select(F.col("vendor_onboarding_id").alias("id"))
-    return onboardings.filter("status = 'received'").join(started, "id", "left_anti")
+def pending_work(onboardings: DataFrame, runs: DataFrame, attempts: int = 1, width: int | None = None) -> DataFrame:
+    """The work list: received onboardings with fewer runs than attempts, oldest first; width of them at most, if given.
+
+    With one attempt that is every one without a run. Each failed attempt leaves a run, so five attempts are five runs.
+    """
+    tried = runs.groupBy(F.col("onboarding_id").alias("id")).agg(F.count("*").alias("__tried"))
+    left = onboardings.filter("status = 'received'").join(tried, "id", "left").withColumn("attempt", F.coalesce("__tried", F.lit(0)) + 1).filter(F.col("attempt") <= attempts).drop("__tried")
+    return left if width is None else left.orderBy("inserted_at", "id").limit(width)
+
+
+def outcome(status: Column, error: Column) -> Column:
+    """ok for an answer of 200 to 299; unexpected_status: N for another; error: text where there was none."""
+    return F.when(error.isNotNull(), F.concat(F.lit("error: "), error)).when(status.between(200, 299), "ok").otherwise(F.concat(F.lit("unexpected_status: "), F.coalesce(status.cast("string"), F.lit("none"))))
+
+
+def delivered(requests: DataFrame, send: Callable[[dict], int], key: str) -> DataFrame:
+    """key, http_status, error and outcome of sending each request (a row as a dict): an external call is the one
+    thing here that no expression can do. A repeated task sends again, so the receiver must accept repeats."""
+
+    def run(frames: Iterator) -> Iterator:
+        for frame in frames:
+            codes, errors = [], []
+            for row in frame.to_dict("records"):
+                try:
+                    codes.append(send(row))
+                    errors.append(None)
+                except Exception as e:  # the row says what went wrong, and the others go on
+                    codes.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield frame[[key]].assign(http_status=codes, error=errors).astype({"http_status": "Int32"})
+
+    kind = requests.schema[key].dataType.simpleString()
+    return requests.mapInPandas(run, f"{key} {kind}, http_status int, error string").withColumn("outcome", outcome(F.col("http_status"), F.col("error")))
+
+
+def create_schema(spark: SparkSession, name: str) -> None:
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}")
+
+
+def rename_table(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a table; the other way round undoes it."""
+    spark.sql(f"ALTER TABLE {old} RENAME TO {new}")
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str, parent_key: str = "id") -> DataFrame:

@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import payload, text
-from ledgerfold.operators import evaluate, flow, reads, state
+from ledgerfold.operators import evaluate, flow, reads, runs, state
 from ledgerfold.plans import registry
 from ledgerfold.sources import fixtures, intake
 from ledgerfold.streaming import live
@@ -56,19 +56,98 @@ def body(contract=b"c", w9=b"w"):
 
 def test_ingest(spark):
     known = spark.createDataFrame([(bytearray(body(b"old")),)], "raw binary").select(payload.content_hash(F.col("raw")).alias("idempotency_key"))
-    rows = [(1, body()), (2, body()), (3, b"not json"), (4, b"{}"), (5, body(b"old")), (6, body(b"new"))]
+    rows = [(1, body()), (2, body()), (3, b"not json"), (4, b"{}"), (5, body(b"old")), (6, body(b"new")), (7, b"not json"), (8, b"not json")]
     out = intake.ingest(spark.createDataFrame([(s, bytearray(r)) for s, r in rows], "seq long, raw binary"), known)
     found = {r["seq"]: r for r in out.collect()}
-    assert {k: v["result"] for k, v in found.items()} == {1: "created", 2: "duplicate", 3: "invalid_payload", 4: "invalid_payload", 5: "duplicate", 6: "created"}
+    assert {k: v["result"] for k, v in found.items()} == {1: "created", 2: "duplicate", 3: "invalid_payload", 4: "invalid_payload", 5: "duplicate", 6: "created", 7: "invalid_payload", 8: "invalid_payload"}
     assert bytes(found[6]["contract"]) == b"new" and found[6]["document_paths"]["w9"].endswith("/w9.pdf") and found[3]["document_paths"] is None
     made = intake.new_onboardings(out, 10, datetime(2024, 1, 1)).orderBy("id").collect()
     assert [r["id"] for r in made] == [11, 12] and made[0]["status"] == "received"
 
 
+def test_numbered(spark):
+    rows = [(i * 37 % 101,) for i in range(101)] + [(5,), (5,)]
+    got = intake.numbered(spark.createDataFrame(rows, "k long"), "k", 11, pieces=7).orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(11, 11 + len(rows))) and [r["k"] for r in got] == sorted(k for k, in rows)
+    assert intake.numbered(spark.createDataFrame([], "k long"), "k").count() == 0
+
+
 def test_blobs_and_documents(spark, tmp_path):
-    blobs = spark.createDataFrame([("a/contract.pdf", bytearray(b"x\xffy")), ("a/w9.pdf", bytearray(b"z"))], "path string, content binary")
-    intake.store_blobs(blobs, str(tmp_path))
-    assert sorted(r["text"] for r in intake.read_documents(spark, str(tmp_path)).collect()) == ["x�y", "z"]
+    blobs = spark.createDataFrame([("a/contract.pdf", bytearray(b"x\xffy")), ("a/w9.pdf", bytearray(b"z")), ("a/none.pdf", bytearray(b""))], "path string, content binary")
+    intake.store_blobs(blobs, str(tmp_path / "blobs"))
+    intake.store_blobs(blobs.filter("path like '%w9%'").withColumn("content", F.lit("new").cast("binary")), str(tmp_path / "blobs"))
+    assert {r["path"]: r["text"] for r in intake.texts(intake.load_blobs(spark, str(tmp_path / "blobs"))).collect()} == {"a/contract.pdf": "x\ufffdy", "a/w9.pdf": "new", "a/none.pdf": ""}
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.txt").write_bytes(b"x\xffy")
+    assert [r["text"] for r in intake.read_documents(spark, str(tmp_path / "files")).collect()] == ["x\ufffdy"]
+
+
+def test_work_list_and_delivery(spark):
+    t = datetime(2024, 1, 1)
+    on = spark.createDataFrame([(1, "received", t), (2, "received", t), (3, "approved", t), (4, "received", t)], "id long, status string, inserted_at timestamp")
+    ran = spark.createDataFrame([(2,), (4,), (4,)], "onboarding_id long")
+    assert [(r["id"], r["attempt"]) for r in intake.pending_work(on, ran).collect()] == [(1, 1)]
+    assert [(r["id"], r["attempt"]) for r in intake.pending_work(on, ran, 3).orderBy("id").collect()] == [(1, 1), (2, 2), (4, 3)]
+    assert [r["id"] for r in intake.pending_work(on, ran, 5, width=2).collect()] == [1, 2]
+
+    def send(row):
+        if row["id"] == 2:
+            raise TimeoutError("late")
+        return 202 if row["id"] == 1 else 500
+
+    answers = intake.delivered(intake.pending_work(on, ran, 5).select("id", "attempt"), send, "id")
+    said = {r["id"]: r["outcome"] for r in answers.collect()}
+    assert said == {1: "ok", 2: "error: TimeoutError: late", 4: "unexpected_status: 500"}
+    after = {r["onboarding_id"]: (r["run_status"], r["onboarding_status"]) for r in runs.triggered(intake.pending_work(on, ran, 5), answers).collect()}
+    assert after == {1: ("processing", "processing"), 2: ("processing", "received"), 4: ("processing", "received")}
+
+
+def test_requests(spark):
+    forms = {'{"onboarding_id": 5, "thread_id": "t", "decision": "approved"}': [], '{"onboarding_id": 5.0, "thread_id": "t", "decision": "x"}': [], '{"onboarding_id": 5.5, "thread_id": "t", "decision": "x"}': ["onboarding_id: should be integer"], '{"onboarding_id": true, "thread_id": 7}': ["onboarding_id: should be integer", "thread_id: should be string", "decision: field required"], "5": ["body: should be a JSON object"], None: ["body: should be a JSON object"]}
+    out = runs.accepted(spark.createDataFrame([(k,) for k in forms], "raw string"), runs.RESUME).collect()
+    assert {r["raw"]: r["errors"] for r in out} == forms and {r["http_status"] for r in out} == {202, 422}
+
+
+def test_run_pauses_and_resumes(spark, tmp_path):
+    """A paused thread outlives its run: the log is a table, and a decision takes it up once."""
+    contract, w9 = fixtures.CONTRACT.format("Acme", "a", "b"), fixtures.W9.format("Else", "12-3456789")
+    docs = spark.createDataFrame([("c", contract), ("w", w9), ("v", fixtures.W9.format("Acme", "12-3456789"))], "path string, text string")
+    work = spark.createDataFrame([(1, {"contract": "c", "w9": "w"}), (2, {"contract": "c", "w9": "v"}), (3, {"contract": "c", "w9": "gone"})], "id long, document_paths map<string,string>")
+    out = flow.run(work, docs).cache()
+    by = {r["onboarding_id"]: r for r in out.collect()}
+    assert by[1]["next"] == "flag_for_review" and by[1]["patch"]["status"] == "needs_review" and "'Acme'" in by[1]["patch"]["explanation"] and by[1]["patch"]["thread_id"] == "onboarding-1"
+    assert by[2]["patch"]["status"] == "approved" and by[2]["next"] is None
+    assert by[3]["patch"] is None and by[3]["error"] == "ExtractionError: w9"
+    intake.append(out.filter("error is null").select("thread_id", F.lit(1).cast("long").alias("seq"), "next", "state"), str(tmp_path / "log"))
+    log = lambda: spark.read.parquet(str(tmp_path / "log"))
+    decisions = spark.createDataFrame([("onboarding-1", "rejected"), ("onboarding-2", "approved"), ("onboarding-9", "approved"), ("onboarding-1", "perhaps")], "thread_id string, decision string")
+    first = flow.resumed(log(), decisions).cache()
+    assert sorted((r["thread_id"], r["result"]) for r in first.collect()) == [("onboarding-1", "invalid_decision"), ("onboarding-1", "ok"), ("onboarding-2", "not_awaiting_review"), ("onboarding-9", "not_found")]
+    patch = first.filter("result = 'ok'").first()["patch"]
+    assert patch == {"status": "rejected", "explanation": by[1]["patch"]["explanation"]}
+    intake.append(first.filter("result = 'ok'").select("thread_id", F.col("seq").cast("long"), "next", "state"), str(tmp_path / "log"))
+    again = flow.resumed(log(), decisions.filter("decision = 'rejected'")).first()
+    assert again["result"] == "not_awaiting_review"
+
+
+def test_replaced_steps_and_graph(spark):
+    """A step and a whole graph can be replaced; scores come from given scorers."""
+    steps = flow.Steps(match_names=text.same_name, explain=lambda f: F.concat(F.lit("drafted: "), f), tax_valid=lambda c: F.lit(True))
+    run = evaluate.run_all(fixtures.cases(spark), lambda c: flow.validate_documents(c, steps))
+    rows = {r["id"]: r for r in run.collect()}
+    assert rows["formatting-01"]["decision"] == "needs_review" and rows["formatting-01"]["explanation"].startswith("drafted: Entity")
+    assert rows["malformed-01"]["decision"] == "approved" and rows["clean-01"]["thread_id"] == "eval-clean-01"
+    scores = evaluate.scored(evaluate.judged(run), {"entity": (F.col("judge_match"), F.when(F.col("match") == F.col("expected_entity_match"), 0.9).otherwise(0.1))})
+    assert scores.filter("passed").count() == 15 and scores.count() == 18
+    assert evaluate.scored(run, {}).count() == 0
+
+
+def test_tables(spark):
+    intake.create_schema(spark, "ledger_test")
+    spark.sql("DROP TABLE IF EXISTS ledger_test.new_name")
+    spark.range(3).write.mode("overwrite").saveAsTable("ledger_test.old_name")
+    intake.rename_table(spark, "ledger_test.old_name", "ledger_test.new_name")
+    assert spark.table("ledger_test.new_name").count() == 3
 
 
 def test_flow_on_cases(spark):
@@ -96,14 +175,19 @@ def test_flow_findings_and_errors(spark):
 
 def test_callbacks(spark):
     t = datetime(2024, 1, 1)
-    runs = spark.createDataFrame([(1, 5, "processing", "t1", "Old", None, None, None, None, None, t, t), (2, 5, "processing", None, "Kept", None, None, None, None, "why", t, t)], intake.RUNS)
+    before = spark.createDataFrame([(1, 5, "processing", "t1", "Old", None, None, None, None, None, t, t), (2, 5, "processing", None, "Kept", None, None, None, None, "why", t, t)], intake.RUNS)
     calls = [(5, 1, {"status": "needs_review", "thread_id": "t2", "junk": "x"}), (5, 2, {"status": "approved", "explanation": None}), (6, 3, {"status": "approved"}), (None, 4, {"status": "approved"}), (5, 5, {"status": "maybe"})]
     events = spark.createDataFrame(calls, "onboarding_id long, seq long, patch map<string,string>")
-    results = {r["seq"]: r["result"] for r in state.latest_run_targets(events, runs).collect()}
+    results = {r["seq"]: r["result"] for r in state.latest_run_targets(events, before).collect()}
     assert results == {1: "ok", 2: "ok", 3: "not_found", 4: "invalid", 5: "invalid"}
-    after = {r["id"]: r for r in state.apply_callbacks(runs, events, ["seq"]).collect()}
+    after = {r["id"]: r for r in state.apply_callbacks(before, events, ["seq"]).collect()}
     assert after[1]["status"] == "processing"  # only the latest run changes
     assert (after[2]["status"], after[2]["thread_id"], after[2]["company_name"], after[2]["explanation"]) == ("approved", "t2", "Kept", None)
+    timed = events.withColumn("at", F.expr("timestamp'2024-02-01' + make_interval(0, 0, 0, int(seq))"))
+    when = {r["id"]: r["updated_at"] for r in state.apply_callbacks(before, timed, ["seq"], "at").collect()}
+    assert when == {1: t, 2: datetime(2024, 2, 3)}
+    unchanged = timed.filter("false").union(spark.createDataFrame([(5, 9, {"status": "processing"}, t)], timed.schema))
+    assert {r["updated_at"] for r in state.apply_callbacks(before, unchanged, ["seq"], "at").collect()} == {t}
 
 
 def test_guards(spark):
@@ -113,8 +197,8 @@ def test_guards(spark):
 
 def test_review_and_report(spark):
     t = datetime(2024, 1, 1)
-    runs = spark.createDataFrame([(1, 5, "approved", "t", "A", "B", None, "p", "l", None, t, t)], intake.RUNS)
-    assert reads.review(runs).count() == 3
+    own = spark.createDataFrame([(1, 5, "approved", "t", "A", "B", None, "p", "l", None, t, t)], intake.RUNS)
+    assert {(r["field"], r["contract"], r["w9"]) for r in reads.review(own).collect()} == {("company_name", "A", "B"), ("payment_terms", "p", None), ("liability_clauses", "l", None)}
     lines = evaluate.report(spark.createDataFrame([("clean", 10)], "bucket string, n int"), {"bucket": 8, "n": 3}).collect()
     assert lines[0]["line"] == "clean    10"
     assert evaluate.metrics(spark.createDataFrame([("r", 1.0), ("r", 3.0)], "route string, ms double"), "ms", "route").first()["mean"] == 2.0
