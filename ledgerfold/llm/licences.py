@@ -20,25 +20,35 @@ from .common import small_batches, table
 #: What a sentence must hold to be looked at: of every known sentence, a word that all its forms have. Quotes and
 #: white space between words are still as they stand in the text.
 TRIGGER = re.compile(
-    r"licen[cs]|copyright|\(c\)|©|warrant|permission|redistribut|reserved|domain|unencumbered|spdx|provided|endorse|substantial|creative"
-    r"|\b(?:cc0|[al]?gpl|mpl|bsd|mit\b|cc[\s\"'`“”‘’-]+(?:by|attribution))",
+    r"licen[cs]|copyright|\(c\)|©|warrant|permission|redistribut|reserved|domain|unencumbered|spdx|provided|endorse|substantial|creative|misrepresented"
+    r"|\b(?:cc0|wtfpl|epl|eupl|cddl|[al]?gpl|mpl|bsd|mit\b|cc[\s\"'`“”‘’-]+(?:by|attribution))",
     re.I | re.A,
 )
 BOUNDARY = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])\s*|\s*\n\s*(?:\n|[*#/;-]+\s)\s*|\n")
 LEADING, TRAILING, QUOTES = re.compile(r"[\s*#/;<>!|-]+"), "*#/|>-", str.maketrans("", "", "\"'`“”‘’")
 
-_THE, _VER = r"(?:the )?", r"(?:,? ?\(?(?:version|v\.?|ver\.?)? ?%s(?:\.0)?\)?)"
+_LATER = r"(?:\+|,? (?:or|and) (?:\(?at your option\)?,? )?(?:any )?(?:later|newer)(?: versions?)?)"
+_VER = r"(?:,?(?: -)? ?\(?(?:version|v\.?|ver\.?)? ?%s(?:\.0)?\)?)"
 #: Known sentences, as patterns of a whole normalised sentence, in the order they are tried.
 SENTENCES: list[tuple[str, str]] = [
     ("SPDX", r"(?:.*\W)?spdx-license-identifier: ?(?P<name>[\w.+-]+).*"),
     ("ApacheRef2", rf".*\b(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?apache(?: software)? license{_VER % 2}?.*"),
+    ("Version3Plus", rf"(?:either )?version 3(?:\.0)? of the license{_LATER}.*"),
+    ("Version21Plus", rf"(?:either )?version 2\.1 of the license{_LATER}.*"),
+    ("Version2Plus", rf"(?:either )?version 2(?:\.0)? of the license{_LATER}.*"),
+    ("AGPLRef3Plus", rf".*\b(?:gnu )?(?:affero general public license|agpl){_VER % 3}{_LATER}.*"),
+    ("LGPLRef3Plus", rf".*\b(?:gnu )?(?:lesser general public license|lgpl){_VER % 3}{_LATER}.*"),
+    ("LGPLRef21Plus", rf".*\b(?:gnu )?(?:lesser general public license|lgpl){_VER % '2.1'}{_LATER}.*"),
     ("AGPLRef3", rf".*\b(?:gnu )?(?:affero general public license|agpl){_VER % 3}.*"),
     ("LGPLRef3", rf".*\b(?:gnu )?(?:lesser general public license|lgpl){_VER % 3}.*"),
     ("LGPLRef21", rf".*\b(?:gnu )?(?:lesser general public license|lgpl){_VER % '2.1'}.*"),
-    ("GPLRef3Plus", rf".*\b(?:gnu )?(?:general public license|gpl){_VER % 3},? or (?:\(at your option\) )?any later version.*"),
-    ("GPLRef2Plus", rf".*\b(?:gnu )?(?:general public license|gpl){_VER % 2},? or (?:\(at your option\) )?any later version.*"),
+    ("GPLRef3Plus", rf".*\b(?:gnu )?(?:general public license|gpl){_VER % 3}{_LATER}.*"),
+    ("GPLRef2Plus", rf".*\b(?:gnu )?(?:general public license|gpl){_VER % 2}{_LATER}.*"),
     ("GPLRef3", rf".*\b(?:gnu )?(?:general public license|gpl){_VER % 3}\b.*"),
     ("GPLRef2", rf".*\b(?:gnu )?(?:general public license|gpl){_VER % 2}\b.*"),
+    ("AGPLRef", r".*\bgnu affero general public license.*"),
+    ("LGPLRef", r".*\bgnu (?:lesser|library) general public license.*"),
+    ("GPLRef", r".*\bgnu general public license.*"),
     ("MITRef", r".*\b(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?mit(?: license)?\b.*"),
     ("MITGrant", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software.*"),
     ("MITNotice", r"(?:the above copyright notice and this permission notice .*)?shall be included in all copies or substantial portions of the software.*|the above copyright notice and this permission notice shall be included.*"),
@@ -53,6 +63,18 @@ SENTENCES: list[tuple[str, str]] = [
     ("BSDRef", r".*\bunder (?:the )?(?:terms of )?(?:the|a) bsd(?:-style)? license.*"),
     ("MPLRef2", r".*\b(?:mozilla public license|mpl),? ?(?:version |v\.? ?)?2(?:\.0)?.*"),
     ("CCRef", r".*\b(?:cc|creative commons)[ -](?P<name>by(?:-nc)?(?:-nd|-sa)?|attribution(?:-noncommercial)?(?:-noderivs|-noderivatives|-sharealike)?)[ ,]*(?:licen[cs]e )?(?:v(?:ersion)? ?)?(?P<version>[1-4]\.\d)?.*"),
+    ("EPLRef2", rf".*\b(?:eclipse public license|epl){_VER % 2}.*"),
+    ("EPLRef1", rf".*\b(?:eclipse public license|epl){_VER % 1}.*"),
+    ("EUPLRef12", rf".*\b(?:european union public licen[cs]e|eupl){_VER % '1.2'}.*"),
+    ("CDDLRef1", rf".*\b(?:common development and distribution license|cddl)(?: \(cddl\))?{_VER % 1}.*"),
+    ("ArtisticRef2", rf".*\bartistic license{_VER % 2}.*"),
+    ("BoostRef1", rf".*\bboost software license{_VER % 1}.*"),
+    ("OFLRef11", rf".*\bsil open font license{_VER % '1.1'}.*"),
+    ("PSFRef2", rf".*\b(?:psf|python software foundation) license(?: agreement)?{_VER % 2}.*"),
+    ("ZlibRef", r".*\bunder (?:the )?(?:terms of )?(?:the )?zlib license.*"),
+    ("ZlibGrant", r"permission is granted to anyone to use this software for any purpose, including commercial applications.*"),
+    ("ZlibOrigin", r"(?:\d[.)] )?the origin of this software must not be misrepresented.*"),
+    ("WTFPLRef", r".*\b(?:do what the fuck you want to public license|wtfpl)\b.*"),
     ("CC0Ref", r".*\b(?:cc0|creative commons zero)\b.*"),
     ("PublicDomain", r".*\b(?:released|placed|dedicated) (?:in)?to the public domain.*|this is free and unencumbered software released into the public domain.*"),
     ("AllRights", r"(?:.*\b)?all rights reserved\.?"),
@@ -85,23 +107,25 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("MITGrant", "MITNotice")),
     ("ISC", ("ISCGrant", "AsIs")),
     ("ISC", ("ISCGrant",)),
-    ("Apache-2.0", ("ApacheRef2",)),
-    ("AGPL-3.0", ("AGPLRef3",)),
-    ("LGPL-3.0", ("LGPLRef3",)),
-    ("LGPL-2.1", ("LGPLRef21",)),
-    ("GPL-3.0-or-later", ("GPLRef3Plus",)),
-    ("GPL-2.0-or-later", ("GPLRef2Plus",)),
-    ("GPL-3.0", ("GPLRef3",)),
-    ("GPL-2.0", ("GPLRef2",)),
-    ("MIT", ("MITRef",)),
-    ("BSD-3-Clause", ("BSDRef3",)),
-    ("BSD-2-Clause", ("BSDRef2",)),
-    ("BSD", ("BSDRef",)),
-    ("MPL-2.0", ("MPLRef2",)),
-    ("CC0-1.0", ("CC0Ref",)),
-    ("PublicDomain", ("PublicDomain",)),
-    ("AllRightsReserved", ("AllRights",)),
+    ("Zlib", ("ZlibGrant", "ZlibOrigin")),
+    ("AGPL-3.0-or-later", ("AGPLRef", "Version3Plus")),
+    ("LGPL-3.0-or-later", ("LGPLRef", "Version3Plus")),
+    ("LGPL-2.1-or-later", ("LGPLRef", "Version21Plus")),
+    ("LGPL-2.0-or-later", ("LGPLRef", "Version2Plus")),
+    ("GPL-3.0-or-later", ("GPLRef", "Version3Plus")),
+    ("GPL-2.0-or-later", ("GPLRef", "Version2Plus")),
+    *(
+        (licence, (name,))
+        for name, licence in {
+            "ApacheRef2": "Apache-2.0", "AGPLRef3Plus": "AGPL-3.0-or-later", "AGPLRef3": "AGPL-3.0", "LGPLRef3Plus": "LGPL-3.0-or-later", "LGPLRef3": "LGPL-3.0", "LGPLRef21Plus": "LGPL-2.1-or-later", "LGPLRef21": "LGPL-2.1",
+            "GPLRef3Plus": "GPL-3.0-or-later", "GPLRef2Plus": "GPL-2.0-or-later", "GPLRef3": "GPL-3.0", "GPLRef2": "GPL-2.0", "MITRef": "MIT", "BSDRef3": "BSD-3-Clause", "BSDRef2": "BSD-2-Clause", "BSDRef": "BSD",
+            "MPLRef2": "MPL-2.0", "EPLRef2": "EPL-2.0", "EPLRef1": "EPL-1.0", "EUPLRef12": "EUPL-1.2", "CDDLRef1": "CDDL-1.0", "ArtisticRef2": "Artistic-2.0", "BoostRef1": "BSL-1.0", "OFLRef11": "OFL-1.1", "PSFRef2": "PSF-2.0",
+            "ZlibRef": "Zlib", "WTFPLRef": "WTFPL", "CC0Ref": "CC0-1.0", "PublicDomain": "PublicDomain", "AllRights": "AllRightsReserved",
+        }.items()
+    ),
 ]
+#: Known sentences that need no rule: they say nothing of a licence on their own.
+BESIDE = frozenset(("Copyright", "AsIs"))
 _CC = {"attribution": "by", "noncommercial": "nc", "noderivs": "nd", "noderivatives": "nd", "sharealike": "sa"}
 
 
@@ -155,36 +179,56 @@ def identify(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def licences(identifiers: list[str]) -> list[str]:
-    """Licences of a sequence of identifiers, in the order of their first sentence, each once."""
-    left: list[str | None] = list(identifiers)
+def matched(identifiers: list[str]) -> tuple[list[str], bool]:
+    """Licences of a sequence of identifiers, in the order of their first sentence, each once; and whether one that
+    speaks of a licence is left that no rule used.
+
+    Of each identifier the places are kept, and a rule moves on in them only: a text is read once for each rule that
+    has all its identifiers.
+    """
     found: list[tuple[int, str]] = []
-    for i, name in enumerate(left):
-        if name and name.partition(":")[0] in ("SPDX", "CC") and ":" in name:
-            found.append((i, name.partition(":")[2]))
-            left[i] = None
+    places: dict[str, list[int]] = {}
+    for i, name in enumerate(identifiers):
+        kind, _, licence = name.partition(":")
+        if licence and kind in ("SPDX", "CC"):
+            found.append((i, licence))
+        else:
+            places.setdefault(name, []).append(i)
     for licence, rule in RULES:
+        if not all(places.get(name) for name in rule):
+            continue
+        at, used = [0] * len(rule), []
         while True:
-            places, at = [], 0
-            for name in rule:
-                at = next((i for i in range(at, len(left)) if left[i] == name), -1)
-                if at < 0:
+            before = -1
+            for j, name in enumerate(rule):
+                while at[j] < len(places[name]) and places[name][at[j]] <= before:
+                    at[j] += 1
+                if at[j] == len(places[name]):
                     break
-                places.append(at)
-                at += 1
-            if len(places) < len(rule):
-                break
-            found.append((places[0], licence))
-            for i in places:
-                left[i] = None
-    return list(dict.fromkeys(x for _, x in sorted(found)))
+                before = places[name][at[j]]
+            else:
+                used.append([places[name][k] for name, k in zip(rule, at, strict=True)])
+                at = [k + 1 for k in at]
+                continue
+            break
+        found += [(x[0], licence) for x in used]
+        for name, taken in zip(rule, map(set, zip(*used, strict=True)), strict=False):
+            places[name] = [i for i in places[name] if i not in taken]
+    left = any(where for name, where in places.items() if name not in BESIDE)
+    return list(dict.fromkeys(x for _, x in sorted(found))), left
+
+
+def licences(identifiers: list[str]) -> list[str]:
+    return matched(identifiers)[0]
 
 
 def scan(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents with licences (array), sentences (array of id, begin, end) and unknown (a licence sentence
-    that is not known, or that no rule used, besides copyright lines and disclaimers).
+    """documents with licences (array), sentences (array of id, begin, end) and unknown, in place of columns of those names.
 
-    Null and empty texts, and texts without such sentences, have empty arrays and unknown false.
+    unknown: a sentence speaks of a licence and isn't known, or is known but no rule used it; copyright lines and
+    disclaimers don't count. Null and empty texts, and texts without such sentences, have empty arrays and unknown
+    false. A long text is read whole, in time that grows with its length; repeated rows get the same result each, null
+    ids and other columns pass through, and an empty table gives no rows.
     """
     small_batches(documents.sparkSession)
     own = ("licences", "sentences", "unknown")
@@ -200,8 +244,8 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             found = [identify(t) for t in batch[text].to_pylist()]
-            names = [licences([x[0] for x in f]) for f in found]
-            arrays = [pa.array(names, pa.list_(pa.string())), pa.array([[{"id": a, "begin": b, "end": c} for a, b, c in f] for f in found], pa.list_(sentence)), pa.array([any(x[0] == "UNKNOWN" for x in f) for f in found], pa.bool_())]
+            both = [matched([x[0] for x in f]) for f in found]
+            arrays = [pa.array([x for x, _ in both], pa.list_(pa.string())), pa.array([[{"id": a, "begin": b, "end": c} for a, b, c in f] for f in found], pa.list_(sentence)), pa.array([x for _, x in both], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *arrays], names=[*kept, *own])
 
     return documents.select(*kept).mapInArrow(run, schema)
