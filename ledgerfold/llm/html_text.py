@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import free, small_batches, table
 
 #: Tag names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +38,12 @@ BESIDE = re.compile(
 OTHER = re.compile(r"^(?:comments?|reply|replies|respond|related|recommend\w*|promo\w*|sponsor\w*|widgets?)(?=$|[_-])", re.I)
 #: From here on, a name says that something is or isn't beside the article, not that this is it.
 WITH = re.compile(r"(?:^|[_-])(?:has|with|without|no|not)[_-].*", re.I | re.S)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+#: Where markup that the page doesn't end begins.
+UNENDED = re.compile(r"<[a-zA-Z/!?]")
+TABLE = ("table", "td", "th")
+IN_TABLE = frozenset(("table", "tr", "tbody", "body", "html", "div", "article", "section", "main"))
+P_ENDS = frozenset(("td", "th", "table", "button", "object", "body"))
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
 
 
@@ -52,67 +57,93 @@ class Node:
         self.density = self.total = 0.0
 
 
+class _Open:
+    """The path of open elements, and the depths of those of each name: looking for the nearest doesn't walk the path."""
+
+    def __init__(self, root: Node):
+        self.path, self.depths = [root], {root.tag: [0]}
+
+    @property
+    def node(self) -> Node:
+        return self.path[-1]
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.path))
+        self.path.append(node)
+
+    def nearest(self, names) -> int:
+        """Depth of the nearest open element of these names, or -1."""
+        return max((self.depths[x][-1] for x in names if self.depths.get(x)), default=-1)
+
+    def close(self, depth: int) -> None:
+        """Closes the element at this depth and all inside it."""
+        while len(self.path) > depth:
+            self.depths[self.path.pop().tag].pop()
+
+    def close_implied(self, names, within) -> None:
+        """Closes the nearest open element of these names, if none of `within` is inside it."""
+        if (at := self.nearest(names)) > self.nearest(within):
+            self.close(at)
+
+
 def parse(html: str) -> Node:
-    """A tree of the page. Start tags close what HTML lets them close; stray end tags are passed over."""
+    """A tree of the page, in one pass. Start tags close what HTML lets them close; stray end tags and a tag that
+    doesn't end are passed over. References are decoded in each run of text: none is made of text on both sides of a tag."""
     root = Node("html", None)
-    body = node = Node("body", root)
+    opened = _Open(root)
+    opened.push(Node("body", root))
+    body = opened.node
     root.children.append(body)
-    at, n = 0, len(html)
+
+    def add(text: str) -> None:
+        opened.node.children.append(entities.unescape(text))
+
+    at, n, last = 0, len(html), html.rfind(">") + 1
     while at < n:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at, last) if at < last else None
         if not m:
-            node.children.append(html[at:])
+            end = UNENDED.search(html, max(at, last))
+            add(html[at : end.start() if end else n])
             break
         if m.start() > at:
-            node.children.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
-                node.children.append(m[0][9:].removesuffix("]]>"))
+                opened.node.children.append(m[0][9:].removesuffix("]]>"))
+            elif m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         if m[1] or m[4]:
-            up = node
-            while up.parent is not None and up.tag != name and not (up.tag in ("table", "td", "th") and name not in ("table", "tr", "tbody", "body", "html", "div", "article", "section", "main")):
-                up = up.parent
-            if up.parent is not None and up.tag == name and up is not body:
-                node = up.parent
+            found, barrier = opened.nearest((name,)), opened.nearest(TABLE) if name not in IN_TABLE else -1
+            if found > 0 and found >= barrier and opened.path[found] is not body:
+                opened.close(found)
             elif name == "p":
-                node.children.append(Node("p", node))
+                opened.node.children.append(Node("p", opened.node))
             continue
         attributes = m[3] if m[3] is not None else m[6] or ""
         if name in ("html", "body"):
             continue
-        if name == "head":
-            pass
-        elif name in CLOSES_P:
-            node = _closed(node, frozenset(("p",)), frozenset(("td", "th", "table", "button", "object", "body")))
+        if name != "head" and name in CLOSES_P:
+            opened.close_implied(("p",), P_ENDS)
         if name in IMPLIED:
-            node = _closed(node, *IMPLIED[name])
-        if node.tag == "head" and name not in RAW and name not in VOID:
-            node = node.parent or body
-        child = Node(name, node, _aside(name, attributes), _named(name, attributes))
-        node.children.append(child)
+            opened.close_implied(*IMPLIED[name])
+        if opened.node.tag == "head" and name not in RAW and name not in VOID:
+            opened.close(len(opened.path) - 1)
+        heads_article = name == "header" and opened.nearest(("article", "main")) > 0  # its headline
+        child = Node(name, opened.node, not heads_article and _aside(name, attributes), _named(name, attributes))
+        opened.node.children.append(child)
         if name in VOID or attributes.rstrip().endswith("/") and name in ("svg", "path", "math"):
             continue
         if name in RAW:  # their text is not markup
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*>?", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        node = child
+        opened.push(child)
     return root
 
 
-def _closed(node: Node, names: frozenset, within: frozenset) -> Node:
-    """The parent of the nearest open element of these names; node itself if there is none inside `within`."""
-    up = node
-    while up.parent is not None and up.tag not in within:
-        if up.tag in names:
-            return up.parent
-        up = up.parent
-    return node
-
-
 def _aside(name: str, attributes: str) -> bool:
     if name in NEVER:
         return True
@@ -230,8 +261,11 @@ def extract(html: str | None) -> str:
             if x in peaks and peaks[x].total > peaks[node].total:
                 peaks[node] = peaks[x]
     chosen = {peaks[x] for x in nodes if x.density >= threshold}
-    if _article(best):  # the page says where its articles are: those with content, whole
-        chosen = {x for x in map(_article, chosen) if x}
+    article: dict[Node, Node | None] = {}  # the outermost article or main around a node, or itself
+    for node in nodes:  # parents first
+        article[node] = article.get(node.parent) or (node if node.tag in ("article", "main") else None)
+    if article[best]:  # the page says where its articles are: those with content, whole
+        chosen = {article[x] for x in chosen if article[x]}
     else:
         chosen = _widened(nodes, chosen, body)
     out, inside = [], set()
@@ -244,16 +278,6 @@ def extract(html: str | None) -> str:
     return " ".join(x for x in out if x)
 
 
-def _article(node: Node) -> Node | None:
-    """The outermost article or main around a node, or itself."""
-    found = None
-    while node is not None:
-        if node.tag in ("article", "main"):
-            found = node
-        node = node.parent
-    return found
-
-
 def _widened(nodes: list[Node], chosen: set[Node], body: Node) -> set[Node]:
     """chosen with the boxes that hold little else: headings and paragraphs beside the densest blocks belong
     to the article. The body only around several."""
@@ -270,7 +294,7 @@ def blocks(top: Node) -> str:
     out, line = [], []
 
     def close() -> None:
-        if text := " ".join(entities.unescape("".join(line)).split()):
+        if text := " ".join("".join(line).split()):
             out.append(text)
         line.clear()
 
@@ -299,18 +323,24 @@ def _links_only(node: Node) -> bool:
 
 
 def extract_pages(pages: DataFrame, source: str = "html", target: str = "text") -> DataFrame:
-    """pages with the article of `source` in `target` (empty for a null, an empty page or one without text)."""
+    """pages with the article of `source` in `target`, in place of a column of that name.
+
+    A null, an empty page or one without text gives the empty string; repeated rows give the same text each; a
+    page of any length or depth is read once, whole. Null ids and columns of any other name pass through; an
+    empty table gives no rows.
+    """
     small_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c != target or c == source]
-    schema = pages.select(*kept).withColumn("__text", F.lit("")).schema
+    (made,) = free(pages, "__text")
+    schema = pages.select(*kept).withColumn(made, F.lit("")).schema
 
     def run(batches):
         for batch in batches:
             texts = [extract(x) for x in batch[source].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(texts, pa.string())], names=[*kept, "__text"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(texts, pa.string())], names=[*kept, made])
 
     out = pages.select(*kept).mapInArrow(run, schema)
-    return out.drop(target).withColumnRenamed("__text", target)
+    return out.drop(target).withColumnRenamed(made, target)
 
 
 def op5_html_text(spark, sf_dir: str) -> DataFrame:
