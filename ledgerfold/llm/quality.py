@@ -3,8 +3,9 @@
 1. Labellers vote on each text: good, bad or no vote.
 2. Expectation-maximisation over the counts of all vote patterns of the corpus estimates each
    labeller's accuracy on good and on bad texts, and the share of good texts.
-3. The posterior of each pattern labels a bounded sample of documents, from which a linear scorer
-   over hashed features learns; it then scores every document.
+3. The posterior of each pattern labels a bounded sample of documents, from which a linear scorer learns
+   over hashed features: the distinct words of the whole text, cuts of the labellers' measures and shapes
+   of words; it then scores every document.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 from .common import lowest_hashes, small_batches, table
 from .linear import Rows, fit, sigmoid
 
-BITS, L2, THRESHOLD = 14, 1e-5, 0.5
+BITS, L2, THRESHOLD = 18, 1e-5, 0.5
 #: Documents that the linear scorer learns from, about.
 SAMPLE = 12000
+#: Features of those documents at most (256 MB in the task that learns): documents are taken by a hash of their id
+#: until that many are there.
+LEARNT = 32 << 20
 COUNTERS = 16
 
 #: Name, then (good at or below, bad at or above); between them a labeller doesn't vote. The
@@ -69,6 +73,7 @@ def measures(text: str | None) -> dict[str, float]:
         "poverty": sum(len(x) - len(set(x)) for x in windows) / n,
         "repeats": 1 - len(set(lines)) / len(lines),
         "n": n,
+        "words": set(text.lower().split()),
         "shapes": np.bincount(kind[ends - lengths] * np.int64(6) + last, minlength=36),  # kinds of the first and the last character
     }
 
@@ -96,14 +101,21 @@ def votes(m: dict[str, float]) -> str:
 
 
 def features(m: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features: cuts of the measures, and shares of word shapes."""
+    """Hashed features: the text's distinct words, together of length 1, cuts of the measures, and shares of word shapes."""
     names, cut_at, shape_at = _buckets()
-    row = np.zeros(1 << BITS, np.float32)
-    row[cut_at[np.array([m[k] for k in names])[:, None] >= CUTS]] += 1
-    if m["n"]:
-        np.add.at(row, shape_at, m["shapes"] / m["n"])
-    index = np.flatnonzero(row).astype(np.int32)
-    return (index, row[index]) if len(index) else (np.zeros(1, np.int32), np.zeros(1, np.float32))
+    mask = (1 << BITS) - 1
+    cuts = cut_at[np.array([m[k] for k in names])[:, None] >= CUTS]
+    if not m["n"]:
+        words, shapes = np.zeros(0, np.int32), np.zeros(0)
+    else:
+        words = np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & mask for w in m["words"]), np.int32, len(m["words"])))
+        shapes = m["shapes"] / m["n"]
+    there = np.flatnonzero(shapes)
+    index = np.concatenate([cuts, shape_at[there], words])
+    value = np.concatenate([np.ones(len(cuts)), shapes[there], np.full(len(words), 1 / np.sqrt(max(1, len(words))))])
+    if not len(index):  # no row may be empty
+        index, value = np.zeros(1), np.zeros(1)
+    return index.astype(np.int32), value.astype(np.float32)
 
 
 CUTS = np.array([0.01, 0.02, 0.05, 0.1, 0.2, 0.4])
@@ -190,14 +202,19 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([x[1] for x in found], pa.string()), *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (2, 3))], names=["doc_id", "pattern", "index", "value"])
 
     def learn(batches):
-        rows = [row for batch in batches for row in batch.to_pylist()]
+        rows, size = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if size < LEARNT:
+                    rows.append(row)
+                    size += len(row["index"]) // 4
         rows.sort(key=lambda r: (r["doc_id"], r["pattern"]))
         sparse = Rows([np.frombuffer(r["index"], np.int32) for r in rows], [np.frombuffer(r["value"], np.float32) for r in rows])
         target = weak.posterior([r["pattern"] for r in rows])
         weights, bias = fit(sparse, target, np.ones(len(rows)), np.ones(1 << BITS), L2)
         yield pa.RecordBatch.from_pylist([{"weights": weights.astype("<f4").tobytes(), "bias": bias}])
 
-    one = chosen.mapInArrow(describe, "doc_id long, pattern string, index binary, value binary").repartition(1)
+    one = chosen.mapInArrow(describe, "doc_id long, pattern string, index binary, value binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(31)), "doc_id", "pattern")
     row = one.mapInArrow(learn, "weights binary, bias double").first()
     if row is None:
         return Model(weak, np.zeros(1 << BITS, np.float32), float(np.log(weak.prior / (1 - weak.prior))))
@@ -207,7 +224,8 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """documents with votes, quality (0 to 1) and kept (quality at least threshold), in place of columns of those names.
 
-    A text without words (null, empty or blank) is rejected with quality 0.
+    A text without words (null, empty or blank) is rejected with quality 0. Long texts are read whole; repeated rows
+    get the same result each; null ids and columns of other names pass through; an empty table gives no rows.
     """
     spark = documents.sparkSession
     small_batches(spark)
