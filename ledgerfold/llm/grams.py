@@ -11,7 +11,8 @@ class CharGrams:
     """Hashes the character n-grams of a text into 2**bits buckets.
 
     Letters are lower-cased and each run of white space is one space; a space stands at both ends.
-    A long text is read in overlapping windows, so memory doesn't grow with it.
+    A long text is hashed in overlapping windows: besides the text's own code points (four bytes each), memory
+    doesn't grow with it.
     """
 
     def __init__(self, orders: tuple[int, ...], bits: int, window: int = 1 << 18):

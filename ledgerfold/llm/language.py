@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, lowest_hashes, small_batches, table
+from .common import crc_remainder, free, lowest_hashes, small_batches, table
 from .grams import CharGrams
 
 ORDERS, BITS, ALPHA = (1, 2, 3), 16, 0.5
 #: Documents of each language that the model learns from, about (see lowest_hashes).
 PER_LANGUAGE = 4000
+#: Languages at most: the commonest values of lang (64 MB of log probabilities). N-grams scored at once.
+LANGUAGES, AT_ONCE = 256, 1 << 18
 #: Tasks that count the sample.
 COUNTERS = 16
 
@@ -27,12 +29,15 @@ class Model:
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, orders=ORDERS, bits=BITS, alpha: float = ALPHA) -> Model:
     """Learns from (doc_id, text, lang); rows whose text or lang is null or empty teach nothing.
 
-    About per_language documents of each language are used, those whose doc_id hashes lowest.
+    About per_language documents of each of the LANGUAGES commonest values are used, those whose doc_id hashes lowest.
     Priors are uniform. With no usable row the model knows no language.
     """
     spark = labelled.sparkSession
     small_batches(spark)
     usable = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
+    if len(common) > LANGUAGES:
+        usable = usable.filter(F.col("lang").isin([r["lang"] for r in common[:LANGUAGES]]))
     ids = lowest_hashes(usable.select("doc_id", "lang"), "doc_id", "lang", per_language).distinct()
     sample = usable.join(F.broadcast(ids), ["doc_id", "lang"]).repartition(COUNTERS, "doc_id")
     schema = pa.schema([("lang", pa.string()), ("index", pa.binary()), ("count", pa.binary())])
@@ -59,36 +64,51 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     """documents with lang_pred and score (the posterior of lang_pred), in place of columns of those names.
 
     A text that is null or has no letter, or a model without languages, gives 'und' and score 0.
-    Ties go to the language that sorts first.
+    Ties go to the language that sorts first. Long texts are read whole, in windows; repeated rows get the same
+    result each; null ids and columns of other names pass through; an empty table gives no rows.
     """
     spark = documents.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((model.languages, model.log_p, model.orders, model.bits))
+    shared = spark.sparkContext.broadcast((model.languages, np.ascontiguousarray(model.log_p.T), model.orders, model.bits))
     kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    marked = documents.select(*kept, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    (letter,) = free(documents, "__letter")
+    marked = documents.select(*kept, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter))
     schema = documents.select(*kept).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
     def score(batches):
         languages, log_p, orders, bits = shared.value
         grams = CharGrams(orders, bits)
+        names = np.array([*languages, "und"], object)
         for batch in batches:
-            names, scores = [], []
-            for text, letter in zip(batch["text"].to_pylist(), batch["__letter"].to_pylist(), strict=True):
-                if not letter or not languages:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                index, n = grams.counts(text)
-                z = n.astype(np.float64) @ log_p[index].astype(np.float64)
-                best = int(np.argmax(z))
-                names.append(languages[best])
-                scores.append(float(1.0 / np.exp(z - z[best]).sum()))
-            columns = [batch[c] for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
+            known = np.array(batch[letter].to_pylist(), bool) & bool(languages)
+            z = np.zeros((batch.num_rows, len(languages)))
+            for owner, starts, ids in _sparse(grams, batch["text"], np.flatnonzero(known)):
+                for i, row in enumerate(log_p):  # the n-grams of many texts against one row of the matrix
+                    np.add.at(z[:, i], owner, np.add.reduceat(row[ids], starts, dtype=np.float64))
+            best = np.where(known, z.argmax(1), len(languages)) if languages else np.zeros(len(known), np.int64)
+            rest = z - z.max(1, keepdims=True) if languages else z
+            posterior = np.where(known, 1.0 / np.maximum(1.0, np.exp(rest).sum(1)), 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(names[best].tolist(), pa.string()), pa.array(posterior, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return marked.mapInArrow(score, schema)
 
 
+def _sparse(grams: CharGrams, texts, rows: np.ndarray):
+    """The n-grams of these rows end to end, AT_ONCE or a little more at a time: the row of each run, its start, and the buckets."""
+    owner, held, size = [], [], 0
+    for i in rows:
+        for ids in grams.ids(texts[int(i)].as_py()):
+            if len(ids):
+                owner.append(i)
+                held.append(ids)
+                size += len(ids)
+        if size >= AT_ONCE:
+            yield np.array(owner), np.cumsum([0, *map(len, held[:-1])]), np.concatenate(held)
+            owner, held, size = [], [], 0
+    if held:
+        yield np.array(owner), np.cumsum([0, *map(len, held[:-1])]), np.concatenate(held)
+
+
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     """Predicts every document's language with a model of the documents outside the held-out fold."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
