@@ -16,6 +16,9 @@ ORDERS, BITS, ALPHA, L2, THRESHOLD = (3, 4, 5), 18, 1.0, 1e-4, 0.7
 LEAST = 3
 #: Labelled documents of each class that the model learns from, about (see lowest_hashes).
 PER_CLASS = 4000
+#: N-gram buckets of the documents that it learns from at most (192 MB in the task that learns): documents of the
+#: sample are taken by a hash of their id until that many are there.
+LEARNT = 48 << 20
 COUNTERS = 16
 
 
@@ -45,11 +48,14 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS, orders=ORDERS, bits=B
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["toxic"].cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "toxic", "found"])
 
     def learn(batches):
-        index, y, ids = [], [], []
+        index, y, ids, size = [], [], [], 0
         for batch in batches:
-            index += [np.frombuffer(x, np.int32) for x in batch["found"].to_pylist()]
-            y += batch["toxic"].to_pylist()
-            ids += batch["doc_id"].to_pylist()
+            for found, toxic, doc in zip(batch["found"], batch["toxic"].to_pylist(), batch["doc_id"].to_pylist(), strict=True):
+                if size < LEARNT:
+                    index.append(np.frombuffer(found.as_py(), np.int32))
+                    size += len(index[-1])
+                    y.append(toxic)
+                    ids.append(doc)
         order = [i for i in np.argsort(np.array(ids, np.int64), kind="stable") if len(index[i])]
         rows, target = Rows([index[i] for i in order]), np.array([y[i] for i in order], np.float64)
         scale, toxic = np.zeros(1 << bits), target == 1
@@ -64,7 +70,7 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS, orders=ORDERS, bits=B
         yield pa.RecordBatch.from_pylist([{"weights": weights.astype("<f4").tobytes(), "bias": bias}])
 
     # the sample is bounded, so one task may learn from it: a lost executor costs one repeated task
-    one = sample.mapInArrow(features, "doc_id long, toxic int, found binary").repartition(1)
+    one = sample.mapInArrow(features, "doc_id long, toxic int, found binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(31)), "doc_id", "found")
     row = one.mapInArrow(learn, "weights binary, bias double").first()
     if row is None:
         return Model(np.zeros(1 << bits, np.float32), float(np.log(1e-6)), orders, bits)
@@ -74,7 +80,8 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS, orders=ORDERS, bits=B
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """documents with score (0 to 1) and predicted (1 from threshold on), in place of columns of those names.
 
-    A null text counts as empty; an empty text has only the intercept.
+    A null text counts as empty; an empty text has only the intercept. Long texts are read whole; repeated rows get
+    the same score each; null ids and columns of other names pass through; an empty table gives no rows.
     """
     spark = documents.sparkSession
     small_batches(spark)
