@@ -23,6 +23,8 @@ LENGTH, END = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Bytes of the input table for each shard: a few million tokens at most.
 SHARD_BYTES = 8 << 20
+#: Shuffle partitions of the shards at most: a task takes one shard after another.
+PARTITIONS = 1 << 15
 #: Pre-tokens that a worker remembers.
 REMEMBERED = 400_000
 
@@ -140,12 +142,13 @@ def assign(lengths: np.ndarray, length: int = LENGTH, linear: float = LINEAR, qu
 def pack(documents: DataFrame, path: str, length: int = LENGTH, end: int = END, shards: int | None = None) -> DataFrame:
     """Packs every document of (doc_id, text): one row per piece, with its ids (little-endian unsigned 32-bit).
 
-    sequence_id is the shard times 2**32 plus a number from 0. Repeated rows are packed each on their own;
-    an empty table gives no rows. shards: by default one for each SHARD_BYTES of the input.
+    sequence_id is the shard times 2**32 plus a number from 0. Repeated rows are packed each on their own; a null
+    or empty text is its end mark alone; a long one is cut; a null doc_id stays null; an empty table gives no rows;
+    other columns are not read. shards: by default one for each SHARD_BYTES of the input.
     """
     if shards is None:
         shards = power_of_two(input_bytes(documents) / SHARD_BYTES)
-    dealt = pieces(documents, path, length, end, shards)
+    dealt = pieces(documents, path, length, end, shards).repartition(min(shards, PARTITIONS), "shard")
 
     def run(key, table):
         shard = key[0].as_py()
