@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import payload
+from ledgerfold.sources import intake
 
 
 def deduplicated(payloads: DataFrame, within: str | None = None, ts: str = "ts") -> DataFrame:
@@ -21,6 +22,28 @@ def deduplicated(payloads: DataFrame, within: str | None = None, ts: str = "ts")
     return hashed.withWatermark(ts, within).dropDuplicatesWithinWatermark(["idempotency_key"])
 
 
+def ingest(payloads: DataFrame, receive: Callable[[DataFrame, int], None], ledger: str, checkpoint: str):
+    """Starts the ingest of a stream of payloads (seq, raw): every batch goes to `receive` with the outcome of each row.
+
+    The ledger is a folder of the created keys, a part for each batch, so a duplicate is known however much later it
+    comes and the stream itself holds no state. A batch that is repeated after a failure doesn't meet its own keys.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark, known = df.sparkSession, df.sparkSession.createDataFrame([], "idempotency_key string, batch long")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            known = spark.read.schema("idempotency_key string, batch long").parquet(ledger)
+        out = intake.ingest(df, known.filter(F.col("batch") != number).select("idempotency_key")).persist()
+        try:
+            receive(out, number)
+            out.filter("result = 'created'").select("idempotency_key").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        finally:
+            out.unpersist()
+
+    return payloads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def current_status(events: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
     """Keyed last status; write it in update mode to replace rows, or in complete mode."""
     return events.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias(status))

@@ -217,6 +217,20 @@ def test_live_paths(spark, tmp_path):
     assert seen[-1] == ("a", "y") and all(k == "a" for k, _ in seen)
 
 
+def test_stream_of_payloads(spark, tmp_path):
+    """Payloads as files, in batches: duplicates are known across batches and restarts, invalid ones stay invalid."""
+    seen = {}
+
+    def send(rows, name):
+        spark.createDataFrame([(s, bytearray(r)) for s, r in rows], "seq long, raw binary").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = spark.readStream.schema("seq long, raw binary").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        live.ingest(stream, lambda df, _: seen.update({r["seq"]: r["result"] for r in df.collect()}), str(tmp_path / "ledger"), str(tmp_path / "at")).awaitTermination()
+
+    send([(1, body()), (2, body()), (3, b"not json")], "a")
+    send([(4, body()), (5, b"not json"), (6, body(b"new"))], "b")
+    assert seen == {1: "created", 2: "duplicate", 3: "invalid_payload", 4: "duplicate", 5: "invalid_payload", 6: "created"}
+
+
 def test_verbatim_check_at_neighbours_and_short_items(spark, tmp_path):
     """Against the query's SQL: items after a quote or a bracket, of few words, and within words."""
     long, ten = " ".join(f"w{i}" for i in range(20)), " ".join(f"t{i}" for i in range(10))
