@@ -134,6 +134,39 @@ def test_quality_rules(spark):
     assert quality_rules.judge(frame(spark, []), quality_rules.log_ratios(frame(spark, []), docs.select("doc_id"))).count() == 0
 
 
+def test_log_likelihood_ratio_by_brute(spark):
+    """Ratio and verdict of every document, from word hashes and counts made in plain Python."""
+    import struct
+
+    import xxhash
+
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(WORDS[: 60 if i % 2 else 400]) for _ in range(r.choice((0, 1, 2, 55, 90))))) for i in range(50)] + [(None, "a b c"), (70, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__hashes", F.lit("mine")).withColumn("llr", F.lit("replaced"))
+    n, trusted = 256, {i for i in range(50) if i % 2}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    chained = lambda a, b: signed(xxhash.xxh64_intdigest(struct.pack("<q", b), seed=xxhash.xxh64_intdigest(struct.pack("<q", a), seed=42)))
+
+    def cells(t):
+        h = [signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in (t or "").split()]
+        return [x % n for x in h] + [chained(a, b) % n for a, b in zip(h, h[1:], strict=False)]
+
+    raw, good = np.zeros(n), np.zeros(n)
+    for i, t in rows:
+        for c in cells(t):
+            raw[c] += 1
+            good[c] += i in trusted
+    ratio = np.log((good + 1) / (good.sum() + n)) - np.log((raw + 1) / (raw.sum() + n))
+    ids = spark.createDataFrame([(i,) for i in sorted(trusted)], "doc_id long")
+    out = quality_rules.judge(docs, quality_rules.log_ratios(docs.select("doc_id", "text"), ids, n), n).collect()
+    assert len(out) == len(rows) and {x["__hashes"] for x in out} == {"mine"}
+    by = {(x["doc_id"], x["text"]): x for x in out}
+    for i, t in rows:
+        want = float(np.mean([ratio[c] for c in cells(t)])) if cells(t) else 0.0
+        x = by[i, t]
+        assert abs(x["llr"] - want) < 1e-9 and x["kept"] == (not x["base_failed"] and x["llr"] >= quality_rules.THRESHOLD)
+
+
 def nearest_by_brute(rows, queries, k=20):
     """query_id: [(score, vec_id)] by double inner products, for rows (id, vector) of one dimension."""
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(np.float64)
