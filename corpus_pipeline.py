@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import language, mixing, near_duplicates, packing, quality
-from ledgerfold.llm.common import crc_remainder, table, written
+from ledgerfold.llm.common import Scratch, crc_remainder, table
 
 #: Least posterior of the predicted language, and shingle length and similarity of the near-duplicate stage.
 LEAST_LANGUAGE, WORDS, NUMERATOR, DENOMINATOR = 0.5, 5, 80, 100
@@ -98,7 +98,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's table goes once the next one is written; the last is read by the result."""
+    scratch, docs, before = Scratch(), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
