@@ -132,3 +132,23 @@ def test_operators_keep_clashing_columns(spark):
         assert all(r[c] == f"clash {c}" for r in out.collect() for c in CLASHES if c not in own[name]), name
     pages = docs.withColumn("html", F.concat(F.lit("<article><p>"), "text")).withColumn("__text", F.lit("mine"))
     assert {r["__text"] for r in html_text.extract_pages(pages).collect()} == {"mine"}
+
+
+@tables
+def test_pipeline_from_end_to_end(spark):
+    """What is packed is what the stages kept: known documents, whole, in sequences without gaps."""
+    rows = corpus_pipeline.run(spark, SF).collect()
+    known = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    assert rows and {r["doc_id"] for r in rows} <= known
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in pieces.values():
+        assert sum(r["length"] for r in own) % own[0]["doc_tokens"] == 0  # as often as the mix has it
+    for spans in sequences.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= packing.LENGTH
