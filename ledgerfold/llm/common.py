@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Rows and bytes of an Arrow batch that goes to a Python worker: texts may be long.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 #: Rows of a table of sizes that may be broadcast; beyond, it is joined by a shuffle.
 FEW = 1000
@@ -32,6 +34,31 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def tidied(run: Callable) -> Callable:
+    """run, for mapInArrow or applyInArrow, after which its worker gives freed memory back: workers live on from task to task."""
+
+    def streamed(*args):
+        try:
+            yield from run(*args)
+        finally:
+            _give_back()
+
+    def grouped(*args):
+        try:
+            return run(*args)
+        finally:
+            _give_back()
+
+    # a function of two arguments, as pyspark tells by the signature, gets a key and its group
+    return (lambda key, group: grouped(key, group)) if run.__code__.co_argcount == 2 else (lambda batches: streamed(batches))
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only the C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; it goes when the driver ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -133,7 +160,7 @@ def power_of_two(x: float) -> int:
     return 1 << max(0, int(-(-x // 1)) - 1).bit_length() if x > 1 else 1
 
 
-def as_batches(rows: Iterable[dict], schema: pa.Schema, rows_at_once: int = 2048, bytes_at_once: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def as_batches(rows: Iterable[dict], schema: pa.Schema, rows_at_once: int = 2048, bytes_at_once: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of a bounded number of rows and of bytes in binary or text columns."""
     held: list[dict] = []
     size = 0

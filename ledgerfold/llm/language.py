@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, free, lowest_hashes, small_batches, table
+from .common import crc_remainder, free, lowest_hashes, small_batches, table, tidied
 from .grams import CharGrams
 
 ORDERS, BITS, ALPHA = (1, 2, 3), 16, 0.5
@@ -53,7 +53,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, orders=ORDERS,
             yield pa.RecordBatch.from_pylist([{"lang": lang, "index": index.astype("<i4").tobytes(), "count": total[index].astype("<i8").tobytes()}], schema=schema)
 
     totals: dict[str, np.ndarray] = {}
-    for row in sample.select("lang", "text").mapInArrow(count, "lang string, index binary, count binary").toLocalIterator():
+    for row in sample.select("lang", "text").mapInArrow(tidied(count), "lang string, index binary, count binary").toLocalIterator():
         totals.setdefault(row["lang"], np.zeros(1 << bits, np.int64))[np.frombuffer(row["index"], "<i4")] += np.frombuffer(row["count"], "<i8")
     languages = sorted(totals)
     counts = np.array([totals[x] for x in languages], np.float64).reshape(len(languages), 1 << bits) + alpha
@@ -90,7 +90,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             posterior = np.where(known, 1.0 / np.maximum(1.0, np.exp(rest).sum(1)), 0.0)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(names[best].tolist(), pa.string()), pa.array(posterior, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return marked.mapInArrow(score, schema)
+    return marked.mapInArrow(tidied(score), schema)
 
 
 def _sparse(grams: CharGrams, texts, rows: np.ndarray):

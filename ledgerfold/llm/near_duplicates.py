@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_batches, input_bytes, power_of_two, small_batches, table, written
+from .common import Scratch, as_batches, input_bytes, power_of_two, small_batches, table, tidied, written
 from .components import connected_components
 
 #: n-grams of the contract and the least similarity, as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Fragments of the order; n-grams, and n-grams of prefixes, that a task sorts at once; bytes of input for a range of hashes.
-FRAGMENTS, SORTED_AT_ONCE, POSTED_AT_ONCE, RANGE_BYTES = 8, 1_000_000, 500_000, 8 << 20
+FRAGMENTS, SORTED_AT_ONCE, POSTED_AT_ONCE, RANGE_BYTES = 8, 500_000, 250_000, 4 << 20
 #: The least class in the table of the order: n-grams of more than 4 documents. The table has so many cells at most
 #: (bits), a byte each: 32 MB; if more n-grams are that common, the least class rises. A Bloom filter has so many
 #: bits at most: 16 MB. Results don't depend on these sizes.
@@ -147,7 +147,7 @@ def described(documents: DataFrame, n: int, range_bits: int) -> DataFrame:
         yield from as_batches(rows(), schema)
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return texts.mapInArrow(run, "kind int, doc_id long, n_shingles long, node long, text_hash long, parity array<long>, range int, data binary, times binary")
+    return texts.mapInArrow(tidied(run), "kind int, doc_id long, n_shingles long, node long, text_hash long, parity array<long>, range int, data binary, times binary")
 
 
 def order_of(packed: DataFrame, range_bits: int, scratch: Scratch, cell_bits: int = CELL_BITS) -> tuple[Order, list[int]]:
@@ -171,7 +171,7 @@ def order_of(packed: DataFrame, range_bits: int, scratch: Scratch, cell_bits: in
             rows.append({"range": key[0].as_py(), "class": int(k), "n": int((kinds == k).sum()), "mass": int(times[kinds == k].sum()), "data": _packed(low[kinds == k])})
         return pa.Table.from_pylist(rows, schema=pa.schema([("range", pa.int32()), ("class", pa.int32()), ("n", pa.int64()), ("mass", pa.int64()), ("data", pa.binary())]))
 
-    counted = scratch.write(packed.select("range", "n_shingles", "data", "times").groupBy("range").applyInArrow(count, "range int, class int, n long, mass long, data binary"), "ngram-counts")
+    counted = scratch.write(packed.select("range", "n_shingles", "data", "times").groupBy("range").applyInArrow(tidied(count), "range int, class int, n long, mass long, data binary"), "ngram-counts")
     sizes = {r["class"]: (r["n"], r["mass"]) for r in counted.groupBy("class").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).collect()}
     least, total = 64, 0
     for k in sorted(sizes, reverse=True):
@@ -292,8 +292,8 @@ def shared_prefixes(documents: DataFrame, n: int, order, range_bits: int, numera
             out = [np.concatenate(x) for x in zip(out, (key[keep], node[keep], whole[keep], place[keep]), strict=True)]
         return pa.Table.from_arrays([pa.array(x.view(np.int64) if x.itemsize == 8 else x.astype(np.int64)) for x in out], schema=columns)
 
-    sent = documents.select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(post, "range int, settled boolean, rows long, key binary, node binary, n binary, place binary")
-    return sent.groupBy("range").applyInArrow(settle, "key long, node long, n long, place long")
+    sent = documents.select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidied(post), "range int, settled boolean, rows long, key binary, node binary, n binary, place binary")
+    return sent.groupBy("range").applyInArrow(tidied(settle), "key long, node long, n long, place long")
 
 
 def _may_link(a: str, b: str, numerator: int, denominator: int):
@@ -373,7 +373,7 @@ def verified(pairs: DataFrame, documents: DataFrame, n: int, order, cuts: list[i
 
         yield from as_batches(rows(), schema, rows_at_once=4096)
 
-    cutup = documents.select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(fragments, "node long, fragment int, keys binary").dropDuplicates(["node", "fragment"])
+    cutup = documents.select("text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidied(fragments), "node long, fragment int, keys binary").dropDuplicates(["node", "fragment"])
     cutup = scratch.write(cutup, "fragments")
     each = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("fragment"))
     left = each.join(cutup.select(F.col("node").alias("a"), "fragment", F.col("keys").alias("keys_a")), ["a", "fragment"])
@@ -384,7 +384,7 @@ def verified(pairs: DataFrame, documents: DataFrame, n: int, order, cuts: list[i
             common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch["keys_a"].to_pylist(), batch["keys_b"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(common, pa.int64())], names=["a", "b", "common"])
 
-    total = met.mapInArrow(overlap, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
+    total = met.mapInArrow(tidied(overlap), "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     linked = total.join(pairs, ["a", "b"]).filter(F.col("common") * denominator >= (F.col("n_a") + F.col("n_b") - F.col("common")) * numerator)
     links = scratch.write(linked.select("a", "b"), "links")
     scratch.drop(cutup)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batches, input_bytes, power_of_two, small_batches, table
+from .common import as_batches, input_bytes, power_of_two, small_batches, table, tidied
 
 LENGTH, END = 4096, 2
 #: Estimated cost of a sequence: its tokens, plus QUADRATIC for each pair of tokens of one piece.
@@ -26,7 +26,7 @@ SHARD_BYTES = 8 << 20
 #: Shuffle partitions of the shards at most: a task takes one shard after another.
 PARTITIONS = 1 << 15
 #: Pre-tokens that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -102,7 +102,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, end: int = END
 
         yield from as_batches(rows(), schema)
 
-    cut = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, ids binary, wide boolean, doc_tokens long")
+    cut = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, start long, ids binary, wide boolean, doc_tokens long")
     return cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(shards)).cast("int"))
 
 
@@ -165,7 +165,7 @@ def pack(documents: DataFrame, path: str, length: int = LENGTH, end: int = END,
         names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return dealt.groupBy("shard").applyInArrow(run, SCHEMA)
+    return dealt.groupBy("shard").applyInArrow(tidied(run), SCHEMA)
 
 
 def tokenizer_path() -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest_hashes, small_batches, table
+from .common import lowest_hashes, small_batches, table, tidied
 from .linear import Rows, fit, sigmoid
 
 BITS, L2, THRESHOLD = 18, 1e-5, 0.5
@@ -190,7 +190,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_pylist([{"pattern": p, "n": n} for p, n in found.items()], schema=pa.schema([("pattern", pa.string()), ("n", pa.int64())]))
 
     # patterns: at most 3 to the power of the labellers
-    counts = documents.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    counts = documents.select("text").mapInArrow(tidied(count), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     weak = estimate({r["pattern"]: r["n"] for r in counts})
 
     ids = lowest_hashes(documents.select("doc_id", F.lit(1).alias("all")).filter(F.col("doc_id").isNotNull()).distinct(), "doc_id", "all", sample).select("doc_id")
@@ -214,8 +214,8 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
         weights, bias = fit(sparse, target, np.ones(len(rows)), np.ones(1 << BITS), L2)
         yield pa.RecordBatch.from_pylist([{"weights": weights.astype("<f4").tobytes(), "bias": bias}])
 
-    one = chosen.mapInArrow(describe, "doc_id long, pattern string, index binary, value binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(31)), "doc_id", "pattern")
-    row = one.mapInArrow(learn, "weights binary, bias double").first()
+    one = chosen.mapInArrow(tidied(describe), "doc_id long, pattern string, index binary, value binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(31)), "doc_id", "pattern")
+    row = one.mapInArrow(tidied(learn), "weights binary, bias double").first()
     if row is None:
         return Model(weak, np.zeros(1 << BITS, np.float32), float(np.log(weak.prior / (1 - weak.prior))))
     return Model(weak, np.frombuffer(row["weights"], "<f4"), row["bias"])
@@ -246,7 +246,7 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             p = sigmoid(np.array(z, np.float64))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(names, pa.string()), pa.array(p, pa.float64()), pa.array(p >= threshold)], names=[*kept, "votes", "quality", "kept"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, lowest_hashes, small_batches, table
+from .common import crc_remainder, lowest_hashes, small_batches, table, tidied
 from .grams import CharGrams
 from .linear import Rows, fit, sigmoid
 
@@ -70,8 +70,8 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS, orders=ORDERS, bits=B
         yield pa.RecordBatch.from_pylist([{"weights": weights.astype("<f4").tobytes(), "bias": bias}])
 
     # the sample is bounded, so one task may learn from it: a lost executor costs one repeated task
-    one = sample.mapInArrow(features, "doc_id long, toxic int, found binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(31)), "doc_id", "found")
-    row = one.mapInArrow(learn, "weights binary, bias double").first()
+    one = sample.mapInArrow(tidied(features), "doc_id long, toxic int, found binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(31)), "doc_id", "found")
+    row = one.mapInArrow(tidied(learn), "weights binary, bias double").first()
     if row is None:
         return Model(np.zeros(1 << bits, np.float32), float(np.log(1e-6)), orders, bits)
     return Model(np.frombuffer(row["weights"], "<f4"), row["bias"], orders, bits)
@@ -98,7 +98,7 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             p = sigmoid(z)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], names=[*kept, "score", "predicted"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
