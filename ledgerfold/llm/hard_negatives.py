@@ -114,7 +114,7 @@ class Best:
 
 SCORE = pa.decimal128(38, 0)
 FIRST = pa.schema([("anchor_id", pa.int64()), ("row_id", pa.int64()), ("score", SCORE)])
-SECOND = pa.schema([("anchor_id", pa.int64()), ("positive_id", pa.int64()), ("row_id", pa.int64()), ("score", SCORE)])
+SECOND = pa.schema([("anchor_id", pa.int64()), ("place", pa.int32()), ("row_id", pa.int64()), ("score", SCORE)])
 _DDL = "anchor_id long, {}row_id long, score decimal(38,0)"
 
 
@@ -157,7 +157,7 @@ def mined(df: DataFrame, every: int = 100, id_column: str = "vec_id", label: str
     Rows with a null id, label or vector, or a component that is null or not finite (after times 256, too), take
     no part; vectors of different dimensions aren't compared, those without any component have products of 0. A row
     isn't compared with rows of its own id; where an anchor's id repeats, the row of the least label and vector is
-    the anchor, and each of the other rows is a candidate for other anchors. An anchor or positive for which nothing
+    the anchor; each row of a repeated id is a candidate, and a positive, by itself. An anchor or positive for which nothing
     is found has no row. Products are exact, up to 38 digits; as 64-bit results they are held to that range. An empty table gives
     no rows; other columns, of any name, aren't read.
     """
@@ -195,14 +195,13 @@ def _block(rows: DataFrame, own: DataFrame, positives: int, negatives: int) -> D
     with Scratch() as scratch:
         found = scratch.write(_merged(first, ["anchor_id"], positives), "positives")
         # `positives` at most for each anchor of the block
-        place, score_of, there, id_of = {i: n for n, i in enumerate(ids)}, np.zeros((len(ids), positives), object), np.zeros((len(ids), positives), bool), {}
+        at, score_of, there = {i: n for n, i in enumerate(ids)}, np.zeros((len(ids), positives), object), np.zeros((len(ids), positives), bool)
         for r in found.collect():
-            n, k = place[r["anchor_id"]], r["rank"] - 1
-            score_of[n, k], there[n, k], id_of[n * positives + k] = int(r["score"]), True, r["row_id"]
-        limits = context.broadcast((score_of, there, id_of))
+            score_of[at[r["anchor_id"]], r["rank"] - 1], there[at[r["anchor_id"]], r["rank"] - 1] = int(r["score"]), True
+        limits = context.broadcast((score_of, there))
 
         def in_window(own: Block, a: slice, lists: np.ndarray, rows: Block, scores: np.ndarray):
-            score_of, there, _ = limits.value
+            score_of, there = limits.value
             other = own.labels[a, None] != rows.labels[None]
             for k in range(positives):
                 # in whole numbers: LOW p <= HIGH n, and n <= p
@@ -212,11 +211,11 @@ def _block(rows: DataFrame, own: DataFrame, positives: int, negatives: int) -> D
                 yield lists * positives + k, other & there[lists, k][:, None] & (scores >= low[:, None]) & (scores <= high[:, None])
 
         def key(n: int) -> dict:
-            return {"anchor_id": ids[n // positives], "positive_id": limits.value[2][n]}
+            return {"anchor_id": ids[n // positives], "place": n % positives + 1}
 
-        second = rows.mapInArrow(tidied(lambda batches: _pass(shared.value, in_window, len(ids) * positives, negatives, SECOND, key)(batches)), _DDL.format("positive_id long, "))
-        best = _merged(second, ["anchor_id", "positive_id"], negatives)
-        return written(best.join(found.select("anchor_id", F.col("row_id").alias("positive_id"), F.col("score").alias("positive_score")), ["anchor_id", "positive_id"]), "mined")
+        second = rows.mapInArrow(tidied(lambda batches: _pass(shared.value, in_window, len(ids) * positives, negatives, SECOND, key)(batches)), _DDL.format("place int, "))
+        best = _merged(second, ["anchor_id", "place"], negatives)
+        return written(best.join(found.select("anchor_id", F.col("rank").alias("place"), F.col("row_id").alias("positive_id"), F.col("score").alias("positive_score")), ["anchor_id", "place"]), "mined")
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
