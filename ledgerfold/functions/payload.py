@@ -17,7 +17,12 @@ def content_hash(raw: Column) -> Column:
 
 def json_text(raw: Column, key: str) -> Column:
     """The value of a key, if the payload is valid JSON and the value is a string; else null."""
-    value = F.try_variant_get(F.try_parse_json(raw.cast("string")), f"$.{key}", "variant")
+    return variant_text(F.try_parse_json(raw.cast("string")), key)
+
+
+def variant_text(body: Column, key: str) -> Column:
+    """The value of a key of parsed JSON, if it is a string; else null."""
+    value = F.try_variant_get(body, f"$.{key}", "variant")
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 

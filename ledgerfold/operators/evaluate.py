@@ -23,9 +23,10 @@ def score_summary(scores: DataFrame, score: str, *by: str) -> DataFrame:
 
 
 def judged(results: DataFrame) -> DataFrame:
-    """Cases for the two scorers: match with an expectation, and explanations with findings, both without an error."""
-    fine = F.col("error").isNull()
-    return results.withColumn("judge_match", fine & F.col("match").isNotNull() & F.col("expected_entity_match").isNotNull()).withColumn("judge_grounding", fine & F.col("explanation").isNotNull() & (F.coalesce("findings", F.lit("")) != ""))
+    """Cases for the two scorers: judge_match where a match has an expectation, judge_grounding where such a case also
+    has an explanation and findings. A case with an error, without a match or without an expectation has neither."""
+    match = F.col("error").isNull() & F.col("match").isNotNull() & F.col("expected_entity_match").isNotNull()
+    return results.withColumn("judge_match", match).withColumn("judge_grounding", match & F.col("explanation").isNotNull() & F.col("findings").isNotNull())
 
 
 def metrics(events: DataFrame, value: str, *tags: str) -> DataFrame:
@@ -33,11 +34,70 @@ def metrics(events: DataFrame, value: str, *tags: str) -> DataFrame:
     return events.groupBy(*tags).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile_approx(v, [0.5, 0.95, 0.99]).alias("percentiles"), F.sum(v).alias("sum"), F.count(v).alias("n"))
 
 
+#: Size of a sketch: quantiles are within SKETCH_ERROR of their rank, and a sketch has some kilobytes however many values it saw.
+SKETCH_K, SKETCH_ERROR = 800, 0.01
+
+
+def summarised(events: DataFrame, value: str, *tags: str) -> DataFrame:
+    """Mergeable summaries of a whole-number value: tags, n, sum, min, max and a KLL sketch. They are stored for each
+    batch or period (one of the tags) and merged later; the events aren't needed again."""
+    v = F.col(value).cast("long")
+    return events.groupBy(*tags).agg(F.count(v).alias("n"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.kll_sketch_agg_bigint(v, SKETCH_K).alias("sketch"))
+
+
+def merged(summaries: DataFrame, *tags: str) -> DataFrame:
+    """Summaries of fewer tags from those of more: of a day from its hours, of all days from each."""
+    return summaries.groupBy(*tags).agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def quantiles(summaries: DataFrame, at: dict[str, float]) -> DataFrame:
+    """summaries with a column for each named quantile, and mean; null where no value was counted."""
+    read = {name: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_bigint("sketch", F.lit(q).cast("double"))) for name, q in at.items()}
+    return summaries.withColumns(read | {"mean": F.col("sum") / F.nullif(F.col("n"), F.lit(0))})
+
+
 def report(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
     """Each row as one line of fixed-width columns."""
     return rows.select(F.rtrim(F.concat_ws(" ", *(F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("-")), w, " ") for c, w in widths.items()))).alias("line"))
 
 
+#: Titles and widths of the report's columns, and the heading of its last part.
+REPORT = {"fixture": 16, "bucket": 12, "decision": 14, "expected": 14, "entity_match": 14, "tax_id_ok": 11, "error": 0}
+JUDGE_HEADING = "--- LLM-judge tier (Claude Sonnet) ---"
+
+
+def _padded(c: Column, width: int) -> Column:
+    """At least so wide: a longer text stays whole."""
+    return F.concat(c, F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(width) - F.length(c))))
+
+
+def eval_report(results: DataFrame, scores: DataFrame, names: tuple[str, ...] = ("entity_match", "groundedness")) -> DataFrame:
+    """The whole report as (part, key, line), to be sorted by the first two: a header, a line for each case, one for each
+    bucket, a heading and one for each scorer, with empty lines between the parts.
+
+    results: id, bucket, decision, expected_decision, match, tax_id_verbatim (both boolean) and error. Values that
+    aren't there are None, as are those of a case that failed. scores: metric and score.
+    """
+    shown = lambda c: F.coalesce(F.initcap(F.col(c).cast("string")) if c in ("match", "tax_id_verbatim") else F.col(c).cast("string"), F.lit("None"))
+    cells = dict(zip(REPORT, [*map(shown, ("id", "bucket", "decision", "expected_decision", "match", "tax_id_verbatim")), F.coalesce("error", F.lit(""))], strict=True))
+    line = lambda values: F.concat(*(_padded(values[k], w) for k, w in REPORT.items())).alias("line")
+    one = results.sparkSession.range(1)
+    fixed = lambda part, text: one.select(F.lit(part).alias("part"), F.lit("").alias("key"), text.alias("line"))
+    parts = [
+        fixed(0, line({k: F.lit(k) for k in REPORT})),
+        results.select(F.lit(1), F.col("id").cast("string"), line(cells)),
+        fixed(2, F.lit("")),
+        bucket_lines(bucket_accuracy(results, "bucket", "decision", "expected_decision")).select(F.lit(3), "line", "line"),
+        fixed(4, F.lit("")),
+        fixed(5, F.lit(JUDGE_HEADING)),
+        score_lines(scores, names).select(F.lit(6), "line", "line"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def eval_thread(case: Column) -> Column:
     """Thread of an evaluation case, apart from those of onboardings."""
     return F.concat(F.lit("eval-"), case.cast("string"))
@@ -67,10 +127,9 @@ def bucket_lines(accuracy: DataFrame) -> DataFrame:
 
 def score_lines(scores: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     """A line for each metric: average and number of its scores, or that it has none."""
-    names = scores.sparkSession.createDataFrame([(m,) for m in metrics], "metric string")
-    found = scores.groupBy("metric").agg(F.avg("score").alias("avg"), F.count("score").alias("n"))
+    each = (F.struct(F.lit(m).alias("metric"), F.avg(F.when(F.col("metric") == m, F.col("score"))).alias("avg"), F.count(F.when(F.col("metric") == m, F.col("score"))).alias("n")) for m in metrics)
     said = F.when(F.col("n") > 0, F.format_string("%s: avg %.2f (n=%d)", "metric", "avg", "n")).otherwise(F.concat("metric", F.lit(": no scored cases")))
-    return names.join(found, "metric", "left").select(said.alias("line"))
+    return scores.agg(F.array(*each).alias("each")).select(F.inline("each")).select(said.alias("line"))
 
 
 def counts(rows: DataFrame, bucket: str, key: str, holds: Column) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerfold.functions import text
+from ledgerfold.functions import payload, text
 
 
 def latest_per_key(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
@@ -31,19 +31,26 @@ def rows_of_page(children: DataFrame, page: DataFrame, key: str, page_key: str,
 
 
 def dashboard(parents: DataFrame, children: DataFrame, status: str | None = None, limit: int = 50, *, parent_key: str = "id", child_key: str = "onboarding_id", status_column: str = "status", parent_ts: str = "inserted_at", child_ts: str = "inserted_at", child_tie: str = "id", child_columns: tuple[str, ...] = ("company_name",)) -> DataFrame:
-    """A page of parents, each with columns of its latest child (null without one).
+    """A page of parents, newest first, each with columns of its latest child (null without one).
 
-    The page is cut first, so only its own children are ranked.
+    The page is cut first, so only its own children are ranked; the join may lose its order, which is made again.
     """
     page = list_by_status(parents, status, limit, status_column, parent_ts, parent_key)
     own = rows_of_page(children, page, child_key, parent_key, limit)
     latest = latest_per_key(own, child_key, child_ts, child_tie).select(F.col(child_key).alias("__key"), *child_columns)
-    return page.join(latest, F.col(parent_key) == F.col("__key"), "left").drop("__key")
+    return list_by_status(page.join(latest, F.col(parent_key) == F.col("__key"), "left").drop("__key"), None, limit, status_column, parent_ts, parent_key)
 
 
-def review(run: DataFrame) -> DataFrame:
-    """A run in long form: field, contract value, W-9 value."""
-    return run.select("onboarding_id", F.expr("stack(3, 'company_name', company_name, w9_company_name, 'payment_terms', payment_terms, null, 'liability_clauses', liability_clauses, null) as (field, contract, w9)"))
+def review(run: DataFrame, key: Column | None = None) -> DataFrame:
+    """A run in long form, as a reviewer sees it: field, contract value, W-9 value; the explanation belongs to neither.
+
+    key: what the tax id is encrypted with; without one it is shown as it is stored, as text.
+    """
+    tax = F.col("tax_id").cast("string") if key is None else payload.decrypted(F.col("tax_id"), key)
+    none = F.lit(None).cast("string")
+    fields = (("company_name", F.col("company_name"), F.col("w9_company_name"), none), ("payment_terms", F.col("payment_terms"), none, none), ("liability_clauses", F.col("liability_clauses"), none, none), ("tax_id", none, tax, none), ("explanation", none, none, F.col("explanation")))
+    each = F.array(*(F.struct(F.lit(f).alias("field"), a.alias("contract"), b.alias("w9"), c.alias("agent")) for f, a, b, c in fields))
+    return run.select("onboarding_id", F.inline(each))
 
 
 def with_actions(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import payload, text
 from ledgerfold.operators import evaluate, flow, reads, state
-from ledgerfold.plans import workflow
+from ledgerfold.plans import lifecycle, workflow
 from ledgerfold.sources import fixtures, intake
 from ledgerfold.sources.intake import table
 
@@ -155,7 +155,7 @@ def golden_flow(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.bucket_accuracy(run, "bucket", "decision", "expected_decision")
 
 
-QUERIES = {f.__name__: f for f in (list_by_status, latest_run_per_parent, dashboard_read_model, reload_row, latest_missing_child, orphan_and_cascade, content_hash_dedupe, verbatim_check, format_check, watchlist_screen, token_set_match, regex_extract_fields, json_patch_fold, status_mirror, decision_and_findings, bucket_accuracy, score_summary, paused_latest_turn, guard_transitions, badge_and_actions, golden_flow)} | workflow.QUERIES
+QUERIES = {f.__name__: f for f in (list_by_status, latest_run_per_parent, dashboard_read_model, reload_row, latest_missing_child, orphan_and_cascade, content_hash_dedupe, verbatim_check, format_check, watchlist_screen, token_set_match, regex_extract_fields, json_patch_fold, status_mirror, decision_and_findings, bucket_accuracy, score_summary, paused_latest_turn, guard_transitions, badge_and_actions, golden_flow)} | workflow.QUERIES | lifecycle.QUERIES
 
 _LATEST = "SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
 
@@ -188,4 +188,4 @@ SELECT u.user_id, a.k, b.status FROM (SELECT DISTINCT user_id FROM events) u LEF
     "guard_transitions": "WITH c AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'needs_review' WHEN 'F' THEN 'approved' ELSE 'processing' END AS s FROM orders), d AS (SELECT event_id * 3 AS onboarding_id, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'maybe' END AS decision FROM events) SELECT onboarding_id, decision, CASE WHEN decision = 'maybe' THEN 'invalid_decision' WHEN s IS NULL THEN 'not_found' WHEN s <> 'needs_review' THEN 'not_awaiting_review' ELSE 'ok' END AS result FROM d LEFT JOIN c ON id = onboarding_id",
     "badge_and_actions": "SELECT *, CASE status WHEN 'approved' THEN 'badge-success' WHEN 'needs_review' THEN 'badge-warning' WHEN 'rejected' THEN 'badge-error' ELSE 'badge-neutral' END AS badge, status = 'needs_review' AS reviewable FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'needs_review' WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderkey % 7 = 0 THEN 'rejected' ELSE 'received' END AS status FROM orders)",
     "golden_flow": "SELECT * FROM (VALUES ('clean', CAST(10 AS BIGINT), CAST(10 AS BIGINT)), ('mismatch', 5, 5), ('formatting', 3, 3), ('malformed', 2, 2)) t(bucket, total, correct)",
-} | workflow.ORACLE
+} | workflow.ORACLE | lifecycle.ORACLE

@@ -15,27 +15,38 @@ from ledgerfold.sources import fixtures, intake
 from ledgerfold.sources.intake import table
 
 NOW = "2024-01-01 00:00:00"
+#: A key for encryption in queries.
+KEY = "0123456789abcdef0123456789abcdef"
+
+
+def _key() -> Column:
+    return F.lit(KEY).cast("binary")
 
 
 def _payloads(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_payloads(table(spark, sf, "documents"))
+
+
+def _as_payloads(documents: DataFrame) -> DataFrame:
     """Every document as a payload: valid ones with both fields, and four kinds of invalid ones, by its length."""
     contract = F.concat(F.lit('{"contract":"'), payload.base64_text(F.col("text").cast("binary")), F.lit('"'))
     kind = F.col("n_chars") % 7
     raw = F.when(kind == 0, F.col("text")).when(kind == 1, F.concat(contract, F.lit("}"))).when(kind == 2, F.concat(contract, F.lit(',"w9":"YQ"}'))).when(kind == 3, F.concat(contract, F.lit(',"w9":12}')))
     both = F.concat(contract, F.lit(',"w9":"'), payload.base64_text(F.col("lang").cast("binary")), F.lit('"}'))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), raw.otherwise(both).cast("binary").alias("raw"), "source")
+    return documents.select(F.col("doc_id").alias("seq"), raw.otherwise(both).cast("binary").alias("raw"), "source")
 
 
 def _ingested(spark: SparkSession, sf: str) -> DataFrame:
-    """All payloads, after those of one source have been ingested before."""
+    """Outcomes of all payloads, after those of one source have been ingested before."""
     none = spark.createDataFrame([], "idempotency_key string")
     payloads = _payloads(spark, sf)
-    ledger = intake.ingest(payloads.filter("source = 'src0'"), none).filter("result = 'created'").select("idempotency_key")
-    return intake.ingest(payloads, ledger)
+    facts = intake.facts(payloads)
+    ledger = intake.decided(intake.facts(payloads.filter("source = 'src0'")), none).filter("result = 'created'").select("idempotency_key")
+    return intake.decided(facts, ledger)
 
 
 def ingest_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    return _ingested(spark, sf).select("seq", "idempotency_key", "result", F.octet_length("contract").cast("long").alias("n_contract"), F.col("w9").cast("string").alias("w9"), F.col("document_paths")["contract"].alias("contract_path"))
+    return intake.with_contents(_ingested(spark, sf), _payloads(spark, sf)).select("seq", "idempotency_key", "result", F.octet_length("contract").cast("long").alias("n_contract"), F.col("w9").cast("string").alias("w9"), F.col("document_paths")["contract"].alias("contract_path"))
 
 
 def insert_onboardings(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,8 +54,8 @@ def insert_onboardings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as rows to insert: some without an onboarding, with an unknown or blank status, or too long a thread id."""
-    status = F.when(F.col("o_orderkey") % 13 == 0, "").when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "processing").otherwise("received")
+    """Orders as rows to insert: some without an onboarding, or with an unknown or blank status; thread ids of any length."""
+    status = F.when(F.col("o_orderkey") % 13 == 0, "").when(F.col("o_orderkey") % 13 == 1, " \t").when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "processing").otherwise("received")
     return table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")).alias("onboarding_id"), status.alias("status"), F.repeat(F.lit("x"), (F.col("o_orderkey") % 300).cast("int")).alias("thread_id"))
 
 
@@ -103,8 +114,8 @@ def resume_threads(spark: SparkSession, sf: str) -> DataFrame:
 
 def review_fields(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
-    own = orders.select(F.col("o_orderkey").alias("onboarding_id"), F.col("o_orderpriority").alias("company_name"), F.upper("o_orderpriority").alias("w9_company_name"), F.col("o_orderstatus").alias("payment_terms"), F.lit(None).cast("string").alias("liability_clauses"))
-    return reads.review(own)
+    own = orders.select(F.col("o_orderkey").alias("onboarding_id"), F.col("o_orderpriority").alias("company_name"), F.upper("o_orderpriority").alias("w9_company_name"), F.col("o_orderstatus").alias("payment_terms"), F.lit(None).cast("string").alias("liability_clauses"), payload.encrypted(F.col("o_orderkey").cast("string"), _key()).alias("tax_id"), F.concat(F.lit("why "), "o_orderstatus").alias("explanation"))
+    return reads.review(own, _key())
 
 
 def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,9 +126,8 @@ def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def encryption_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """What is stored is tagged, longer by a nonce and a mark, and doesn't hold the text; reading it gives the text."""
-    key = F.lit("0123456789abcdef0123456789abcdef").cast("binary")
-    stored = table(spark, sf, "customer").select("c_custkey", "c_name", payload.encrypted(F.col("c_name"), key).alias("stored"))
-    return stored.select("c_custkey", payload.decrypted(F.col("stored"), key).alias("plain"), (F.substring("stored", 1, len(payload.TAG)) == F.lit(payload.TAG)).alias("tagged"), (F.instr(F.hex("stored"), F.hex("c_name")) == 0).alias("hidden"), F.octet_length("stored").cast("long").alias("n_bytes"))
+    stored = table(spark, sf, "customer").select("c_custkey", "c_name", payload.encrypted(F.col("c_name"), _key()).alias("stored"))
+    return stored.select("c_custkey", payload.decrypted(F.col("stored"), _key()).alias("plain"), (F.substring("stored", 1, len(payload.TAG)) == F.lit(payload.TAG)).alias("tagged"), (F.instr(F.hex("stored"), F.hex("c_name")) == 0).alias("hidden"), F.octet_length("stored").cast("long").alias("n_bytes"))
 
 
 #: Names that the flow over customers screens for.
@@ -136,7 +146,7 @@ def document_flow(spark: SparkSession, sf: str) -> DataFrame:
     customers = table(spark, sf, "customer").select("c_custkey", "c_name")
     documents = customers.filter(n % 17 != 0).select(path("contract").alias("path"), contract.alias("text")).union(customers.select(path("w9"), w9))
     work = customers.select(n.alias("id"), F.create_map(F.lit("contract"), path("contract"), F.lit("w9"), path("w9")).alias("document_paths"))
-    out = flow.run(work, documents, flow.Steps(watchlist=WATCHED))
+    out = flow.run(work, documents, flow.Steps(screen=flow.screener(WATCHED)))
     return out.select("onboarding_id", "thread_id", "error", "next", F.get_json_object("state", "$.findings").alias("findings"), *(F.col("patch")[f].alias(f) for f in ("status", "company_name", "w9_company_name", "tax_id", "payment_terms", "explanation")))
 
 
@@ -243,8 +253,8 @@ i AS (SELECT *, CASE WHEN k < 4 THEN 'invalid_payload' WHEN key IN (SELECT key F
 """
 _LATEST = "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
 _LOG = "WITH t AS (SELECT 'conv-' || conv_id AS thread_id, turn * 1000000 + length(text) AS seq, CASE WHEN role = 'user' THEN 'flag_for_review' END AS next, 'n=' || length(text) AS said FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn * 1000000 + length(text) DESC) = 1)"
-_RUN_ROWS = "SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS onboarding_id, CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderstatus = 'O' THEN 'processing' ELSE 'received' END AS status FROM orders"
-_RUN_ERRORS = "concat_ws('; ', CASE WHEN onboarding_id IS NULL THEN 'onboarding_id: can''t be blank' END, CASE WHEN status = '' THEN 'status: can''t be blank' WHEN status = 'received' THEN 'status: is invalid' END, CASE WHEN o_orderkey % 300 > 255 THEN 'thread_id: should be at most 255 character(s)' END)"
+_RUN_ROWS = "SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS onboarding_id, CASE WHEN o_orderkey % 13 IN (0, 1) THEN '' WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderstatus = 'O' THEN 'processing' ELSE 'received' END AS status FROM orders"
+_RUN_ERRORS = "concat_ws('; ', CASE WHEN onboarding_id IS NULL THEN 'onboarding_id: can''t be blank' END, CASE WHEN status = '' THEN 'status: can''t be blank' WHEN status = 'received' THEN 'status: is invalid' END)"
 _WORK = "WITH r AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), w AS (SELECT c_custkey AS id, coalesce(n, 0) + 1 AS attempt, c_acctbal FROM customer LEFT JOIN r ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING')"
 _SCORES = "SELECT doc_id, 'entity_match' AS metric, CAST(quality AS DOUBLE) * CAST(0.75 AS DOUBLE) AS score FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id, 'groundedness', CAST(0.5 AS DOUBLE) + CAST(toxic AS DOUBLE) * CAST(0.25 AS DOUBLE) FROM labels WHERE quality = 0"
 
@@ -267,7 +277,7 @@ FROM orders o LEFT JOIN s ON s.o_orderkey = o.o_orderkey LEFT JOIN c ON c.o_orde
     "resume_threads": _LOG + """, d AS (SELECT 'conv-' || doc_id AS thread_id, CASE WHEN toxic = 1 THEN 'maybe' WHEN quality = 1 THEN 'approved' ELSE 'rejected' END AS decision FROM labels),
 r AS (SELECT d.*, t.seq, said, CASE WHEN decision = 'maybe' THEN 'invalid_decision' WHEN t.thread_id IS NULL THEN 'not_found' WHEN next IS NULL THEN 'not_awaiting_review' ELSE 'ok' END AS result FROM d LEFT JOIN t ON t.thread_id = d.thread_id)
 SELECT thread_id, decision, result, CASE WHEN result = 'ok' THEN decision END AS status, CASE WHEN result = 'ok' THEN said END AS explanation, CASE WHEN result = 'ok' THEN seq + 1 END AS seq FROM r""",
-    "review_fields": "SELECT o_orderkey AS onboarding_id, 'company_name' AS field, o_orderpriority AS contract, upper(o_orderpriority) AS w9 FROM orders UNION ALL SELECT o_orderkey, 'payment_terms', o_orderstatus, NULL FROM orders UNION ALL SELECT o_orderkey, 'liability_clauses', NULL, NULL FROM orders",
+    "review_fields": "SELECT o_orderkey AS onboarding_id, 'company_name' AS field, o_orderpriority AS contract, upper(o_orderpriority) AS w9, NULL AS agent FROM orders UNION ALL SELECT o_orderkey, 'payment_terms', o_orderstatus, NULL, NULL FROM orders UNION ALL SELECT o_orderkey, 'liability_clauses', NULL, NULL, NULL FROM orders UNION ALL SELECT o_orderkey, 'tax_id', NULL, CAST(o_orderkey AS VARCHAR), NULL FROM orders UNION ALL SELECT o_orderkey, 'explanation', NULL, NULL, 'why ' || o_orderstatus FROM orders",
     "metric_summary": "SELECT event_type, min(c) AS min, max(c) AS max, avg(c) AS mean, CAST(sum(c) AS BIGINT) AS sum, count(c) AS n, quantile_disc(c, 0.5) AS p50, quantile_disc(c, 0.95) AS p95, quantile_disc(c, 0.99) AS p99 FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events) GROUP BY event_type",
     "encryption_round_trip": "SELECT c_custkey, c_name AS plain, true AS tagged, true AS hidden, CAST(38 + octet_length(encode(c_name)) AS BIGINT) AS n_bytes FROM customer",
     "document_flow": """WITH c AS (SELECT c_custkey AS n, c_name AS a, CASE WHEN c_custkey % 4 = 1 THEN upper(c_name) || ', Inc.' WHEN c_custkey % 4 = 2 THEN 'Other ' || c_name ELSE c_name END AS b, CASE WHEN c_custkey % 5 = 0 THEN 'N/A' ELSE lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') END AS tax FROM customer),

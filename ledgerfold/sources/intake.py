@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import payload
+from ledgerfold.sources.ranges import numbered
+from ledgerfold.sources.scratch import file_system, hadoop_path
 
 STATUSES = ("received", "processing", "needs_review", "approved", "rejected")
 ONBOARDINGS = "id long, status string, idempotency_key string, document_paths map<string,string>, inserted_at timestamp, updated_at timestamp"
@@ -29,54 +31,71 @@ def looked_up(asked: DataFrame, df: DataFrame, key: str) -> DataFrame:
     return asked.select(key).join(found, F.col(key) == F.col("__key"), "left").withColumn("result", F.when(F.col("__there"), "ok").otherwise("not_found")).drop("__key", "__there")
 
 
+#: The two fields of a payload.
+PARTS = ("contract", "w9")
+
+
+def _decoded(payloads: DataFrame) -> DataFrame:
+    """seq, raw, and each field's bytes: null where it isn't there as a string of strict base64. The body is parsed once."""
+    parsed = payloads.select("seq", "raw", F.try_parse_json(F.col("raw").cast("string")).alias("__body"))
+    texts = parsed.select("seq", "raw", *(payload.variant_text(F.col("__body"), k).alias(f"__{k}") for k in PARTS))
+    return texts.select("seq", "raw", *(payload.strict_base64(F.col(f"__{k}")).alias(k) for k in PARTS))
+
+
+def facts(payloads: DataFrame) -> DataFrame:
+    """seq, idempotency_key and valid (both fields are there) of payloads (seq, raw): all that an outcome depends on."""
+    return _decoded(payloads).select("seq", payload.content_hash(F.col("raw")).alias("idempotency_key"), (F.col("contract").isNotNull() & F.col("w9").isNotNull()).alias("valid"))
+
+
+def decided(facts: DataFrame, ledger: DataFrame) -> DataFrame:
+    """seq, idempotency_key, result and document_paths (of created ones) for facts(), against a ledger of keys."""
+    first = facts.filter("valid").groupBy("idempotency_key").agg(F.min("seq").alias("__first"))
+    new = first.join(ledger.select("idempotency_key"), "idempotency_key", "left_anti")
+    result = F.when(~F.col("valid"), "invalid_payload").when(F.col("seq") == F.col("__first"), "created").otherwise("duplicate")
+    paths = F.create_map(*(x for k in PARTS for x in (F.lit(k), F.concat("idempotency_key", F.lit(f"/{k}.pdf")))))
+    out = facts.join(new, "idempotency_key", "left").withColumn("result", result)
+    return out.select("seq", "idempotency_key", "result", F.when(F.col("result") == "created", paths).alias("document_paths"))
+
+
 def ingest(payloads: DataFrame, ledger: DataFrame) -> DataFrame:
     """Payloads (raw binary, seq) with their outcome: created, duplicate or invalid_payload.
 
     A payload without both fields as strict base64 is invalid, however often it comes: nothing of it is stored.
     A valid one whose hash is in the ledger (idempotency_key) or came earlier in the batch is a duplicate; of
     equal payloads the least seq counts. Columns: seq, idempotency_key, result, and for those that are created
-    contract and w9 (bytes) and document_paths.
+    contract and w9 (bytes) and document_paths. Outcomes come from hashes alone: no content of a duplicate moves.
     """
-    keys = ("contract", "w9")
-    decoded = payloads.select("seq", payload.content_hash(F.col("raw")).alias("idempotency_key"), *(payload.strict_base64(payload.json_text(F.col("raw"), k)).alias(k) for k in keys))
-    decoded = decoded.withColumn("__valid", F.col("contract").isNotNull() & F.col("w9").isNotNull())
-    first = decoded.filter("__valid").groupBy("idempotency_key").agg(F.min("seq").alias("__first"))
-    new = first.join(ledger.select("idempotency_key"), "idempotency_key", "left_anti")
-    result = F.when(~F.col("__valid"), "invalid_payload").when(F.col("seq") == F.col("__first"), "created").otherwise("duplicate")
-    out = decoded.join(new, "idempotency_key", "left").withColumn("result", result)
-    created = F.col("result") == "created"
-    paths = F.create_map(*(x for k in keys for x in (F.lit(k), F.concat("idempotency_key", F.lit(f"/{k}.pdf")))))
-    return out.select("seq", "idempotency_key", "result", *(F.when(created, F.col(k)).alias(k) for k in keys), F.when(created, paths).alias("document_paths"))
+    return with_contents(decided(facts(payloads), ledger), payloads)
 
 
-def numbered(df: DataFrame, order: str, first: int = 1, column: str = "id", pieces: int | None = None) -> DataFrame:
-    """df with dense numbers from `first` in the order of a numeric column; ties are numbered in any order.
+def with_contents(outcomes: DataFrame, payloads: DataFrame) -> DataFrame:
+    """outcomes with contract and w9 of the created payloads."""
+    made = outcomes.filter("result = 'created'").select(F.col("seq").alias("__seq"))
+    contents = _decoded(payloads).drop("raw").join(made, F.col("seq") == F.col("__seq"), "left_semi").withColumnRenamed("seq", "__seq")
+    return outcomes.join(contents, F.col("seq") == F.col("__seq"), "left").select("seq", "idempotency_key", "result", *PARTS, "document_paths")
 
-    Rows are cut into pieces at quantiles, which are numbers that the driver holds, each piece is counted, and
-    rows are numbered within their piece: no task has all rows.
-    """
-    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(order, [(i + 1) / n for i in range(n - 1)] or [0.5])).first()[0] or []
-    piece = sum((F.when(F.col(order) > F.lit(c), 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    cut = df.withColumn("__piece", piece)
-    sizes = {r["__piece"]: r["count"] for r in cut.groupBy("__piece").count().collect()}
-    before = F.lit(first - 1)
-    for p in sizes:
-        before = F.when(F.col("__piece") == p, F.lit(first - 1 + sum(k for q, k in sizes.items() if q < p))).otherwise(before)
-    within = Window.partitionBy("__piece").orderBy(order)
-    return cut.withColumn(column, (F.row_number().over(within) + before).cast("long")).drop("__piece")
-
-
-def new_onboardings(ingested: DataFrame, last_id: int, now) -> DataFrame:
+
+def new_onboardings(outcomes: DataFrame, last_id: int, now) -> DataFrame:
     """Rows to append to the onboardings: ids follow last_id in the order of seq."""
-    created = numbered(ingested.filter("result = 'created'").select("seq", "idempotency_key", "document_paths"), "seq", last_id + 1)
+    created = numbered(outcomes.filter("result = 'created'").select("seq", "idempotency_key", "document_paths"), "seq", last_id + 1)
     return created.select("id", F.lit("received").alias("status"), "idempotency_key", "document_paths", F.lit(now).cast("timestamp").alias("inserted_at"), F.lit(now).cast("timestamp").alias("updated_at"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path and text of every file below a folder; malformed UTF-8 is replaced. Spark passes over empty files."""
+    """path and text of every file below a folder; malformed UTF-8 is replaced, an empty file is an empty text.
+
+    Spark's file source passes over empty files: their names come from the listing of the folder.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", payload.utf8(F.col("content")).alias("text"))
+    found = files.select("path", payload.utf8(F.col("content")).alias("text"))
+    listing = file_system(spark, path).listFiles(hadoop_path(spark, path), True)
+    empty = []
+    while listing.hasNext():
+        f = listing.next()
+        name = f.getPath().getName()
+        if not f.getLen() and not name.startswith(("_", ".")):
+            empty.append((f.getPath().toString(), ""))
+    return found.union(spark.createDataFrame(empty, "path string, text string")) if empty else found
 
 
 def store_blobs(blobs: DataFrame, root: str) -> None:
@@ -109,6 +128,20 @@ def pending_work(onboardings: DataFrame, runs: DataFrame, attempts: int = 1, wid
     return left if width is None else left.orderBy("inserted_at", "id").limit(width)
 
 
+#: Seconds before an attempt is repeated: DELAY and two to the power of the attempt, up to the greatest power.
+DELAY, GREATEST_POWER = 15, 20
+
+
+def due_work(onboardings: DataFrame, runs: DataFrame, now: Column, attempts: int = 5, width: int | None = None) -> DataFrame:
+    """The work list at a time: rows of pending_work() that were never tried, or whose last run (inserted_at) is longer
+    ago than the delay of that attempt. due_at is null for the former."""
+    tried = runs.groupBy(F.col("onboarding_id").alias("id")).agg(F.count("*").alias("__tried"), F.max("inserted_at").alias("__last"))
+    left = onboardings.filter("status = 'received'").join(tried, "id", "left").withColumn("attempt", F.coalesce("__tried", F.lit(0)) + 1).filter(F.col("attempt") <= attempts)
+    wait = F.lit(DELAY) + F.pow(F.lit(2), F.least(F.col("attempt") - 1, F.lit(GREATEST_POWER)))
+    due = left.withColumn("due_at", F.col("__last") + F.make_dt_interval(secs=wait)).filter(F.col("due_at").isNull() | (F.col("due_at") <= now)).drop("__tried", "__last")
+    return due if width is None else due.orderBy("inserted_at", "id").limit(width)
+
+
 def outcome(status: Column, error: Column) -> Column:
     """ok for an answer of 200 to 299; unexpected_status: N for another; error: text where there was none."""
     return F.when(error.isNotNull(), F.concat(F.lit("error: "), error)).when(status.between(200, 299), "ok").otherwise(F.concat(F.lit("unexpected_status: "), F.coalesce(status.cast("string"), F.lit("none"))))
