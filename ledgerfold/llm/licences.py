@@ -21,18 +21,26 @@ from .common import small_batches, table
 #: white space between words are still as they stand in the text.
 TRIGGER = re.compile(
     r"licen[cs]|copyright|\(c\)|©|warrant|permission|redistribut|reserved|domain|unencumbered|spdx|provided|endorse|substantial|creative|misrepresented"
+    r"|version\s+[23](?:\.0)?,\s+(?:\d+\s+)?(?:january|june|november)\b"
     r"|\b(?:cc0|wtfpl|epl|eupl|cddl|[al]?gpl|mpl|bsd|mit\b|cc[\s\"'`“”‘’-]+(?:by|attribution))",
     re.I | re.A,
 )
-BOUNDARY = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])\s*|\s*\n\s*(?:\n|[*#/;-]+\s)\s*|\n")
+#: A run of white space is looked at from its beginning only, so that cutting takes time in proportion to the text.
+BOUNDARY = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；])\s*|(?<!\s)\s*\n\s*(?:\n|[*#/;-]+\s)\s*|\n")
 LEADING, TRAILING, QUOTES = re.compile(r"[\s*#/;<>!|-]+"), "*#/|>-", str.maketrans("", "", "\"'`“”‘’")
 
 _LATER = r"(?:\+|,? (?:or|and) (?:\(?at your option\)?,? )?(?:any )?(?:later|newer)(?: versions?)?)"
-_VER = r"(?:,?(?: -)? ?\(?(?:version|v\.?|ver\.?)? ?%s(?:\.0)?\)?)"
+_VER = r"(?:,?(?: -)? ?\(?(?:version|v\.?|ver\.?)? ?%s(?:\.0)?(?!\.?\d)\)?)"
+_NO_VER = r"(?!,?(?: -)? ?\(?(?:version|v\.?|ver\.?)? ?\d)"
+_APACHE = r"(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?apache(?: software)? license"
+#: Licences of an SPDX expression, with brackets and operators between them.
+_SPDX = r"(?:\( ?)*[\w.+-]+(?: ?\))*"
 #: Known sentences, as patterns of a whole normalised sentence, in the order they are tried.
 SENTENCES: list[tuple[str, str]] = [
-    ("SPDX", r"(?:.*\W)?spdx-license-identifier: ?(?P<name>[\w.+-]+).*"),
-    ("ApacheRef2", rf".*\b(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?apache(?: software)? license{_VER % 2}?.*"),
+    ("SPDX", rf"(?:.*\W)?spdx-license-identifier: ?(?P<name>{_SPDX}(?: (?:and|or|with) {_SPDX})*).*"),
+    ("ApacheRef2", rf".*\b(?:{_APACHE}(?:{_VER % 2}|{_NO_VER})|apache(?: license)?[ -]v?2(?:\.0)?[ -]licen[cs]ed\b).*"),
+    ("ApacheRef11", rf".*\b{_APACHE}{_VER % '1.1'}.*"),
+    ("ApacheRef1", rf".*\b{_APACHE}{_VER % 1}.*"),
     ("Version3Plus", rf"(?:either )?version 3(?:\.0)? of the license{_LATER}.*"),
     ("Version21Plus", rf"(?:either )?version 2\.1 of the license{_LATER}.*"),
     ("Version2Plus", rf"(?:either )?version 2(?:\.0)? of the license{_LATER}.*"),
@@ -49,7 +57,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("AGPLRef", r".*\bgnu affero general public license.*"),
     ("LGPLRef", r".*\bgnu (?:lesser|library) general public license.*"),
     ("GPLRef", r".*\bgnu general public license.*"),
-    ("MITRef", r".*\b(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?mit(?: license)?\b.*"),
+    ("MITRef", r".*\b(?:(?:licensed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?mit(?: license)?|mit[ -]licen[cs]ed)\b.*"),
     ("MITGrant", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software.*"),
     ("MITNotice", r"(?:the above copyright notice and this permission notice .*)?shall be included in all copies or substantial portions of the software.*|the above copyright notice and this permission notice shall be included.*"),
     ("AsIs", r"(?:the|this) software is provided (?:by .* )?as is.*"),
@@ -61,7 +69,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("BSDRef3", r".*\bunder (?:the )?(?:terms of )?(?:the )?(?:3-clause bsd|bsd 3-clause|new bsd|modified bsd)(?: license)?.*"),
     ("BSDRef2", r".*\bunder (?:the )?(?:terms of )?(?:the )?(?:2-clause bsd|bsd 2-clause|simplified bsd)(?: license)?.*"),
     ("BSDRef", r".*\bunder (?:the )?(?:terms of )?(?:the|a) bsd(?:-style)? license.*"),
-    ("MPLRef2", r".*\b(?:mozilla public license|mpl),? ?(?:version |v\.? ?)?2(?:\.0)?.*"),
+    ("MPLRef2", r".*\b(?:mozilla public license|mpl),? ?(?:version |v\.? ?)?2(?:\.0)?(?!\.?\d).*"),
     ("CCRef", r".*\b(?:cc|creative commons)[ -](?P<name>by(?:-nc)?(?:-nd|-sa)?|attribution(?:-noncommercial)?(?:-noderivs|-noderivatives|-sharealike)?)[ ,]*(?:licen[cs]e )?(?:v(?:ersion)? ?)?(?P<version>[1-4]\.\d)?.*"),
     ("EPLRef2", rf".*\b(?:eclipse public license|epl){_VER % 2}.*"),
     ("EPLRef1", rf".*\b(?:eclipse public license|epl){_VER % 1}.*"),
@@ -95,6 +103,25 @@ def _inside(name: str, pattern: str) -> tuple[str, re.Pattern, str]:
     return name, re.compile(rf"(?<!\w)(?:{pattern})", re.A), ends.get(name, "")
 
 
+#: Titles of licences, which are known only where they are a whole sentence.
+TITLES = [
+    (name, re.compile(pattern + r"[.:]?", re.A))
+    for name, pattern in (
+        ("ApacheRef2", r"(?:the )?apache(?: software)? license,? ?(?:version |v\.? ?)?2(?:\.0)?"),
+        ("ApacheTitle", r"(?:the )?apache license"),
+        ("ApacheDate", r"version 2\.0, january 2004"),
+        ("MITRef", r"(?:the )?mit license(?: \(mit\))?"),
+        ("ISCRef", r"(?:the )?isc license(?: \(iscl?\))?"),
+        ("BSDRef3", r"(?:the )?(?:bsd 3-clause|3-clause bsd|new bsd|modified bsd)(?: license)?"),
+        ("BSDRef2", r"(?:the )?(?:bsd 2-clause|2-clause bsd|simplified bsd)(?: license)?"),
+        ("BSDRef", r"(?:the )?bsd license"),
+        ("UnlicenseRef", r"(?:the )?unlicense"),
+        ("ZlibRef", r"(?:the )?zlib license"),
+        ("GPL2Date", r"version 2, june 1991"),
+        ("GPL3Date", r"version 3, 29 june 2007"),
+        ("AGPL3Date", r"version 3, 19 november 2007"),
+    )
+]
 KNOWN = [_inside(name, pattern) for name, pattern in SENTENCES if name != "Copyright"]
 #: Begins a sentence, and says the least: only where nothing else is known in it.
 COPYRIGHT = re.compile(dict(SENTENCES)["Copyright"])
@@ -108,6 +135,11 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("ISC", ("ISCGrant", "AsIs")),
     ("ISC", ("ISCGrant",)),
     ("Zlib", ("ZlibGrant", "ZlibOrigin")),
+    ("Apache-2.0", ("ApacheTitle", "ApacheDate")),
+    ("AGPL-3.0", ("AGPLRef", "AGPL3Date")),
+    ("LGPL-3.0", ("LGPLRef", "GPL3Date")),
+    ("GPL-3.0", ("GPLRef", "GPL3Date")),
+    ("GPL-2.0", ("GPLRef", "GPL2Date")),
     ("AGPL-3.0-or-later", ("AGPLRef", "Version3Plus")),
     ("LGPL-3.0-or-later", ("LGPLRef", "Version3Plus")),
     ("LGPL-2.1-or-later", ("LGPLRef", "Version21Plus")),
@@ -117,7 +149,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     *(
         (licence, (name,))
         for name, licence in {
-            "ApacheRef2": "Apache-2.0", "AGPLRef3Plus": "AGPL-3.0-or-later", "AGPLRef3": "AGPL-3.0", "LGPLRef3Plus": "LGPL-3.0-or-later", "LGPLRef3": "LGPL-3.0", "LGPLRef21Plus": "LGPL-2.1-or-later", "LGPLRef21": "LGPL-2.1",
+            "ApacheRef2": "Apache-2.0", "ApacheRef11": "Apache-1.1", "ApacheRef1": "Apache-1.0", "ISCRef": "ISC", "UnlicenseRef": "Unlicense", "AGPLRef3Plus": "AGPL-3.0-or-later", "AGPLRef3": "AGPL-3.0", "LGPLRef3Plus": "LGPL-3.0-or-later", "LGPLRef3": "LGPL-3.0", "LGPLRef21Plus": "LGPL-2.1-or-later", "LGPLRef21": "LGPL-2.1",
             "GPLRef3Plus": "GPL-3.0-or-later", "GPLRef2Plus": "GPL-2.0-or-later", "GPLRef3": "GPL-3.0", "GPLRef2": "GPL-2.0", "MITRef": "MIT", "BSDRef3": "BSD-3-Clause", "BSDRef2": "BSD-2-Clause", "BSDRef": "BSD",
             "MPLRef2": "MPL-2.0", "EPLRef2": "EPL-2.0", "EPLRef1": "EPL-1.0", "EUPLRef12": "EUPL-1.2", "CDDLRef1": "CDDL-1.0", "ArtisticRef2": "Artistic-2.0", "BoostRef1": "BSL-1.0", "OFLRef11": "OFL-1.1", "PSFRef2": "PSF-2.0",
             "ZlibRef": "Zlib", "WTFPLRef": "WTFPL", "CC0Ref": "CC0-1.0", "PublicDomain": "PublicDomain", "AllRights": "AllRightsReserved",
@@ -138,26 +170,44 @@ def normalised(sentence: str) -> str:
     return " ".join(sentence[start:end].translate(QUOTES).split())
 
 
+def expression(spdx: str) -> list[str]:
+    """The licences of an SPDX expression in order, each with its exception; it ends before an operator in small letters."""
+    out, words = [], re.findall(r"[\w.+-]+", spdx, re.A)
+    with_next = False
+    for word in words:
+        if word in ("and", "or", "with"):
+            break
+        if word == "WITH" and out:
+            with_next = True
+        elif with_next:
+            out[-1], with_next = f"{out[-1]} WITH {word}", False
+        elif word not in ("AND", "OR", "WITH"):
+            out.append(word)
+    return out
+
+
 def known(sentence: str) -> list[str]:
     """Identifiers of the known sentences in a normalised one, in order. Where two overlap, the one tried first counts."""
     plain = sentence.lower()
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, list[str]]] = []
     for name, pattern, ends in KNOWN:
         until = plain.rfind(ends) + len(ends) if ends in plain else 0
         for m in pattern.finditer(plain, 0, until if ends else len(plain)):
             at = bisect_left(taken, (m.start(),))
             if at and taken[at - 1][1] > m.start() or at < len(taken) and taken[at][0] < m.end():
                 continue
-            found = name
+            found = [name]
             if name == "CCRef":
                 kind = "-".join(_CC.get(x, x) for x in m["name"].split("-"))
-                found = f"CC:CC-{kind.upper()}" + (f"-{m['version']}" if m["version"] else "")
+                found = [f"CC:CC-{kind.upper()}" + (f"-{m['version']}" if m["version"] else "")]
             elif name == "SPDX":  # as it is spelt, where lower case has kept the places
-                found = "SPDX:" + (sentence[m.start("name") : m.end("name")] if len(sentence) == len(plain) else m["name"])
+                spelt = sentence[m.start("name") : m.end("name")] if len(sentence) == len(plain) else re.sub(r" (and|or|with) ", lambda x: x[0].upper(), m["name"])
+                found = [f"SPDX:{x}" for x in expression(spelt)]
             taken.insert(at, (m.start(), m.end(), found))
-    if not taken and COPYRIGHT.fullmatch(plain):
-        return ["Copyright"]
-    return [found for _, _, found in taken]
+    if not taken:
+        title = next((name for name, pattern in TITLES if pattern.fullmatch(plain)), "Copyright" if COPYRIGHT.fullmatch(plain) else None)
+        return [title] if title else []
+    return [x for _, _, found in taken for x in found]
 
 
 def identify(text: str | None) -> list[tuple[str, int, int]]:

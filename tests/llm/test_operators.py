@@ -1,6 +1,7 @@
 """The training-data operators on small rows: brute force, round trips and edge cases."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -357,6 +358,44 @@ def test_licences():
     assert licences.identify(None) == [] and licences.identify("See the license terms.")[0][0] == "UNKNOWN"
 
 
+def test_licence_versions_expressions_and_titles():
+    """The version that is named counts; an SPDX expression gives all its licences; a title needs no verb."""
+    cases = {
+        "Licensed under the Apache License, Version 1.1": (["Apache-1.1"], False),
+        "Licensed under the Apache License, Version 1.0.": (["Apache-1.0"], False),
+        "Licensed under the Apache License, Version 2.1.": ([], True),
+        "Licensed under the Apache License, Version 3": ([], True),
+        "Licensed under the Apache License.": (["Apache-2.0"], False),
+        "Licensed under the Apache License (the License), and more": (["Apache-2.0"], False),
+        "GNU General Public License, version 2.5": ([], True),
+        "SPDX-License-Identifier: MIT OR Apache-2.0": (["MIT", "Apache-2.0"], False),
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause": (["MIT", "Apache-2.0", "BSD-3-Clause"], False),
+        "SPDX-License-Identifier: ( GPL-2.0-only WITH Classpath-exception-2.0 ) OR ISC": (["GPL-2.0-only WITH Classpath-exception-2.0", "ISC"], False),
+        "SPDX-License-Identifier: MIT and so on": (["MIT"], False),
+        "Apache License, Version 2.0": (["Apache-2.0"], False),
+        "MIT License": (["MIT"], False),
+        "The MIT License (MIT)\n": (["MIT"], False),
+        "BSD 3-Clause License": (["BSD-3-Clause"], False),
+        "The Unlicense": (["Unlicense"], False),
+        "ISC License": (["ISC"], False),
+        "Apache License\nVersion 2.0, January 2004": (["Apache-2.0"], False),
+        "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007": (["GPL-3.0"], False),
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": (["LGPL-3.0"], False),
+        "This project is MIT licensed.": (["MIT"], False),
+        "It is Apache 2.0 licensed.": (["Apache-2.0"], False),
+        "A licence by Mit. Licensed goods.": ([], True),
+    }
+    assert {t: licences.matched([x[0] for x in licences.identify(t)]) for t in cases} == cases
+
+
+def test_licence_scan_takes_time_in_proportion():
+    """A megabyte of blanks, of newlines, or of both, after a word that makes the text be read."""
+    began = time.perf_counter()
+    for gap in (" " * 10**6, "\n" * 10**6, " \n" * (5 * 10**5), ". " * (5 * 10**5), " " * 10**6 + "\n# "):
+        assert [x[0] for x in licences.identify("a licence" + gap + "x")] == ["UNKNOWN"]
+    assert time.perf_counter() - began < 5
+
+
 def test_licences_of_long_sentences():
     """Length decides nothing: texts without stops or newlines are one sentence, and may name several licences."""
     prose, table = "漢字" * 1500, "cell | " * 900
@@ -416,7 +455,7 @@ def test_licence_scan_of_a_table(spark):
 
 def test_licence_trigger_passes_known_sentences():
     examples = {
-        "SPDX": "SPDX-License-Identifier: MIT", "ApacheRef2": "Released under the Apache License 2.0", "Version3Plus": "either version 3 of the License, or (at your option) any later version", "Version21Plus": "version 2.1 of the License, or any later version", "Version2Plus": "either version 2 of the License, or (at your option) any later version", "AGPLRef3Plus": "AGPLv3 or later", "LGPLRef3Plus": "LGPL3+", "LGPLRef21Plus": "LGPL 2.1 or newer", "AGPLRef3": "AGPLv3 covers it", "LGPLRef3": "covered by LGPL3", "LGPLRef21": "distributed under the LGPLv2.1.",
+        "SPDX": "SPDX-License-Identifier: MIT", "ApacheRef2": "Released under the Apache License 2.0", "ApacheRef11": "Released under the Apache License 1.1", "ApacheRef1": "Released under the Apache Software License, Version 1.0", "Version3Plus": "either version 3 of the License, or (at your option) any later version", "Version21Plus": "version 2.1 of the License, or any later version", "Version2Plus": "either version 2 of the License, or (at your option) any later version", "AGPLRef3Plus": "AGPLv3 or later", "LGPLRef3Plus": "LGPL3+", "LGPLRef21Plus": "LGPL 2.1 or newer", "AGPLRef3": "AGPLv3 covers it", "LGPLRef3": "covered by LGPL3", "LGPLRef21": "distributed under the LGPLv2.1.",
         "GPLRef3Plus": "GPLv3 or any later version", "GPLRef2Plus": "GPL2, or (at your option) any later version", "GPLRef3": "Released under GPLv3.", "GPLRef2": "Released under GPLv2.", "AGPLRef": "the GNU Affero General Public License", "LGPLRef": "the GNU Library General Public License", "GPLRef": "the GNU General Public License as published", "MITRef": "Provided under MIT",
         "MITGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "MITNotice": "shall be included in all copies or substantial portions of the Software", "AsIs": "The software is provided 'as is'",
         "ISCGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "BSDGrant": "Redistribution and use in source and binary forms, with or without modification, are permitted",
