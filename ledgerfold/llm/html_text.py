@@ -36,6 +36,11 @@ BESIDE = re.compile(
 )
 #: Names of an article that is not the page's.
 OTHER = re.compile(r"^(?:comments?|reply|replies|respond|related|recommend\w*|promo\w*|sponsor\w*|widgets?)(?=$|[_-])", re.I)
+#: Words that say what kind of box it is, not what is in it: with one of BESIDE they name something beside the article.
+BOX = frozenset("ad area articles bar block blocks body box boxes button buttons card cards col column content feed form grid group header heading icon icons inline inner item items left link links list media message more note panel popular post posts reading right row section slot small stories story text thread title top bottom unit widget wrap".split())
+#: Words of a box of readers' comments, which is beside the article however much is in it, and of what stands around one.
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+AROUND = frozenset("container wrapper user reader readers area".split())
 #: From here on, a name says that something is or isn't beside the article, not that this is it.
 WITH = re.compile(r"(?:^|[_-])(?:has|with|without|no|not)[_-].*", re.I | re.S)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
@@ -157,39 +162,64 @@ def _aside(name: str, attributes: str) -> bool:
 
 
 def _named(name: str, attributes: str) -> str:
-    """'only' where class, id or role says nothing but that this is beside the article, 'partly' where it
-    mentions such a word among others, else ''. An article may have tags and a header: only other words count for it."""
+    """What class, id and role say: 'comments' of a box of readers' comments, 'only' where they say nothing but that this
+    is beside the article, 'partly' where they mention such a word among others, else ''. An article may have tags and a
+    header: only other words count for it."""
     found = ""
     words_beside = OTHER if name in ("article", "main") else BESIDE
     for m in ATTRIBUTE.finditer(attributes):
         if m[1].lower() in ("class", "id", "role"):
-            words = (m[2] or m[3] or m[4] or "").split()
-            spans = [(w, words_beside.search(WITH.sub("", w))) for w in words]
-            if words and all(x and x[0].strip("_-") == w for w, x in spans):
-                return "only"
-            if any(x for _, x in spans):
+            words = [WITH.sub("", w) for w in (m[2] or m[3] or m[4] or "").split()]
+            beside = [bool(words_beside.search(w)) for w in words]
+            if not any(beside):
+                continue
+            parts = [[x for x in re.split(r"[_-]+", w.lower()) if x and not x.isdigit()] for w in words]
+            said = {x for p in parts for x in p}
+            if said & COMMENTS and said <= COMMENTS | BOX | AROUND:
+                return "comments"
+            if all(parts) and all(w and (x in BOX or BESIDE.fullmatch(x)) for w, p in zip(words, parts, strict=True) for x in p):
+                found = "only"
+            elif not found:
                 found = "partly"
     return found
 
 
 def _set_aside(root: Node, body: Node) -> None:
     """Elements that are beside the article by their name can't be it, unless they hold it: a main, an article where
-    none stands elsewhere, or, where the name says other things too, most of the body's characters."""
+    none stands elsewhere, or, of comments, a first-level heading. A name that says other things too counts only where
+    the text agrees: inside an article, a main or the densest subtree the box must be links for the most part, elsewhere
+    it must not have most of the body's characters. If nothing would be left, names other than of comments don't count."""
     nodes = _walk(root)
     if not any(x.named and x.tag not in ("article", "main") for x in nodes):
         return
-    chars, holds, free = {}, {}, {}
+    holds, free = {}, {}
     for node in nodes:  # parents first
         free[node] = node.parent is None or free[node.parent] and (not node.named or node.tag in ("article", "main"))
     elsewhere = any(free[x] and not x.named and x.tag in ("article", "main") for x in nodes)
     for node in reversed(nodes):
         inner = [x for x in node.children if isinstance(x, Node) and not node.aside]
-        chars[node] = 0 if node.aside else sum(len("".join(x.split())) for x in node.children if isinstance(x, str)) + sum(chars[x] for x in inner)
-        holds[node] = {x.tag for x in inner if x.tag in ("article", "main") and not x.named}.union(*(holds[x] for x in inner))
-    for node in nodes:
-        if node.named and node.tag not in ("article", "main"):
-            most = node.named == "partly" and 2 * chars[node] > chars[body]
-            node.aside = node.aside or not (most or "main" in holds[node] or "article" in holds[node] and not elsewhere)
+        holds[node] = {x.tag for x in inner if x.tag in ("article", "main", "h1") and not x.named}.union(*(holds[x] for x in inner))
+    named = [x for x in nodes if x.named and not x.aside and x.tag not in ("article", "main")]
+    spared = lambda x: "main" in holds[x] or "article" in holds[x] and not elsewhere
+    for node in named:
+        if node.named != "partly":
+            node.aside = not spared(node) and not (node.named == "comments" and "h1" in holds[node])
+    left = densities(root, body)
+    if any(x.named == "partly" for x in named):
+        best = max(left, key=lambda x: x.total)
+        around, inside = set(), {}
+        up: Node | None = best
+        while up is not None:
+            around.add(up)
+            up = up.parent
+        for node in left:  # parents first
+            inside[node] = inside.get(node.parent, False) or node is best or node.tag in ("article", "main") and not node.named
+        for node in left:
+            if node.named == "partly" and node.tag not in ("article", "main") and not spared(node) and node not in around:
+                node.aside = 2 * node.link_chars >= node.chars if inside[node] else 2 * node.chars <= body.chars
+    if not any(x.chars for x in densities(root, body) if x is not root):
+        for node in named:
+            node.aside = node.named == "comments" and node.aside
 
 
 def _walk(root: Node) -> list[Node]:
@@ -209,9 +239,11 @@ def densities(root: Node, body: Node) -> list[Node]:
     Characters in elements that can't be an article (scripts, menus, forms) don't count.
     """
     nodes = _walk(root)
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = 0.0
     for node in reversed(nodes):
         if node.aside:
-            node.chars, node.link_chars = 0, 0
             node.tags, node.link_tags = 1, 0
             continue
         for x in node.children:
@@ -325,7 +357,7 @@ def _links_only(node: Node) -> bool:
 def extract_pages(pages: DataFrame, source: str = "html", target: str = "text") -> DataFrame:
     """pages with the article of `source` in `target`, in place of a column of that name.
 
-    A null, an empty page or one without text gives the empty string; repeated rows give the same text each; a
+    Lists and boxes that are links for the most part (two or more) count as menus, inside the article too. A null, an empty page or one without text gives the empty string; repeated rows give the same text each; a
     page of any length or depth is read once, whole. Null ids and columns of any other name pass through; an
     empty table gives no rows.
     """
