@@ -37,7 +37,7 @@ BESIDE = re.compile(
 #: Names of an article that is not the page's.
 OTHER = re.compile(r"^(?:comments?|reply|replies|respond|related|recommend\w*|promo\w*|sponsor\w*|widgets?)(?=$|[_-])", re.I)
 #: Words that say what kind of box it is, not what is in it: with one of BESIDE they name something beside the article.
-BOX = frozenset("ad area articles bar block blocks body box boxes button buttons card cards col column content feed form grid group header heading icon icons inline inner item items left link links list media message more note panel popular post posts reading right row section slot small stories story text thread title top bottom unit widget wrap".split())
+BOX = frozenset("ad area articles bar block blocks box boxes button buttons card cards col column feed form grid group heading icon icons inline inner item items left link links list media message more note panel popular post posts reading right row section slot small stories story text thread title top bottom unit widget".split())
 #: Words of a box of readers' comments, which is beside the article however much is in it, and of what stands around one.
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
 AROUND = frozenset("container wrapper user reader readers area".split())
