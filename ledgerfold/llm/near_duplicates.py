@@ -322,22 +322,28 @@ def _similar_parity(pairs: DataFrame, nodes: DataFrame, numerator: int, denomina
 
 
 def _bloom(hashes: DataFrame) -> np.ndarray:
-    """A Bloom filter of (text_hash), a fixed size at most. When full it lets everything through."""
+    """A Bloom filter of (text_hash) as packed bits, a fixed size at most. When full it lets everything through."""
     bits = min(BLOOM_BITS, max(16, (12 * hashes.count()).bit_length()))
 
     def run(batches):
-        own = np.zeros(1 << bits, bool)
+        own = np.zeros(1 << bits - 3, np.uint8)
         for batch in batches:
             for at in _bloom_places(batch["text_hash"].to_numpy(), bits):
-                own[at] = True
-        yield pa.RecordBatch.from_pylist([{"bits": zlib.compress(np.packbits(own).tobytes(), 1)}])
+                np.bitwise_or.at(own, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_pylist([{"bits": zlib.compress(own.tobytes(), 1)}])
 
-    out = np.zeros(1 << bits, bool)
+    out = np.zeros(1 << bits - 3, np.uint8)
     for row in hashes.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.unpackbits(np.frombuffer(zlib.decompress(row["bits"]), np.uint8)).astype(bool)
+        out |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return out
 
 
+def _bloom_holds(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The places of hashes that the filter may hold."""
+    bits = (8 * len(filled)).bit_length() - 1
+    return np.flatnonzero(np.logical_and.reduce([filled[at >> 3] >> (at & 7).astype(np.uint8) & 1 for at in _bloom_places(hashes, bits)]))
+
+
 def _bloom_places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     x = hashes.astype(np.int64).view(np.uint64)
     return [((x * np.uint64(m)) >> np.uint64(64 - bits)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -352,14 +358,13 @@ def verified(pairs: DataFrame, documents: DataFrame, n: int, order, cuts: list[i
 
     def fragments(batches):
         held, filled, seen = order.value, wanted.value, OrderedDict()
-        bits = len(filled).bit_length() - 1
 
         def rows():
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 hashes = batch["text_hash"].to_numpy()
-                for i in np.flatnonzero(np.logical_and.reduce([filled[at] for at in _bloom_places(hashes, bits)])):
+                for i in _bloom_holds(filled, hashes):
                     if not _fresh(seen, int(hashes[i])):
                         continue
                     found = shingles(batch["text"][i].as_py(), n)

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import language, linear, quality, toxicity
+from ledgerfold.llm import language, linear, near_duplicates, quality, toxicity
 from ledgerfold.llm.grams import CharGrams
 
 
@@ -150,3 +150,12 @@ def test_weak_labels_equal_plain_em():
     assert abs(model.prior - prior) < 1e-5
     for side, want in ((model.good, good), (model.bad, poor)):
         assert np.allclose(side, [[w[v] for v in "gb-"] for w in want], atol=1e-5)
+
+
+def test_bloom_filter_loses_nothing(spark):
+    """Every hash that went in is let through, few others are, and a bit takes a bit."""
+    r = np.random.default_rng(9)
+    values = r.integers(-(2**63), 2**63 - 1, 4000)
+    filled = near_duplicates._bloom(spark.createDataFrame([(int(x),) for x in values], "text_hash long").repartition(6))
+    assert len(filled) * 8 == 2**16 and len(near_duplicates._bloom_holds(filled, values)) == 4000
+    assert len(near_duplicates._bloom_holds(filled, r.integers(-(2**63), 2**63 - 1, 20_000))) < 600
