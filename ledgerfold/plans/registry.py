@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import payload, text
 from ledgerfold.operators import evaluate, flow, reads, state
+from ledgerfold.operators.verbatim import verbatim_pairs
 from ledgerfold.plans import lifecycle, workflow
 from ledgerfold.sources import fixtures, intake
 from ledgerfold.sources.intake import table
@@ -56,25 +57,16 @@ def content_hash_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return documents.groupBy(payload.content_hash(F.col("text")).alias("idempotency_key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_received"))
 
 
-#: Items up to which the hashes of their words are broadcast (16 bytes each); beyond, they are joined by a shuffle.
-FEW_ITEMS = 100_000
+def verbatim_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items that stand word for word in a document."""
+    return verbatim_pairs(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", "text"))
 
 
-def verbatim_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items that stand word for word in a document, found by their second to ninth words: other than
-    the first and the last, these can't touch a neighbour. Items of fewer words are sought in all documents."""
-    n = 8
-    bare = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"), bare(text.stripped(F.col("text"))).alias("iw"))
-    keyed = items.filter(F.size("iw") >= n + 2).select("item_id", F.xxhash64(F.slice("iw", 2, n)).alias("head"))
-    short = items.filter(F.size("iw") < n + 2).select("item_id", "item")
-    words = table(spark, sf, "documents").select("doc_id", "text", bare(F.col("text")).alias("w"))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.xxhash64(F.slice("w", i, n)))
-    few = keyed.limit(FEW_ITEMS + 1).count() <= FEW_ITEMS  # then windows that no item has go before any shuffle
-    candidates = words.select("doc_id", F.explode(windows).alias("head")).join(F.broadcast(keyed) if few else keyed, "head").select("doc_id", "item_id").distinct()
-    stands = text.verbatim(F.col("item"), F.col("text"))
-    found = candidates.join(words.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id").filter(stands)
-    return found.select("doc_id", "item_id").union(words.select("doc_id", "text").join(short, stands).select("doc_id", "item_id"))
+def verbatim_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct beginnings of labelled documents, of one to four words, as items: short ones, which stand in many texts."""
+    begins = F.array_join(F.slice(F.split("text", " "), 1, (F.col("doc_id") % 4 + 1).cast("int")), " ")
+    items = table(spark, sf, "labels").select("doc_id").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").groupBy(begins.alias("text")).agg(F.min("doc_id").alias("item_id"))
+    return verbatim_pairs(table(spark, sf, "documents").select("doc_id", "text"), items)
 
 
 def format_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +147,7 @@ def golden_flow(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.bucket_accuracy(run, "bucket", "decision", "expected_decision")
 
 
-QUERIES = {f.__name__: f for f in (list_by_status, latest_run_per_parent, dashboard_read_model, reload_row, latest_missing_child, orphan_and_cascade, content_hash_dedupe, verbatim_check, format_check, watchlist_screen, token_set_match, regex_extract_fields, json_patch_fold, status_mirror, decision_and_findings, bucket_accuracy, score_summary, paused_latest_turn, guard_transitions, badge_and_actions, golden_flow)} | workflow.QUERIES | lifecycle.QUERIES
+QUERIES = {f.__name__: f for f in (list_by_status, latest_run_per_parent, dashboard_read_model, reload_row, latest_missing_child, orphan_and_cascade, content_hash_dedupe, verbatim_check, verbatim_names, format_check, watchlist_screen, token_set_match, regex_extract_fields, json_patch_fold, status_mirror, decision_and_findings, bucket_accuracy, score_summary, paused_latest_turn, guard_transitions, badge_and_actions, golden_flow)} | workflow.QUERIES | lifecycle.QUERIES
 
 _LATEST = "SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
 
@@ -168,6 +160,7 @@ ORACLE = {
     "orphan_and_cascade": "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING') THEN 'kept' ELSE 'orphan' END AS fate FROM orders",
     "content_hash_dedupe": "SELECT sha256(text) AS idempotency_key, min(doc_id) AS doc_id, count(*) AS n_received FROM documents GROUP BY 1",
     "verbatim_check": "SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE trim(b.text) <> '' AND contains(d.text, trim(b.text))",
+    "verbatim_names": "WITH f AS (SELECT array_to_string(string_split(text, ' ')[1:doc_id % 4 + 1], ' ') AS text, min(doc_id) AS item_id FROM labels JOIN documents USING (doc_id) GROUP BY 1), b AS (SELECT item_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM f) SELECT d.doc_id, b.item_id FROM documents d, b WHERE t <> '' AND contains(d.text, t)",
     "format_check": "SELECT c_custkey, regexp_full_match(c_name, 'Customer#[0-9]{8}[02468]') AS valid, c_custkey % 3 > 0 AND regexp_full_match(substr(c_name, 12, 7), '[0-9]{7}') AS ein_valid FROM customer",
     "watchlist_screen": "SELECT *, CASE WHEN flagged THEN 'Matched sanctions watchlist entry' END AS reason FROM (SELECT c_custkey, c_name, lower(trim(c_name)) IN ('customer#000000003', 'customer#000000077', 'customer#000000140') AS flagged FROM customer)",
     "token_set_match": r"""WITH t AS (SELECT p_partkey, p_name || ' technology' AS a, split_part(p_name, ' ', -1) || ', ' || upper(split_part(p_name, ' ', 1)) || CASE WHEN p_partkey % 3 = 0 THEN ' tech, Inc.' ELSE ' & Co.' END AS b FROM part),
