@@ -15,6 +15,12 @@ CONTRACT_FIELDS = {"company_name": r'and (.+?) \("Vendor', "payment_terms": r"Pa
 W9_FIELDS = {"company_name": r"1\. Name of entity: (.*)", "tax_id": r"2\. Taxpayer Identification Number \(EIN\): (.*)"}
 
 
+# What findings say, and the classes of a status's badge.
+MISMATCH, BAD_TAX_ID, WATCHED = "Entity name mismatch: ", "Tax ID failed validation against the mock tax registry.", "Sanctions screening hit: "
+BADGES = {"approved": "badge-success", "needs_review": "badge-warning", "rejected": "badge-error"}
+OTHER_BADGE = "badge-neutral"
+
+
 def stripped(c: Column) -> Column:
     """White space of any script off both ends (trim() takes spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -66,14 +72,14 @@ def findings(match: Column, explanation: Column, tax_valid: Column, flagged: Col
     """What speaks against approval, in a fixed order, joined by '; '."""
     return F.concat_ws(
         "; ",
-        F.when(~match, F.concat(F.lit("Entity name mismatch: "), F.coalesce(explanation, F.lit("")))),
-        F.when(~tax_valid, F.lit("Tax ID failed validation against the mock tax registry.")),
-        F.when(flagged, F.concat(F.lit("Sanctions screening hit: "), F.coalesce(reason, F.lit("")))),
+        F.when(~match, F.concat(F.lit(MISMATCH), F.coalesce(explanation, F.lit("")))),
+        F.when(~tax_valid, F.lit(BAD_TAX_ID)),
+        F.when(flagged, F.concat(F.lit(WATCHED), F.coalesce(reason, F.lit("")))),
     )
 
 
 def badge(status: Column) -> Column:
-    return F.when(status == "approved", "badge-success").when(status == "needs_review", "badge-warning").when(status == "rejected", "badge-error").otherwise("badge-neutral")
+    return F.coalesce(*(F.when(status == k, v) for k, v in BADGES.items()), F.lit(OTHER_BADGE))
 
 
 def thread_id(onboarding: Column) -> Column:

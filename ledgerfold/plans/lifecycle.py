@@ -18,6 +18,7 @@ from ledgerfold.sources import intake
 from ledgerfold.sources.buckets import Ids
 from ledgerfold.sources.intake import table
 from ledgerfold.sources.scratch import scratch_path
+from ledgerfold.sources.storage import TableStorage
 from ledgerfold.streaming import live
 from ledgerfold.streaming.ledger import Ledger
 
@@ -244,9 +245,21 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return found
 
 
+def blob_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents' texts stored by their hash, those of one language once more with another content, and read as texts: a byte that isn't UTF-8 is replaced."""
+    kept = TableStorage(spark, scratch_path(spark, "blobs"))
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    path = F.concat(F.sha2("text", 256), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    kept.store(docs.select(path.alias("path"), F.col("text").cast("binary").alias("content")))
+    kept.store(docs.filter("lang = 'de'").select(path.alias("path"), F.concat(F.col("text").cast("binary"), F.unhex(F.lit("ff"))).alias("content")))
+    asked = docs.filter("lang <> 'fr'").select(path.alias("path"))
+    read = intake.texts(kept.load(asked))
+    return read.select("path", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (callbacks_without_status, judged_cases, eval_report, split_ingest, ledger_keys, status_transitions, status_after_transitions, snapshot_fold, snapshot_rows, change_feed, thread_decisions, allocated_ids, trapped_steps, metric_rollup, screen_by_table, changeset_messages, due_work, stream_callbacks, stream_ingest)
+    for f in (blob_round_trip, callbacks_without_status, judged_cases, eval_report, split_ingest, ledger_keys, status_transitions, status_after_transitions, snapshot_fold, snapshot_rows, change_feed, thread_decisions, allocated_ids, trapped_steps, metric_rollup, screen_by_table, changeset_messages, due_work, stream_callbacks, stream_ingest)
 }
 
 _CASES = "WITH c AS (SELECT d.doc_id, lang, n_chars, CASE WHEN toxic = 1 THEN 'ValueError: toxic' END AS error, CASE WHEN coalesce(toxic, 0) <> 1 THEN quality = 1 END AS match, CASE WHEN lang <> 'de' THEN n_chars > 300 END AS expected FROM documents d LEFT JOIN labels USING (doc_id))"
@@ -266,6 +279,7 @@ SELECT k.key, status, company_name FROM (SELECT DISTINCT key FROM p) k LEFT JOIN
 _APPENDS = ", ".join(f"i{k} AS (SELECT k.key, (SELECT arg_max_null(v, seq) FROM s WHERE s.key = k.key AND seq % 3 IN ({had})) AS status, (SELECT arg_max_null(v, seq) FROM n WHERE n.key = k.key AND seq % 3 IN ({had})) AS company_name, (SELECT count(*) FROM s WHERE s.key = k.key AND seq % 3 IN ({had})) > 0 AS has_s, (SELECT count(*) FROM n WHERE n.key = k.key AND seq % 3 IN ({had})) > 0 AS has_n FROM k)" for k, had in enumerate(("-1", "2", "2, 0", "2, 0, 1")))
 
 ORACLE = {
+    "blob_round_trip": "SELECT sha256(text) || '/' || doc_id || '.txt' AS path, sha256(text || t) AS text_sha256, CAST(length(text || t) AS BIGINT) AS n_chars FROM (SELECT *, CASE WHEN lang = 'de' THEN chr(65533) ELSE '' END AS t FROM documents WHERE lang <> 'fr')",
     "callbacks_without_status": """WITH l AS (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
 n AS (SELECT user_id, max(event_id) AS e FROM events WHERE event_id % 4 = 0 GROUP BY 1), a AS (SELECT DISTINCT user_id FROM events WHERE event_id % 4 = 3)
 SELECT o.o_orderkey AS id, CASE WHEN a.user_id IS NOT NULL THEN 'approved' WHEN o_orderstatus = 'P' THEN 'needs_review' ELSE 'processing' END AS status, CASE WHEN n.e IS NULL THEN 'old' ELSE 'name ' || n.e END AS company_name

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerfold.operators import evaluate, flow, reads, state, transitions
 from ledgerfold.operators.snapshots import PatchTable, Subscriber
 from ledgerfold.operators.threads import ThreadLog
-from ledgerfold.sources import fixtures, intake, ranges
+from ledgerfold.sources import fixtures, intake, ranges, storage
 from ledgerfold.sources.buckets import Conflict, Ids, Versions
 from ledgerfold.streaming import live
 from ledgerfold.streaming.ledger import Ledger
@@ -445,3 +445,27 @@ def test_outcomes_carry_no_content(spark):
     shuffled = [line for line in plan_of(out).split("== Physical Plan ==")[1].splitlines() if "Exchange" in line]
     assert shuffled and out.first()["result"] == "created"
     assert not any(column in line for line in shuffled for column in ("contract", "raw", "w9"))
+
+
+@pytest.mark.parametrize("kind", ["table", "files"])
+def test_storage_is_swapped_by_configuration(spark, tmp_path, kind):
+    """Both adapters keep bytes as they are, replace what is stored again, and say where it is."""
+    root = str(tmp_path / kind)
+    spark.conf.set(storage.KIND, kind)
+    spark.conf.set(storage.ROOT, root)
+    try:
+        own = storage.storage(spark)
+    finally:
+        spark.conf.unset(storage.KIND)
+        spark.conf.unset(storage.ROOT)
+    with pytest.raises(ValueError):
+        storage.storage(spark)
+    blobs = spark.createDataFrame([("a/contract.pdf", bytearray(b"x\xff")), ("a/w9.pdf", bytearray(b"old"))], "path string, content binary")
+    where = {r["path"]: r["kept_at"] for r in own.store(blobs).collect()}
+    own.store(blobs.filter("path like '%w9%'").withColumn("content", F.lit("new").cast("binary"))).collect()
+    assert {r["path"]: bytes(r["content"]) for r in own.load().collect()} == {"a/contract.pdf": b"x\xff", "a/w9.pdf": b"new"}
+    assert [r["path"] for r in own.load(blobs.filter("path like '%w9%'")).collect()] == ["a/w9.pdf"]
+    if kind == "files":
+        assert where["a/w9.pdf"] == f"{root}/a/w9.pdf" and (tmp_path / kind / "a" / "w9.pdf").read_bytes() == b"new"
+        with pytest.raises(Exception, match="not a path below"):
+            own.store(spark.createDataFrame([("../x", bytearray(b""))], "path string, content binary"))
