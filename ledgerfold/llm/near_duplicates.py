@@ -34,6 +34,8 @@ FRAGMENTS, SORTED_AT_ONCE, POSTED_AT_ONCE, RANGE_BYTES = 8, 500_000, 250_000, 4
 #: (bits), a byte each: 32 MB; if more n-grams are that common, the least class rises. A Bloom filter has so many
 #: bits at most: 16 MB. Results don't depend on these sizes.
 LEAST_CLASS, CELL_BITS, BLOOM_BITS = 3, 25, 27
+#: Nodes of an n-gram, still apart, from which on it is taken together with a second one (see _crossed).
+MANY = 64
 #: 64-bit words of the parity bits of an n-gram set.
 PARITY = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -205,7 +207,8 @@ def _fresh(seen: OrderedDict, node: int, most: int = 100_000) -> bool:
 
 
 def shared_prefixes(documents: DataFrame, n: int, order, range_bits: int, numerator: int, denominator: int) -> DataFrame:
-    """key, node, n, place: a row for each n-gram of a node's prefix that another node's prefix has too.
+    """key, node, n, place: a row for each n-gram of a node's prefix, one longer than linked nodes need to share one
+    n-gram, that another node's prefix has too.
 
     n is the node's size, place the number of its n-grams before this one. A task keeps the n-grams of which it
     has two nodes or more, and only names each of them once to the range that settles it; the others go there
@@ -258,7 +261,7 @@ def shared_prefixes(documents: DataFrame, n: int, order, range_bits: int, numera
                     whole = len(found)
                     if whole * denominator < (whole + 1) * numerator or not _fresh(by_node, node := node_of(found)):
                         continue
-                    length = whole - -(-numerator * whole // denominator) + 1
+                    length = min(whole, whole - -(-numerator * whole // denominator) + 2)
                     keys = held.keys(found)
                     if length < whole:
                         keys = np.partition(keys, length - 1)[:length]
@@ -304,6 +307,30 @@ def _may_link(a: str, b: str, numerator: int, denominator: int):
     return fits & (rest * (numerator + denominator) >= (col(f"{a}.n") + col(f"{b}.n")) * numerator)
 
 
+def _own(numerator: int, denominator: int):
+    """Whether an n-gram's place is in the prefix proper: two linked nodes share one there, and two with one place more."""
+    return F.col("place") < F.col("n") - F.ceil(F.col("n") * numerator / denominator) + 1
+
+
+def _crossed(mixed: DataFrame, found: DataFrame, numerator: int, denominator: int, scratch: Scratch) -> DataFrame:
+    """Pairs of nodes of different labels that may link and whose first common n-gram is one of `mixed`.
+
+    Where very many short texts have an n-gram in common, and little else, all of their pairs would be too many.
+    Linked nodes have two n-grams in common at least, and the second one too is among their longer prefixes: the
+    nodes of such an n-gram meet only by it together with another.
+    """
+    sizes = scratch.write(mixed.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > MANY).select("key"), "many")
+    apart = (F.col("m.label") < F.col("h.label")) & _may_link("m", "h", numerator, denominator)
+    few = mixed.join(sizes, "key", "left_anti")
+    pairs = _pairs(few.alias("m").join(few.alias("h"), (F.col("m.key") == F.col("h.key")) & apart), "m", "h")
+    if sizes.isEmpty():
+        return pairs
+    second = found.select(F.col("node").alias("__node"), F.col("key").alias("second"), F.col("place").alias("__place"))
+    both = scratch.write(mixed.join(sizes, "key", "left_semi").join(second, (F.col("node") == F.col("__node")) & (F.col("__place") > F.col("place"))).drop("__node", "__place"), "two-ngrams")
+    met = both.alias("m").join(both.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.second") == F.col("h.second")) & apart)
+    return pairs.union(_pairs(met, "m", "h")).distinct()
+
+
 def _pairs(joined: DataFrame, a: str, b: str) -> DataFrame:
     low, high = F.struct(f"{a}.node", f"{a}.n"), F.struct(f"{b}.node", f"{b}.n")
     return joined.select(F.least(low, high).alias("x"), F.greatest(low, high).alias("y")).select(F.col("x.node").alias("a"), F.col("x.n").alias("n_a"), F.col("y.node").alias("b"), F.col("y.n").alias("n_b")).distinct()
@@ -417,22 +444,22 @@ def near_duplicates(documents: DataFrame, n: int = WORDS, numerator: int = NUMER
         nodes = scratch.write(each.filter("node is not null").groupBy("node").agg(F.min_by("parity", "text_hash").alias("parity"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least")), "nodes")
         found = scratch.write(shared_prefixes(documents, n, shared, range_bits, numerator, denominator), "postings")
 
-        hubs = found.groupBy("key").agg(F.min(F.struct("place", "n", "node")).alias("hub")).select("key", "hub.*")
-        starred = found.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.node") != F.col("h.node")) & _may_link("m", "h", numerator, denominator))
+        own = found.filter(_own(numerator, denominator))
+        hubs = own.groupBy("key").agg(F.min(F.struct("place", "n", "node")).alias("hub")).select("key", "hub.*")
+        starred = own.alias("m").join(hubs.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.node") != F.col("h.node")) & _may_link("m", "h", numerator, denominator))
         stars = scratch.write(_similar_parity(_pairs(starred, "m", "h"), nodes, numerator, denominator), "pairs")
         links = verified(stars, documents, n, shared, cuts, numerator, denominator, scratch)
 
         # pairs that the stars left apart
         labels = connected_components(links)
         scratch.tables.append(labels)
-        labelled = scratch.write(found.join(labels, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label")), "labelled")
-        scratch.drop(found)
+        labelled = scratch.write(own.join(labels, "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label")), "labelled")
         apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
         mixed = scratch.write(labelled.join(apart, "key", "left_semi"), "mixed")
         scratch.drop(labelled)
-        crossed = mixed.alias("m").join(mixed.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.label") < F.col("h.label")) & _may_link("m", "h", numerator, denominator))
-        rest = scratch.write(_similar_parity(_pairs(crossed, "m", "h"), nodes, numerator, denominator).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        scratch.drop(mixed)
+        crossed = _crossed(mixed, found, numerator, denominator, scratch)
+        rest = scratch.write(_similar_parity(crossed, nodes, numerator, denominator).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        scratch.drop(mixed, found)
         if not rest.isEmpty():
             more = verified(rest, documents, n, shared, cuts, numerator, denominator, scratch)
             scratch.drop(labels)

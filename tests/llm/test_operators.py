@@ -70,6 +70,33 @@ def test_near_duplicates(spark, copies, n, num, den, cells):
     assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == want
 
 
+@pytest.mark.parametrize("n,num,den", [(4, 85, 100), (5, 80, 100)])
+def test_near_duplicates_by_two_ngrams(spark, monkeypatch, copies, n, num, den):
+    """As above, where every n-gram of more than one node counts as one of many."""
+    monkeypatch.setattr(near_duplicates, "MANY", 1)
+    want = brute_components(copies, n, num, den)
+    got = near_duplicates.near_duplicates(frame(spark, copies), n, num, den, 8).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got} == want
+
+
+def test_unlike_texts_with_a_common_ngram(spark, monkeypatch):
+    """Texts made of a few common phrases, one of which all begin with: few pairs are looked at, and none of the links is lost."""
+    r, made = random.Random(3), []
+    phrases = [" ".join(f"p{k}w{i}" for i in range(7)) for k in range(60)]
+    rows = [(i, "one two three four five six seven " + " ".join(r.sample(phrases, 2))) for i in range(700)]
+    inner = near_duplicates._crossed
+
+    def counted(*args):
+        pairs = inner(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_duplicates, "_crossed", counted)
+    got = near_duplicates.near_duplicates(frame(spark, rows)).collect()
+    assert {x["doc_id"]: (x["component_id"], x["n_shingles"]) for x in got} == brute_components(rows, 4, 85, 100)
+    assert made[0] < 2000  # of a quarter of a million
+
+
 def test_near_duplicates_empty(spark):
     assert near_duplicates.near_duplicates(frame(spark, [])).count() == 0
 
