@@ -3,12 +3,18 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import language, linear, near_duplicates, quality, toxicity
 from ledgerfold.llm.grams import CharGrams
+from ledgerfold.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def tongues(n, per, seed=1):
@@ -159,3 +165,42 @@ def test_bloom_filter_loses_nothing(spark):
     filled = near_duplicates._bloom(spark.createDataFrame([(int(x),) for x in values], "text_hash long").repartition(6))
     assert len(filled) * 8 == 2**16 and len(near_duplicates._bloom_holds(filled, values)) == 4000
     assert len(near_duplicates._bloom_holds(filled, r.integers(-(2**63), 2**63 - 1, 20_000))) < 600
+
+
+COUNTS = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w),
+d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM k WHERE n > 1) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT), CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT), CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT), coalesce(n_dup_lines, 0), coalesce(n_repeat_words, 0),
+len(ws) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(ws) FROM w LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_counts_of_quality_rules_equal_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = QUERIES["op7_quality_rules"](spark, SF).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(COUNTS).fetchall())
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_mix_keeps_to_its_budget_and_passes(spark):
+    """Totals from SQL: no source beyond its passes, every whole pass complete, the budget met within a document of each source."""
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    known = {s: (n, t) for s, n, t in db.execute(r"SELECT source, count(*), sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) FROM documents GROUP BY 1").fetchall()}
+    rows = QUERIES["op1_source_mixing"](spark, SF).groupBy("source", "mix_pass").agg(F.count("*").alias("n"), F.sum("mix_tokens").alias("t")).collect()
+    budget, spent, passes = sum(t for _, t in known.values()), 0, {}
+    for r in rows:
+        assert r["n"] <= known[r["source"]][0] and r["t"] <= known[r["source"]][1]
+        passes.setdefault(r["source"], {})[r["mix_pass"]] = r
+        spent += r["t"]
+    for source, own in passes.items():
+        first = min(own)
+        assert sorted(own) == list(range(first, first + len(own))) and len(own) <= 4
+        assert all(own[k]["n"] == known[source][0] for k in sorted(own)[:-1])
+    longest = max(t for (t,) in db.execute(r"SELECT len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) FROM documents").fetchall())
+    assert abs(spent - budget) <= longest * len(known)
