@@ -6,6 +6,8 @@ Each runs over whole tables; where a remainder of an id appears, it deals the ro
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -257,9 +259,32 @@ def blob_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("path", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
 
 
+def delivered_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """A request for every order, sent to a service that takes some, refuses some and doesn't answer others."""
+
+    def send(row: dict) -> int:
+        if row["o_orderkey"] % 7 == 0:
+            raise ConnectionError("refused")
+        return {"F": 202, "O": 503}.get(row["o_orderstatus"], 404)
+
+    requests = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return intake.delivered(requests, send, "o_orderkey").select("o_orderkey", "http_status", "error", "outcome")
+
+
+def renamed_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table in a schema of its own, renamed, renamed back, and renamed again."""
+    name = f"ledger_{uuid.uuid4().hex}"
+    intake.create_schema(spark, name, scratch_path(spark, "schema"))
+    intake.create_schema(spark, name)
+    table(spark, sf, "nation").select("n_nationkey", "n_name").write.saveAsTable(f"{name}.vendor_rows")
+    for old, new in (("vendor_rows", "rows"), ("rows", "vendor_rows"), ("vendor_rows", "rows")):
+        intake.rename_table(spark, f"{name}.{old}", f"{name}.{new}")
+    return spark.table(f"{name}.rows")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (blob_round_trip, callbacks_without_status, judged_cases, eval_report, split_ingest, ledger_keys, status_transitions, status_after_transitions, snapshot_fold, snapshot_rows, change_feed, thread_decisions, allocated_ids, trapped_steps, metric_rollup, screen_by_table, changeset_messages, due_work, stream_callbacks, stream_ingest)
+    for f in (delivered_requests, renamed_table, blob_round_trip, callbacks_without_status, judged_cases, eval_report, split_ingest, ledger_keys, status_transitions, status_after_transitions, snapshot_fold, snapshot_rows, change_feed, thread_decisions, allocated_ids, trapped_steps, metric_rollup, screen_by_table, changeset_messages, due_work, stream_callbacks, stream_ingest)
 }
 
 _CASES = "WITH c AS (SELECT d.doc_id, lang, n_chars, CASE WHEN toxic = 1 THEN 'ValueError: toxic' END AS error, CASE WHEN coalesce(toxic, 0) <> 1 THEN quality = 1 END AS match, CASE WHEN lang <> 'de' THEN n_chars > 300 END AS expected FROM documents d LEFT JOIN labels USING (doc_id))"
@@ -279,6 +304,8 @@ SELECT k.key, status, company_name FROM (SELECT DISTINCT key FROM p) k LEFT JOIN
 _APPENDS = ", ".join(f"i{k} AS (SELECT k.key, (SELECT arg_max_null(v, seq) FROM s WHERE s.key = k.key AND seq % 3 IN ({had})) AS status, (SELECT arg_max_null(v, seq) FROM n WHERE n.key = k.key AND seq % 3 IN ({had})) AS company_name, (SELECT count(*) FROM s WHERE s.key = k.key AND seq % 3 IN ({had})) > 0 AS has_s, (SELECT count(*) FROM n WHERE n.key = k.key AND seq % 3 IN ({had})) > 0 AS has_n FROM k)" for k, had in enumerate(("-1", "2", "2, 0", "2, 0, 1")))
 
 ORACLE = {
+    "delivered_requests": "SELECT o_orderkey, CAST(CASE WHEN error IS NULL THEN code END AS INTEGER) AS http_status, error, CASE WHEN error IS NOT NULL THEN 'error: ' || error WHEN code = 202 THEN 'ok' ELSE 'unexpected_status: ' || code END AS outcome FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 202 WHEN 'O' THEN 503 ELSE 404 END AS code, CASE WHEN o_orderkey % 7 = 0 THEN 'ConnectionError: refused' END AS error FROM orders)",
+    "renamed_table": "SELECT n_nationkey, n_name FROM nation",
     "blob_round_trip": "SELECT sha256(text) || '/' || doc_id || '.txt' AS path, sha256(text || t) AS text_sha256, CAST(length(text || t) AS BIGINT) AS n_chars FROM (SELECT *, CASE WHEN lang = 'de' THEN chr(65533) ELSE '' END AS t FROM documents WHERE lang <> 'fr')",
     "callbacks_without_status": """WITH l AS (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
 n AS (SELECT user_id, max(event_id) AS e FROM events WHERE event_id % 4 = 0 GROUP BY 1), a AS (SELECT DISTINCT user_id FROM events WHERE event_id % 4 = 3)

@@ -142,12 +142,19 @@ def badge_and_actions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def golden_flow(spark: SparkSession, sf: str) -> DataFrame:
-    """The evaluation cases through the whole flow; reads no table."""
-    run = flow.validate_documents(fixtures.cases(spark))
-    return evaluate.bucket_accuracy(run, "bucket", "decision", "expected_decision")
+    """The twenty evaluation cases of every supplier, whose name stands before the companies', through the whole flow."""
+    cases = fixtures.cases_of(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_suppkey", F.col("s_name"))
+    return evaluate.bucket_accuracy(evaluate.run_all(cases), "bucket", "decision", "expected_decision")
 
 
-QUERIES = {f.__name__: f for f in (list_by_status, latest_run_per_parent, dashboard_read_model, reload_row, latest_missing_child, orphan_and_cascade, content_hash_dedupe, verbatim_check, verbatim_names, format_check, watchlist_screen, token_set_match, regex_extract_fields, json_patch_fold, status_mirror, decision_and_findings, bucket_accuracy, score_summary, paused_latest_turn, guard_transitions, badge_and_actions, golden_flow)} | workflow.QUERIES | lifecycle.QUERIES
+def golden_judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the same cases, those that each scorer gets: eighteen and five of every twenty."""
+    cases = fixtures.cases_of(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_suppkey", F.col("s_name"))
+    run = evaluate.judged(evaluate.run_all(cases))
+    return run.groupBy("s_suppkey").agg(F.count_if("judge_match").alias("n_match"), F.count_if("judge_grounding").alias("n_grounding"), F.min("thread_id").alias("first_thread"))
+
+
+QUERIES = {f.__name__: f for f in (list_by_status, latest_run_per_parent, dashboard_read_model, reload_row, latest_missing_child, orphan_and_cascade, content_hash_dedupe, verbatim_check, verbatim_names, format_check, watchlist_screen, token_set_match, regex_extract_fields, json_patch_fold, status_mirror, decision_and_findings, bucket_accuracy, score_summary, paused_latest_turn, guard_transitions, badge_and_actions, golden_flow, golden_judged)} | workflow.QUERIES | lifecycle.QUERIES
 
 _LATEST = "SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"
 
@@ -180,5 +187,6 @@ SELECT u.user_id, a.k, b.status FROM (SELECT DISTINCT user_id FROM events) u LEF
     "paused_latest_turn": "SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS n_chars, 'onboarding-' || conv_id AS thread_id, role <> 'assistant' AS awaiting FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, length(text) DESC) = 1",
     "guard_transitions": "WITH c AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'needs_review' WHEN 'F' THEN 'approved' ELSE 'processing' END AS s FROM orders), d AS (SELECT event_id * 3 AS onboarding_id, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'maybe' END AS decision FROM events) SELECT onboarding_id, decision, CASE WHEN decision = 'maybe' THEN 'invalid_decision' WHEN s IS NULL THEN 'not_found' WHEN s <> 'needs_review' THEN 'not_awaiting_review' ELSE 'ok' END AS result FROM d LEFT JOIN c ON id = onboarding_id",
     "badge_and_actions": "SELECT *, CASE status WHEN 'approved' THEN 'badge-success' WHEN 'needs_review' THEN 'badge-warning' WHEN 'rejected' THEN 'badge-error' ELSE 'badge-neutral' END AS badge, status = 'needs_review' AS reviewable FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'needs_review' WHEN o_orderstatus = 'F' THEN 'approved' WHEN o_orderkey % 7 = 0 THEN 'rejected' ELSE 'received' END AS status FROM orders)",
-    "golden_flow": "SELECT * FROM (VALUES ('clean', CAST(10 AS BIGINT), CAST(10 AS BIGINT)), ('mismatch', 5, 5), ('formatting', 3, 3), ('malformed', 2, 2)) t(bucket, total, correct)",
+    "golden_flow": "SELECT bucket, n * per AS total, n * per AS correct FROM (SELECT count(*) AS n FROM supplier), (VALUES ('clean', 10), ('mismatch', 5), ('formatting', 3), ('malformed', 2)) t(bucket, per)",
+    "golden_judged": "SELECT s_suppkey, CAST(18 AS BIGINT) AS n_match, CAST(5 AS BIGINT) AS n_grounding, 'eval-' || s_suppkey || '/clean-01' AS first_thread FROM supplier",
 } | workflow.ORACLE | lifecycle.ORACLE

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values, reproduced as test data that results depend on: templates and cases (bucket, contract name, W-9 name, tax id, terms, liability).
 CONTRACT = 'VENDOR SERVICES AGREEMENT\n\nThis agreement is entered into between Buyer and {} ("Vendor").\n\nPayment Terms: {}\n\nLiability: {}\n'
@@ -40,3 +41,21 @@ def cases(spark: SparkSession) -> DataFrame:
         count[bucket] += 1
         rows.append((f"{bucket}-{count[bucket]:02d}", bucket, CONTRACT.format(name, terms, liability), W9.format(w9_name, tax_id), *EXPECTED[bucket]))
     return spark.createDataFrame(rows, "id string, bucket string, contract_text string, w9_text string, expected_entity_match boolean, expected_decision string")
+
+
+def cases_of(rows: DataFrame, key: str, name: Column) -> DataFrame:
+    """The cases for every row of a table, whose name stands before each company's: key and the columns of cases(), ids with the key.
+
+    A name that is missing from a case stays missing. The texts are made where the rows are.
+    """
+    at, numbered = dict.fromkeys(EXPECTED, 0), []
+    for bucket, *fields in CASES:
+        at[bucket] += 1
+        match, decision = EXPECTED[bucket]
+        cells = dict(zip(("id", "bucket", "name", "w9_name", "tax_id", "terms", "liability", "decision"), (f"{bucket}-{at[bucket]:02d}", bucket, *fields, decision), strict=True))
+        numbered.append(F.struct(*(F.lit(v).alias(k) for k, v in cells.items()), F.lit(match).cast("boolean").alias("match")))
+    case = rows.select(F.col(key), name.alias("__name"), F.explode(F.array(*numbered)).alias("__c"))
+    named = lambda c: F.when(F.col(c) == "", "").otherwise(F.concat("__name", F.lit(" "), F.col(c)))
+    contract = F.format_string(CONTRACT.replace("{}", "%s"), named("__c.name"), F.col("__c.terms"), F.col("__c.liability"))
+    w9 = F.format_string(W9.replace("{}", "%s"), named("__c.w9_name"), F.col("__c.tax_id"))
+    return case.select(key, F.concat(F.col(key).cast("string"), F.lit("/"), F.col("__c.id")).alias("id"), F.col("__c.bucket").alias("bucket"), contract.alias("contract_text"), w9.alias("w9_text"), F.col("__c.match").alias("expected_entity_match"), F.col("__c.decision").alias("expected_decision"))

@@ -167,8 +167,10 @@ def delivered(requests: DataFrame, send: Callable[[dict], int], key: str) -> Dat
     return requests.mapInPandas(run, f"{key} {kind}, http_status int, error string").withColumn("outcome", outcome(F.col("http_status"), F.col("error")))
 
 
-def create_schema(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}")
+def create_schema(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """A schema, if there is none of the name; its tables are kept at the location, if one is given, else in the warehouse."""
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}{where}")
 
 
 def rename_table(spark: SparkSession, old: str, new: str) -> None:
