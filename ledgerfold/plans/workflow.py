@@ -13,6 +13,7 @@ from ledgerfold.functions import payload, prompts, text
 from ledgerfold.operators import evaluate, flow, reads, runs, state
 from ledgerfold.sources import fixtures, intake
 from ledgerfold.sources.intake import table
+from ledgerfold.sources.scratch import written
 
 NOW = "2024-01-01 00:00:00"
 #: A key for encryption in queries.
@@ -39,9 +40,9 @@ def _as_payloads(documents: DataFrame) -> DataFrame:
 def _ingested(spark: SparkSession, sf: str) -> DataFrame:
     """Outcomes of all payloads, after those of one source have been ingested before."""
     none = spark.createDataFrame([], "idempotency_key string")
-    payloads = _payloads(spark, sf)
-    facts = intake.facts(payloads)
-    ledger = intake.decided(intake.facts(payloads.filter("source = 'src0'")), none).filter("result = 'created'").select("idempotency_key")
+    facts = written(intake.facts(_payloads(spark, sf)), "facts")
+    before = table(spark, sf, "documents").filter("source = 'src0'").select(F.col("doc_id").alias("seq"))
+    ledger = intake.decided(facts.join(before, "seq", "left_semi"), none).filter("result = 'created'").select("idempotency_key")
     return intake.decided(facts, ledger)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import payload
 from ledgerfold.sources.ranges import numbered
-from ledgerfold.sources.scratch import file_system, hadoop_path
+from ledgerfold.sources.scratch import file_system, hadoop_path, written
 
 STATUSES = ("received", "processing", "needs_review", "approved", "rejected")
 ONBOARDINGS = "id long, status string, idempotency_key string, document_paths map<string,string>, inserted_at timestamp, updated_at timestamp"
@@ -63,9 +63,10 @@ def ingest(payloads: DataFrame, ledger: DataFrame) -> DataFrame:
     A payload without both fields as strict base64 is invalid, however often it comes: nothing of it is stored.
     A valid one whose hash is in the ledger (idempotency_key) or came earlier in the batch is a duplicate; of
     equal payloads the least seq counts. Columns: seq, idempotency_key, result, and for those that are created
-    contract and w9 (bytes) and document_paths. Outcomes come from hashes alone: no content of a duplicate moves.
+    contract and w9 (bytes) and document_paths. Outcomes come from hashes alone, which are written once; no content
+    of a duplicate moves.
     """
-    return with_contents(decided(facts(payloads), ledger), payloads)
+    return with_contents(decided(written(facts(payloads), "facts"), ledger), payloads)
 
 
 def with_contents(outcomes: DataFrame, payloads: DataFrame) -> DataFrame:
