@@ -34,8 +34,9 @@ FRAGMENTS, SORTED_AT_ONCE, POSTED_AT_ONCE, RANGE_BYTES = 8, 500_000, 250_000, 4
 #: (bits), a byte each: 32 MB; if more n-grams are that common, the least class rises. A Bloom filter has so many
 #: bits at most: 16 MB. Results don't depend on these sizes.
 LEAST_CLASS, CELL_BITS, BLOOM_BITS = 3, 25, 27
-#: Nodes of an n-gram, still apart, from which on it is taken together with a second one (see _crossed).
-MANY = 64
+#: Nodes of an n-gram, still apart, from which on it is taken together with a second one (see _crossed): with fewer, their
+#: pairs are no more than the rows that this takes.
+MANY = 2048
 #: 64-bit words of the parity bits of an n-gram set.
 PARITY = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)

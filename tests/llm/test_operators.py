@@ -81,6 +81,7 @@ def test_near_duplicates_by_two_ngrams(spark, monkeypatch, copies, n, num, den):
 
 def test_unlike_texts_with_a_common_ngram(spark, monkeypatch):
     """Texts made of a few common phrases, one of which all begin with: few pairs are looked at, and none of the links is lost."""
+    monkeypatch.setattr(near_duplicates, "MANY", 64)
     r, made = random.Random(3), []
     phrases = [" ".join(f"p{k}w{i}" for i in range(7)) for k in range(60)]
     rows = [(i, "one two three four five six seven " + " ".join(r.sample(phrases, 2))) for i in range(700)]
