@@ -37,6 +37,8 @@ LEAST_CLASS, CELL_BITS, BLOOM_BITS = 3, 25, 27
 #: Nodes of an n-gram, still apart, from which on it is taken together with a second one (see _crossed): with fewer, their
 #: pairs are no more than the rows that this takes.
 MANY = 2048
+#: n-grams of a text that is short: its prefix has few pairs of n-grams. Longer ones meet by each n-gram, as ever.
+SHORT = 24
 #: 64-bit words of the parity bits of an n-gram set.
 PARITY = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -318,16 +320,18 @@ def _crossed(mixed: DataFrame, found: DataFrame, numerator: int, denominator: in
 
     Where very many short texts have an n-gram in common, and little else, all of their pairs would be too many.
     Linked nodes have two n-grams in common at least, and the second one too is among their longer prefixes: the
-    nodes of such an n-gram meet only by it together with another.
+    short nodes of such an n-gram meet only by it together with another.
     """
     sizes = scratch.write(mixed.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > MANY).select("key"), "many")
     apart = (F.col("m.label") < F.col("h.label")) & _may_link("m", "h", numerator, denominator)
-    few = mixed.join(sizes, "key", "left_anti")
-    pairs = _pairs(few.alias("m").join(few.alias("h"), (F.col("m.key") == F.col("h.key")) & apart), "m", "h")
     if sizes.isEmpty():
-        return pairs
+        return _pairs(mixed.alias("m").join(mixed.alias("h"), (F.col("m.key") == F.col("h.key")) & apart), "m", "h")
+    # a pair whose smaller node is short is found by two n-grams (its larger one is hardly longer), any other by one
+    single = scratch.write(mixed.join(sizes, "key", "left_anti").union(mixed.filter(F.col("n") > SHORT).join(sizes, "key", "left_semi").select(*mixed.columns)), "one-ngram")
+    pairs = _pairs(single.alias("m").join(single.alias("h"), (F.col("m.key") == F.col("h.key")) & apart), "m", "h")
     second = found.select(F.col("node").alias("__node"), F.col("key").alias("second"), F.col("place").alias("__place"))
-    both = scratch.write(mixed.join(sizes, "key", "left_semi").join(second, (F.col("node") == F.col("__node")) & (F.col("__place") > F.col("place"))).drop("__node", "__place"), "two-ngrams")
+    short = mixed.filter(F.col("n") * numerator <= SHORT * denominator).join(sizes, "key", "left_semi")
+    both = scratch.write(short.join(second, (F.col("node") == F.col("__node")) & (F.col("__place") > F.col("place"))).drop("__node", "__place"), "two-ngrams")
     met = both.alias("m").join(both.alias("h"), (F.col("m.key") == F.col("h.key")) & (F.col("m.second") == F.col("h.second")) & apart)
     return pairs.union(_pairs(met, "m", "h")).distinct()
 
