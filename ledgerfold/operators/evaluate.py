@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.operators import flow
+from ledgerfold.sources.ranges import running
 
 
 def bucket_accuracy(results: DataFrame, bucket: str, decision: str, expected: str) -> DataFrame:
@@ -29,9 +30,26 @@ def judged(results: DataFrame) -> DataFrame:
     return results.withColumn("judge_match", match).withColumn("judge_grounding", match & F.col("explanation").isNotNull() & F.col("findings").isNotNull())
 
 
+#: Percentiles of a metric.
+PERCENTILES = (50, 95, 99)
+
+
 def metrics(events: DataFrame, value: str, *tags: str) -> DataFrame:
-    v = F.col(value)
-    return events.groupBy(*tags).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile_approx(v, [0.5, 0.95, 0.99]).alias("percentiles"), F.sum(v).alias("sum"), F.count(v).alias("n"))
+    """tags, min, max, mean, sum, n and percentiles, which are exact: the least value that so many percent of the values
+    don't exceed (null where there is none).
+
+    Ranks are running sums of the counts of distinct values, so no task holds the values of a tag.
+    """
+    v, c = F.col(value), F.col
+    plain = events.groupBy(*tags).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.sum(v).alias("sum"), F.count(v).alias("n"))
+    counted = events.filter(v.isNotNull()).groupBy(*tags, v.alias("__v")).agg(F.count("*").alias("__n"))
+    ranks = running(counted, list(tags), ["__v"], "__n", "__upto")
+    sizes = ranks.groupBy(*(c(t).alias(f"__of_{t}") for t in tags)).agg(F.sum("__n").alias("__all"))
+    placed = ranks.join(sizes, [c(t).eqNullSafe(c(f"__of_{t}")) for t in tags]) if tags else ranks.crossJoin(sizes)
+    least = F.array(*(F.min(F.when(c("__upto") * 100 >= c("__all") * p, c("__v"))) for p in PERCENTILES))
+    found = placed.groupBy(*(c(t).alias(f"__of_{t}") for t in tags)).agg(least.alias("percentiles"))
+    out = plain.join(found, [c(t).eqNullSafe(c(f"__of_{t}")) for t in tags], "left") if tags else plain.crossJoin(found)
+    return out.select(*tags, "min", "max", "mean", F.when(c("n") > 0, c("percentiles")).alias("percentiles"), "sum", "n")
 
 
 #: Size of a sketch: quantiles are within SKETCH_ERROR of their rank, and a sketch has some kilobytes however many values it saw.

@@ -204,6 +204,15 @@ def test_review_and_report(spark):
     assert evaluate.metrics(spark.createDataFrame([("r", 1.0), ("r", 3.0)], "route string, ms double"), "ms", "route").first()["mean"] == 2.0
 
 
+def test_percentiles_are_exact(spark):
+    """60,000 distinct values of one tag, in no order; a null tag; a tag without values."""
+    rows = spark.range(60_000).select(F.lit("r").alias("route"), F.pmod(F.col("id") * 7919, F.lit(60_000)).alias("ms"))
+    rows = rows.union(spark.createDataFrame([(None, 5), (None, 7), ("none", None), ("r", None)], "route string, ms long"))
+    out = {r["route"]: (r["n"], r["percentiles"]) for r in evaluate.metrics(rows, "ms", "route").collect()}
+    assert out == {"r": (60_000, [29_999, 56_999, 59_399]), None: (2, [5, 7, 7]), "none": (0, None)}
+    assert evaluate.metrics(rows, "ms").first()["percentiles"] == [29_998, 56_999, 59_399]
+
+
 def test_live_paths(spark, tmp_path):
     folder, seen = tmp_path / "in", []
     for i, rows in enumerate(([("a", 1, "x"), ("b", 2, "x")], [("a", 3, "y"), ("a", 1, "x")])):
