@@ -225,20 +225,28 @@ def due_work(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "attempt", F.date_format("due_at", "yyyy-MM-dd HH:mm:ss").alias("due_at"))
 
 
-def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table's files as a stream; a pattern, since a table may be one file, which a stream takes by a pattern only."""
-    return spark.readStream.schema(table(spark, sf, name).schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/{name}.parque[t]")
+def _stream(spark: SparkSession, sf: str, name: str, files: int | None = None) -> DataFrame:
+    """A table's files as a stream, in batches of so many files, or all that are there in one batch.
+
+    A pattern, since a table may be one file, which a stream takes by a pattern only.
+    """
+    reader = spark.readStream.schema(table(spark, sf, name).schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(f"{sf}/{name}.parque[t]")
 
 
 def stream_callbacks(spark: SparkSession, sf: str) -> DataFrame:
     """Callbacks as a stream into a table, by batches of files."""
     kept = PatchTable(spark, scratch_path(spark, "patches"), buckets=8)
-    live.keep(_patches(_stream(spark, sf, "events")), kept, scratch_path(spark, "checkpoint")).awaitTermination()
+    live.keep(_patches(_stream(spark, sf, "events", 4)), kept, scratch_path(spark, "checkpoint")).awaitTermination()
     return kept.read().select("key", "status", "company_name")
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Payloads as two streams, one after the other, on one ledger: all that the second brings are duplicates or invalid."""
+    """Payloads as two streams, one after the other, on one ledger: all that the second brings are duplicates or invalid.
+
+    Of equal payloads the first batch's is created, and within a batch that of the least seq. A table's files come in
+    no order of seq, so each stream takes what is there as one batch.
+    """
     ledger, out = scratch_path(spark, "ledger"), scratch_path(spark, "outcomes")
     for stream in ("first", "second"):
         payloads = workflow._as_payloads(_stream(spark, sf, "documents"))

@@ -3,12 +3,14 @@
 import random
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerfold.operators import evaluate, flow, reads, state, transitions
 from ledgerfold.operators.snapshots import PatchTable, Subscriber
 from ledgerfold.operators.threads import ThreadLog
+from ledgerfold.plans import lifecycle
 from ledgerfold.sources import fixtures, intake, ranges, storage
 from ledgerfold.sources.buckets import Conflict, Ids, Versions
 from ledgerfold.streaming import live
@@ -347,6 +349,19 @@ def test_dashboard_keeps_its_order_without_broadcasts(spark):
     assert [r["id"] for r in rows] == list(range(199, 149, -1)) and rows[0]["company_name"] is None
 
 
+def test_stream_ingest_of_files_in_no_order(spark, tmp_path):
+    """Against the query's SQL: six files, of which later ones hold the lower ids of equal texts."""
+    for k in range(6):
+        rows = [(100 * (5 - k) + i, f"text {i} of some length", "en", "src0", 4) for i in range(4)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(lifecycle.ORACLE["stream_ingest"]).fetchall())
+    got = lifecycle.stream_ingest(spark, str(tmp_path)).select("stream", "seq", "result").collect()
+    assert sorted(tuple(r) for r in got) == want
+    assert sorted(r["seq"] for r in got if r["result"] == "created") == [0, 1, 2, 3]
+
+
 # Steps
 
 
