@@ -8,6 +8,7 @@ that have room left.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import cache
 
@@ -25,33 +26,37 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 SHARD_BYTES = 8 << 20
 #: Shuffle partitions of the shards at most: a task takes one shard after another.
 PARTITIONS = 1 << 15
-#: Pre-tokens that a worker remembers.
-REMEMBERED = 250_000
+#: Pre-tokens, and what stands between white space, that a worker remembers (some 150 bytes each), and fewer where
+#: other steps need the memory.
+REMEMBERED, FEWER = 600_000, 80_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 @cache
-def tokenizer(path: str) -> Encoder:
+def tokenizer(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One for each worker process."""
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
 class Encoder(dict):
     """ids of whole texts as little-endian 32-bit bytes, the same as the tokenizer's own.
 
-    Pre-tokens repeat, so each is encoded once and remembered. Texts with characters beyond Latin-1
-    or with a special token's mark go through the tokenizer itself.
+    What stands between white space repeats, and so do the pre-tokens in it: each is encoded once and
+    remembered. No pre-token holds white space, and one is split alike wherever it stands. Texts with
+    characters beyond Latin-1 or with a special token's mark go through the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import regex
         from tokenizers import Tokenizer
 
+        self.half = remembered // 2
+        self.older: dict[str, bytes] = {}  # a full half is put aside here, and goes when the next one is full; what is met meanwhile moves back
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.simple = regex.compile(r"[\x09-\x0D\x20-\x7E\xA1-\xAC\xAE-\xFF]*").fullmatch
+        self.simple = re.compile(r"[\x09-\x0D\x20-\x7E\xA1-\xAC\xAE-\xFF]*").fullmatch
         # byte-level BPE shows a byte that isn't printable as a character from 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
@@ -62,15 +67,20 @@ class Encoder(dict):
         self.clear()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes))
-        found = b"".join(t.id.to_bytes(4, "little") for t in ids)
-        if len(self) >= REMEMBERED:
+        parts = () if (found := self.older.pop(word, None)) is not None else self.split(word)
+        if len(parts) > 1:
+            found = b"".join(map(self.__getitem__, parts))
+        elif parts:
+            ids = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes))
+            found = b"".join([t.id.to_bytes(4, "little") for t in ids])
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
         self[word] = found
         return found
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text.lower())))
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
     def _own(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -81,7 +91,7 @@ class Encoder(dict):
         return self._own(text)
 
 
-def pieces(documents: DataFrame, path: str, length: int = LENGTH, end: int = END, shards: int = 1) -> DataFrame:
+def pieces(documents: DataFrame, path: str, length: int = LENGTH, end: int = END, shards: int = 1, remembered: int = REMEMBERED) -> DataFrame:
     """Tokenises (doc_id, text) and cuts at multiples of `length`: doc_id, start, ids (unsigned 16-bit where
     all ids fit), doc_tokens, shard. A null text is empty; every document ends with the id `end`."""
     small_batches(documents.sparkSession)
@@ -89,7 +99,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, end: int = END
     last = int(end).to_bytes(4, "little")
 
     def run(batches):
-        encoder = tokenizer(path)
+        encoder = tokenizer(path, remembered)
 
         def rows():
             for batch in batches:
@@ -139,16 +149,16 @@ def assign(lengths: np.ndarray, length: int = LENGTH, linear: float = LINEAR, qu
     return out
 
 
-def pack(documents: DataFrame, path: str, length: int = LENGTH, end: int = END, shards: int | None = None) -> DataFrame:
+def pack(documents: DataFrame, path: str, length: int = LENGTH, end: int = END, shards: int | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Packs every document of (doc_id, text): one row per piece, with its ids (little-endian unsigned 32-bit).
 
     sequence_id is the shard times 2**32 plus a number from 0. Repeated rows are packed each on their own; a null
     or empty text is its end mark alone; a long one is cut; a null doc_id stays null; an empty table gives no rows;
-    other columns are not read. shards: by default one for each SHARD_BYTES of the input.
+    other columns are not read. shards: by default one for each SHARD_BYTES of the input; remembered: see REMEMBERED.
     """
     if shards is None:
         shards = power_of_two(input_bytes(documents) / SHARD_BYTES)
-    dealt = pieces(documents, path, length, end, shards).repartition(min(shards, PARTITIONS), "shard")
+    dealt = pieces(documents, path, length, end, shards, remembered).repartition(min(shards, PARTITIONS), "shard")
 
     def run(key, table):
         shard = key[0].as_py()

@@ -118,6 +118,16 @@ def test_components(spark):
     assert got == {i: 0 for i in range(21)} | {50: 50, 51: 50, 60: 50}
 
 
+def test_what_stands_between_white_space_is_remembered():
+    """Ids are the tokenizer's own, however few are remembered; a word with its marks is looked up at once."""
+    path, texts = packing.tokenizer_path(), ["It's two words, two-words:\ttwo words,", "a1b22 ½x ²'S 'tis Été,«là»\x0b\r\nStraße don't'll", "", " \n", "x " * 50 + "y, z; " * 5]
+    for remembered in (2, 8, 1000):
+        encoder = packing.Encoder(path, remembered)
+        assert encoder.fast and all(encoder.encode(t) == encoder._own(t) for t in texts * 2)
+        assert len(encoder) <= max(remembered, 4) and len(encoder.older) <= max(remembered, 4)
+    assert "words," in encoder
+
+
 def test_packing_round_trip(spark):
     path = packing.tokenizer_path()
     rows = texts(30, 3, 700) + [(i, t) for i, t in EDGES if i != 905] + [(906, "Ünïcode ① ﷺ Σίσυφος <|endoftext|> don't"), (907, "word " * 9000)]
