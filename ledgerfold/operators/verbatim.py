@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import text
+from ledgerfold.sources.scratch import written
 
 #: Words of an item that are looked up: its second to ninth; of a shorter one all but the first and the last.
 LONGEST = 8
+#: Words of an item that is searched for as it is: the few between its first and last stand in too many texts.
+SHORT_WORDS = 5
 #: Items up to which the hashes of their words are broadcast (20 bytes each); beyond, they are joined by a shuffle.
 FEW_ITEMS = 100_000
-#: Bytes of items of one or two words that are searched for at once.
+#: Bytes of short items that are searched for at once.
 SHORT_BYTES = 4 << 20
 
 
@@ -27,15 +30,17 @@ def verbatim_pairs(documents: DataFrame, items: DataFrame, doc: str = "doc_id",
 
     An item begins and ends anywhere, in a word too, but the words between its first and its last are whole words of
     the text. Up to eight of them are hashed; a text gives the hashes of its runs of as many words as an item has
-    there, for each such number; where they meet the texts are compared. Items of one or two words have none
-    between: all of these are searched for at once while a text is read (see _short).
+    there, for each such number; where they meet the texts are compared. Items of up to SHORT_WORDS words have none
+    between, or so few that they'd meet most texts: all of these are searched for at once while a text is read (see
+    _short). The items are made once, as a table.
     """
     sought = items.select(item, F.col("text").alias("__item"), words(text.stripped(F.col("text"))).alias("__iw")).filter(text.stripped(F.col("text")) != "")
+    sought = written(sought, "items")
     length = F.least(F.size("__iw") - 2, F.lit(LONGEST))
-    keyed = sought.filter(F.size("__iw") > 2).select(item, length.cast("int").alias("__n"), F.xxhash64(F.slice("__iw", F.lit(2), length)).alias("__head"))
-    lengths = sorted(r["__n"] for r in keyed.select("__n").distinct().collect())  # eight at most
+    keyed = sought.filter(F.size("__iw") > SHORT_WORDS).select(item, length.cast("int").alias("__n"), F.xxhash64(F.slice("__iw", F.lit(2), length)).alias("__head"))
+    lengths = sorted(r["__n"] for r in keyed.select("__n").distinct().collect())  # a few
     texts = documents.select(doc, F.col("text").alias("__text"))
-    found = _short(texts, sought.filter(F.size("__iw") <= 2).select(item, text.stripped(F.col("__item")).alias("__item")), doc, item)
+    found = _short(texts, sought.filter(F.size("__iw") <= SHORT_WORDS).select(item, text.stripped(F.col("__item")).alias("__item")), doc, item)
     if lengths:
         each = F.explode(F.array(*(F.lit(n) for n in lengths)))
         runs = texts.select(doc, words(F.col("__text")).alias("__w")).select(doc, "__w", each.alias("__n")).filter(F.size("__w") >= F.col("__n"))
@@ -48,7 +53,7 @@ def verbatim_pairs(documents: DataFrame, items: DataFrame, doc: str = "doc_id",
 
 
 def _short(texts: DataFrame, sought: DataFrame, doc: str, item: str) -> DataFrame:
-    """Pairs for items of a word or two: a pass over the texts for each block of them, with an automaton of all of the block."""
+    """Pairs for short items: a pass over the texts for each block of them, with an automaton of all of the block."""
     size = sought.agg(F.coalesce(F.sum(F.octet_length("__item") + 16), F.lit(0)).alias("s")).first()["s"]
     kinds = dict(texts.dtypes) | dict(sought.dtypes)
     schema = f"{doc} {kinds[doc]}, {item} {kinds[item]}"

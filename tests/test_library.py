@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import payload, text
-from ledgerfold.operators import evaluate, flow, reads, runs, state
+from ledgerfold.operators import evaluate, flow, reads, runs, state, verbatim
 from ledgerfold.plans import registry
 from ledgerfold.sources import fixtures, intake
 from ledgerfold.streaming import live
@@ -253,3 +253,20 @@ def test_verbatim_check_at_neighbours_and_short_items(spark, tmp_path):
     want = sorted(db.execute(registry.ORACLE["verbatim_check"]).fetchall())
     assert want == [(1, 1), (2, 2), (3, 1), (4, 3), (5, 4), (6, 5), (10, 2)]
     assert sorted(tuple(r) for r in registry.QUERIES["verbatim_check"](spark, str(tmp_path)).collect()) == want
+
+
+def test_short_items_are_not_joined_by_their_common_words(spark):
+    """Items of up to five words meet no text by the few words between their first and last; longer ones are looked up."""
+    docs = spark.createDataFrame([(i, f"x{i} of the y{i} and of the z") for i in range(50)] + [(50, None), (51, "")], "doc_id long, text string")
+    short = [(i, f"x{i} of the") for i in range(50)] + [(60, "8 of the y8 and"), (61, " of\tthe "), (62, "of the z")]
+    found = verbatim.verbatim_pairs(docs, spark.createDataFrame(short, "item_id long, text string"))
+    assert "Join" not in plan_text(found)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    want = sorted((d, i) for d, t in texts.items() for i, x in short if x.strip() in t)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    longer = verbatim.verbatim_pairs(docs, spark.createDataFrame([(70, "f the y9 and of the z"), (71, "x9 of the")], "item_id long, text string"))
+    assert sorted(tuple(r) for r in longer.collect()) == [(9, 70), (9, 71)]
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
