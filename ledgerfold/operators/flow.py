@@ -111,7 +111,11 @@ def validate_documents(documents: DataFrame, steps: Steps = Steps()) -> DataFram
 
     Only the contract's name is screened. A row's error is that of the first step that fails for it: what a Trapped
     step raised, or that a document lacks a field; its decision and what follows is null, and other rows go on.
+    For steps in Python the rows are dealt over all of the session's shuffle partitions: a small file with very many
+    rows would else be one task.
     """
+    if any(isinstance(s, Trapped) for s in vars(steps).values()):
+        documents = documents.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = documents.withColumn("error", F.lit(None).cast("string"))
 
     def step(df: DataFrame, name: str, function: Callable, *arguments: Column, missing: str | None = None, when: Column | None = None) -> DataFrame:

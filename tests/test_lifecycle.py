@@ -384,6 +384,14 @@ def test_trapped_step(spark):
     assert asked.value < 45
 
 
+def test_rows_of_python_steps_are_dealt_out(spark):
+    """A table in one partition goes through Python steps in as many tasks as the session shuffles to; without any it stays."""
+    docs = spark.range(400).coalesce(1).select("id", F.lit("a").alias("contract_text"), F.lit("b").alias("w9_text"))
+    steps = flow.Steps(screen=flow.Trapped(lambda names: names.map(lambda x: {"flagged": False, "reason": None}), "struct<flagged:boolean,reason:string>"))
+    rows = lambda steps: [n for n in flow.validate_documents(docs, steps).select("id").rdd.glom().map(len).collect() if n]
+    assert rows(steps) == [100] * 4 and rows(flow.Steps()) == [400]
+
+
 def test_raising_extractor_is_a_result(spark):
     """One case of twenty meets an extractor that raises: it has the error and no decision, and counts as wrong."""
 
