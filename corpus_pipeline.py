@@ -82,7 +82,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is its end mark alone, repeated rows are packed each on their own, a long text is cut.
     An empty table gives no rows. Only doc_id and text are read.
     """
-    return packing.pack(docs.select("doc_id", "text"), packing.tokenizer_path())
+    return packing.pack(docs.select("doc_id", "text"), packing.tokenizer_path(), remembered=packing.FEWER, split=4)
 
 
 STAGES = [

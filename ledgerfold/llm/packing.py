@@ -149,16 +149,17 @@ def assign(lengths: np.ndarray, length: int = LENGTH, linear: float = LINEAR, qu
     return out
 
 
-def pack(documents: DataFrame, path: str, length: int = LENGTH, end: int = END, shards: int | None = None, remembered: int = REMEMBERED) -> DataFrame:
+def pack(documents: DataFrame, path: str, length: int = LENGTH, end: int = END, shards: int | None = None, remembered: int = REMEMBERED, split: int = 1) -> DataFrame:
     """Packs every document of (doc_id, text): one row per piece, with its ids (little-endian unsigned 32-bit).
 
     sequence_id is the shard times 2**32 plus a number from 0. Repeated rows are packed each on their own; a null
     or empty text is its end mark alone; a long one is cut; a null doc_id stays null; an empty table gives no rows;
-    other columns are not read. shards: by default one for each SHARD_BYTES of the input; remembered: see REMEMBERED.
+    other columns are not read. shards: by default one for each SHARD_BYTES of the input, or `split` smaller
+    ones, which a task takes one after another; remembered: see REMEMBERED.
     """
     if shards is None:
-        shards = power_of_two(input_bytes(documents) / SHARD_BYTES)
-    dealt = pieces(documents, path, length, end, shards, remembered).repartition(min(shards, PARTITIONS), "shard")
+        shards = power_of_two(input_bytes(documents) / SHARD_BYTES) * split
+    dealt = pieces(documents, path, length, end, shards, remembered).repartition(min(-(-shards // split), PARTITIONS), "shard")
 
     def run(key, table):
         shard = key[0].as_py()

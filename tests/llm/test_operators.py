@@ -118,6 +118,20 @@ def test_components(spark):
     assert got == {i: 0 for i in range(21)} | {50: 50, 51: 50, 60: 50}
 
 
+def test_split_shards_pack_every_id_in_as_few_tasks(spark):
+    """Shards are four times as many, in as many tasks as before, and each id lies in one piece."""
+    docs = frame(spark, [(i, f"word {i} " * (i % 50)) for i in range(200)])
+    out = packing.pack(docs, packing.tokenizer_path(), length=256, split=4)
+    assert out.rdd.getNumPartitions() == packing.pack(docs, packing.tokenizer_path(), length=256).rdd.getNumPartitions()
+    rows = out.collect()
+    assert len({r["sequence_id"] >> 32 for r in rows}) == 4
+    found = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == found.get(r["doc_id"], 0)
+        found[r["doc_id"]] = r["start"] + r["length"]
+    assert found == {r["doc_id"]: r["doc_tokens"] for r in rows} and len(found) == 200
+
+
 def test_what_stands_between_white_space_is_remembered():
     """Ids are the tokenizer's own, however few are remembered; a word with its marks is looked up at once."""
     path, texts = packing.tokenizer_path(), ["It's two words, two-words:\ttwo words,", "a1b22 ½x ²'S 'tis Été,«là»\x0b\r\nStraße don't'll", "", " \n", "x " * 50 + "y, z; " * 5]
