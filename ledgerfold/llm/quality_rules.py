@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, free, lowest_hashes, table
+from .common import SPACE, free, table
 
 BUCKETS, ALPHA, THRESHOLD = 1 << 16, 1.0, -0.1
-#: Labelled documents that the trusted target is fitted to, about (see lowest_hashes).
-TRUSTED = 20000
+#: Trusted ids that may be broadcast (some 30 bytes each); more are joined by a shuffle of the texts.
+FEW_TRUSTED = 2_000_000
 #: Fixed values of the contract: fewer words fail, and so does a larger percentage of repeated words.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Bits of a sorted number that hold a window's place.
@@ -103,9 +103,11 @@ def buckets(h: Column, n: int = BUCKETS) -> Column:
 def log_ratios(documents: DataFrame, trusted_ids: DataFrame, n: int = BUCKETS, alpha: float = ALPHA) -> DataFrame:
     """One row with an array of n log ratios: smoothed P(bucket | trusted) over P(bucket | all documents).
 
-    trusted_ids (doc_id) must be small enough to broadcast. Without trusted documents all ratios are 0.
+    Every document of trusted_ids (doc_id) counts, however many there are. Without trusted documents all ratios are 0.
     """
-    flagged = documents.select("doc_id", hashes(words()).alias("h")).join(F.broadcast(trusted_ids.select("doc_id").distinct().withColumn("t", F.lit(1))), "doc_id", "left")
+    trusted = trusted_ids.filter("doc_id is not null").select("doc_id").distinct().withColumn("t", F.lit(1))
+    few = trusted.limit(FEW_TRUSTED + 1).count() <= FEW_TRUSTED
+    flagged = documents.select("doc_id", "text").join(F.broadcast(trusted) if few else trusted.hint("merge"), "doc_id", "left").select("t", hashes(words()).alias("h"))
     grams = flagged.select(F.explode(buckets(F.col("h"), n)).alias("bucket"), "t").filter("bucket is not null")
     found = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("t").alias("trusted"))
     # buckets that don't occur are filled in from a range of a fixed size
@@ -138,8 +140,7 @@ def judge(documents: DataFrame, ratios: DataFrame, n: int = BUCKETS, threshold:
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Judges every document; the trusted target is a bounded sample of the documents labelled good."""
+    """Judges every document; the trusted target is all documents labelled good."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").filter("quality = 1 and doc_id is not null").select("doc_id", "quality").distinct()
-    trusted = lowest_hashes(labels, "doc_id", "quality", TRUSTED)
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
     return judge(documents, log_ratios(documents, trusted)).drop("text")

@@ -118,6 +118,16 @@ def test_components(spark):
     assert got == {i: 0 for i in range(21)} | {50: 50, 51: 50, 60: 50}
 
 
+def test_all_trusted_documents_count(spark, monkeypatch):
+    """However many ids are trusted, each counts once, whether they are broadcast or joined by a shuffle."""
+    docs = frame(spark, [(i, f"w{i % 7} w{i % 11} w{i % 3}") for i in range(300)] + [(None, "w1 w2")])
+    ids = spark.createDataFrame([(i,) for i in range(0, 300, 2)] * 2 + [(None,)], "doc_id long")
+    ratios = lambda: quality_rules.log_ratios(docs, ids, 64).first()["ratios"]
+    few = ratios()
+    monkeypatch.setattr(quality_rules, "FEW_TRUSTED", 10)
+    assert ratios() == few and len(set(few)) > 2
+
+
 def test_split_shards_pack_every_id_in_as_few_tasks(spark):
     """Shards are four times as many, in as many tasks as before, and each id lies in one piece."""
     docs = frame(spark, [(i, f"word {i} " * (i % 50)) for i in range(200)])
